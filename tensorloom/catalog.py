@@ -2,9 +2,414 @@
 
 from __future__ import annotations
 
+import os
+import struct
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracles
+from .functions import numeric as n
+from .operators import arrays, diagnostics, layout, policy, validate
+from .operators import quantize as q
+from .schema import CHUNK_ELEMENTS, INT4_MAX, INT8_MAX
+from .sources import gguf, safetensors, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.SQL
+
+#: Columns used where order doesn't matter, and one with a dense key where it does.
+LOOSE = ["lineitem.l_quantity", "lineitem.l_extendedprice", "lineitem.l_discount", "lineitem.l_tax"]
+ORDERED = "orders.o_totalprice"
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _d(name: str) -> Column:
+    return F.col(name).cast("double").alias(name)
+
+
+def _i(name: str) -> Column:
+    return F.col(name).cast("bigint").alias(name)
+
+
+def _metrics() -> list[Column]:
+    """Metrics as integers where the order of a float64 sum could show."""
+    s = diagnostics.scaled
+    return [_i("elements"), s(F.col("mse"), 1e12).alias("mse_e12"), s(F.col("mae"), 1e12).alias("mae_e12"), _d("max_abs_error"), s(F.col("sqnr_db"), 1e6).alias("sqnr_e6")]
+
+
+def _vectors8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings quantized in place: tensor, embedding, scale, q."""
+    rows = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tensor"), "embedding")
+    return arrays.int8(rows, "embedding")
+
+
+def _values(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("tensor", *columns, F.posexplode("q").alias("idx", "q"))
+
+
+@query
+def int8_scale_per_vector(spark, sf_dir):
+    return _vectors8(spark, sf_dir).select("tensor", _d("scale"))
+
+
+@query
+def int8_quantize_values(spark, sf_dir):
+    return _values(_vectors8(spark, sf_dir)).select("tensor", _i("idx"), _i("q"))
+
+
+@query
+def int8_dequantize(spark, sf_dir):
+    out = q.dequantize(_values(_vectors8(spark, sf_dir), "scale"))
+    return out.select("tensor", _i("idx"), _d("v_hat"))
+
+
+@query
+def int8_roundtrip_metrics(spark, sf_dir):
+    rows = arrays.metrics(_vectors8(spark, sf_dir), "embedding")
+    rows = rows.withColumn("source_bytes", F.col("elements") * 4).withColumn("quantized_bytes", F.col("elements") + 4)
+    return rows.select("tensor", *_metrics(), _i("saturated_values"), "source_bytes", "quantized_bytes", diagnostics.ratio(F.col("source_bytes"), F.col("quantized_bytes")).alias("compression_ratio"))
+
+
+@query
+def int8_roundtrip_elements(spark, sf_dir):
+    rows = q.dequantize(q.int8_quantize(tables.vectors(spark, sf_dir)))
+    out = diagnostics.tensor_diagnostics(rows, INT8_MAX)
+    return out.select("tensor", *_metrics(), _i("saturated_values"), "source_bytes", "quantized_bytes", "compression_ratio")
+
+
+@query
+def int8_roundtrip_columns(spark, sf_dir):
+    rows = q.dequantize(q.int8_quantize(tables.columns(spark, sf_dir, LOOSE)))
+    s, out = diagnostics.scaled, diagnostics.tensor_diagnostics(rows, INT8_MAX)
+    return out.select("tensor", _i("elements"), s(F.col("mse"), 1e4).alias("mse_e4"), s(F.col("mae"), 1e4).alias("mae_e4"), _d("max_abs_error"), s(F.col("sqnr_db"), 1e5).alias("sqnr_e5"), _i("saturated_values"), "quantized_bytes")
+
+
+@query
+def int8_saturation_count(spark, sf_dir):
+    return _values(_vectors8(spark, sf_dir)).groupBy("tensor").agg(diagnostics.saturation(INT8_MAX))
+
+
+@query
+def int8_global_scale_matrix(spark, sf_dir):
+    return q.int8_quantize(tables.matrix(spark, sf_dir)).groupBy("q").agg(F.count("*").alias("n"), F.max("scale").cast("double").alias("scale")).select(_i("q"), "n", "scale")
+
+
+@query
+def int8_chunked_replay(spark, sf_dir):
+    rows = q.int8_replay(tables.matrix(spark, sf_dir), chunk=CHUNK_ELEMENTS)
+    return rows.groupBy("chunk").agg(F.count("*").alias("n"), F.min("q").cast("bigint").alias("min_q"), F.max("q").cast("bigint").alias("max_q"), F.sum("q").cast("bigint").alias("sum_q"))
+
+
+@query
+def int8_per_channel(spark, sf_dir):
+    rows = q.per_channel_int8(tables.matrix(spark, sf_dir), 64)
+    return rows.groupBy("grp").agg(F.max("scale").cast("double").alias("scale"), F.sum("q").cast("bigint").alias("sum_q"))
+
+
+@query
+def int4_group_scales_32(spark, sf_dir):
+    return q.int4_scales(tables.matrix(spark, sf_dir), 32).select("grp", _d("scale"))
+
+
+@query
+def int4_group_scales_31(spark, sf_dir):
+    return q.int4_scales(tables.matrix(spark, sf_dir), 31).select("grp", _d("scale"))
+
+
+@query
+def int4_quantize_values(spark, sf_dir):
+    return q.int4_quantize(tables.matrix(spark, sf_dir), 31).select("idx", _i("q"))
+
+
+@query
+def int4_dequantize(spark, sf_dir):
+    return q.dequantize(q.int4_quantize(tables.matrix(spark, sf_dir), 31)).select("idx", _d("v_hat"))
+
+
+@query
+def int4_pack_hex(spark, sf_dir):
+    """A group of 31 crosses bytes; orders end in an odd or short group."""
+    packed = q.pack_nibbles(q.int4_quantize(tables.ordered_column(spark, sf_dir, ORDERED), 31))
+    return packed.select("byte_idx", F.lower(F.lpad(F.hex("byte"), 2, "0")).alias("hex"))
+
+
+@query
+def int4_unpack(spark, sf_dir):
+    source = tables.ordered_column(spark, sf_dir, ORDERED)
+    packed = q.pack_nibbles(q.int4_quantize(source, 128))
+    total = source.agg(F.count("*").alias("total"))
+    return q.unpack_nibbles(packed.crossJoin(F.broadcast(total)).select("tensor", "byte_idx", "byte"), F.lit(1 << 62)).crossJoin(F.broadcast(total)).filter("idx < total").select("idx", _i("q"))
+
+
+@query
+def int4_roundtrip_metrics(spark, sf_dir):
+    rows = q.dequantize(q.int4_quantize(tables.vectors(spark, sf_dir), 32))
+    size = F.ceil(F.col("elements") / 2)
+    out = diagnostics.tensor_diagnostics(rows, INT4_MAX, payload=size, scale_bytes=F.ceil(F.col("elements") / 32) * 4)
+    return out.select("tensor", *_metrics(), _i("saturated_values"), "quantized_bytes", "compression_ratio")
+
+
+@query
+def int4_array_scales(spark, sf_dir):
+    rows = arrays.int4(tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tensor"), "embedding"), "embedding", 24)
+    return rows.select("tensor", F.posexplode("scales").alias("grp", "scale")).select("tensor", _i("grp"), _d("scale"))
+
+
+@query
+def q8_0_block_scales(spark, sf_dir):
+    return q.q8_0_quantize(tables.matrix(spark, sf_dir)).groupBy("grp").agg(F.max("scale").alias("scale")).select("grp", _d("scale"), n.f16_bits(F.col("scale")).cast("bigint").alias("bits"))
+
+
+@query
+def q8_0_quantize(spark, sf_dir):
+    return q.q8_0_quantize(tables.matrix(spark, sf_dir)).select("idx", _i("q"))
+
+
+@query
+def q8_0_dequantize(spark, sf_dir):
+    return q.dequantize(q.q8_0_quantize(tables.matrix(spark, sf_dir))).select("idx", _d("v_hat"))
+
+
+def _fp4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.nvfp4_quantize(tables.matrix(spark, sf_dir))
+
+
+@query
+def nvfp4_block_scales(spark, sf_dir):
+    return _fp4(spark, sf_dir).groupBy("grp").agg(F.max("block_bits").cast("bigint").alias("block_bits"), F.max("global_scale").cast("double").alias("global_scale"))
+
+
+@query
+def nvfp4_codes(spark, sf_dir):
+    return _fp4(spark, sf_dir).select("idx", _i("code"))
+
+
+@query
+def nvfp4_pack_hex(spark, sf_dir):
+    return q.pack_nibbles(_fp4(spark, sf_dir), "code").select("byte_idx", F.lower(F.lpad(F.hex("byte"), 2, "0")).alias("hex"))
+
+
+@query
+def nvfp4_dequantize(spark, sf_dir):
+    return q.nvfp4_dequantize(_fp4(spark, sf_dir)).select("idx", _d("v_hat"))
+
+
+@query
+def nvfp4_metrics(spark, sf_dir):
+    return q.nvfp4_dequantize(_fp4(spark, sf_dir)).groupBy("tensor").agg(*diagnostics.metric_columns()).select("tensor", *_metrics())
+
+
+def _decoded(spark: SparkSession, size: int, decode: Callable[[Column], Column]) -> DataFrame:
+    rows = spark.range(size).select(F.col("id").alias("code"), decode(F.col("id")).alias("x"))
+    return rows.select("code", F.when(F.isnan("x"), "nan").when(F.abs("x") == float("inf"), "inf").otherwise("finite").alias("kind"), F.when(n.is_finite(F.col("x")), F.col("x").cast("double")).alias("value"), (n.is_negative(F.col("x")) & ~F.isnan("x")).alias("negative"))
+
+
+@query
+def fp4_e2m1_decode_table(spark, sf_dir):
+    return _decoded(spark, 16, n.e2m1_decode)
+
+
+@query
+def fp8_e4m3_decode_table(spark, sf_dir):
+    return _decoded(spark, 256, n.e4m3_decode)
+
+
+@query
+def fp8_e5m2_decode_table(spark, sf_dir):
+    return _decoded(spark, 256, n.e5m2_decode)
+
+
+@query
+def float_encode_columns(spark, sf_dir):
+    """FP4 and FP8 codes of column values, scaled so that small and saturating ones occur."""
+    rows = tables.ordered_column(spark, sf_dir, "customer.c_acctbal")
+    v = n.mul32(F.col("v"), n.lit32(0.001))
+    rows = rows.select("idx", "v", v.alias("small"))
+    return rows.select("idx", n.e2m1_encode(F.col("small")).cast("bigint").alias("e2m1"), n.e4m3_encode(F.col("small")).cast("bigint").alias("e4m3_small"), n.e4m3_encode(F.col("v")).cast("bigint").alias("e4m3"), n.e5m2_encode(F.col("v")).cast("bigint").alias("e5m2"))
+
+
+@query
+def codec_roundtrip_exhaustive(spark, sf_dir):
+    """Every finite code decodes to a value that encodes to the same code."""
+    codes = spark.range(256).select(F.col("id").alias("code"))
+    kinds = [("e2m1", 16, n.e2m1_decode, n.e2m1_encode), ("e4m3", 256, n.e4m3_decode, n.e4m3_encode), ("e5m2", 256, n.e5m2_decode, n.e5m2_encode)]
+    out = None
+    for name, size, decode, encode in kinds:
+        rows = codes.filter(F.col("code") < size).withColumn("x", decode(F.col("code"))).filter(n.is_finite(F.col("x")))
+        rows = rows.select(F.lit(name).alias("codec"), "code", encode(F.col("x")).cast("bigint").alias("back"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def policy_decisions(spark, sf_dir):
+    return policy.decide(tables.catalog(spark, sf_dir)).select("tensor", "element_count", "kind", "action", "reason_code", "reason_text")
+
+
+@query
+def policy_threshold_sweep(spark, sf_dir):
+    catalog, out = tables.catalog(spark, sf_dir), None
+    for minimum in (0, 100, 1024, 100_000):
+        rows = policy.decide(catalog, minimum).groupBy("minimum_elements", "action").agg(F.count("*").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def catalog_inspect(spark, sf_dir):
+    return tables.catalog(spark, sf_dir).select("tensor", "dtype", F.array_join(F.transform("shape", lambda x: x.cast("string")), "x").alias("shape"), "element_count", "byte_len")
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = tables.catalog(spark, sf_dir)
+    return layout.plan(catalog, policy.decide(catalog).select("tensor", "element_count", "kind", "action"))
+
+
+@query
+def layout_plan(spark, sf_dir):
+    return _planned(spark, sf_dir).select(_i("ord"), "name", "source_name", "dtype", "byte_len", _i("data_start"), _i("data_end"), "role")
+
+
+@query
+def layout_contiguity_check(spark, sf_dir):
+    """A plan has no gaps; moved by a byte here and there it has."""
+    rows = _planned(spark, sf_dir).select(F.lit("p").alias("path"), F.col("name").alias("tensor"), (F.col("data_start") + F.when(F.col("ord") % 5 == 4, 1).otherwise(0)).alias("data_start"), "data_end")
+    return layout.gaps(rows).select("tensor", _i("data_start"), _i("expected"))
+
+
+@query
+def layout_overlap_check(spark, sf_dir):
+    rows = _planned(spark, sf_dir).select(F.lit("p").alias("path"), F.col("name").alias("tensor"), (F.col("data_start") - F.when(F.col("ord") % 4 == 3, 2).otherwise(0)).alias("data_start"), "data_end")
+    return layout.overlaps(rows).select("tensor", _i("data_start"))
+
+
+@query
+def layout_duplicate_check(spark, sf_dir):
+    rows = tables.catalog(spark, sf_dir).select("tensor")
+    return rows.unionByName(rows.filter(F.col("tensor").startswith("l"))).groupBy("tensor").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query
+def decision_anti_joins(spark, sf_dir):
+    """Decisions that lack a tensor, name another one and disagree about a size."""
+    catalog = tables.catalog(spark, sf_dir)
+    d = policy.decide(catalog).select("tensor", "element_count", "kind", "action")
+    d = d.filter("tensor <> 'events.value'").withColumn("element_count", F.when(F.col("tensor") == "part.p_size", F.col("element_count") + 1).otherwise(F.col("element_count")))
+    extra = d.filter("tensor = 'part.p_size'").withColumn("tensor", F.lit("unknown"))
+    return layout.violations(catalog, d.unionByName(extra))
+
+
+@query
+def compression_accounting(spark, sf_dir):
+    rows = tables.catalog(spark, sf_dir).filter("dtype = 'F32'")
+    c = F.col("element_count")
+    sizes = {"int8": c + 4, "int4_128": F.ceil(c / 2) + 4 * F.ceil(c / 128), "q8_0": F.ceil(c / 32) * 34, "nvfp4": F.ceil(c / 2) + F.ceil(c / 16) + 4}
+    out = rows.select("tensor", F.col("byte_len").alias("source_bytes"), F.explode(F.array(*[F.struct(F.lit(k).alias("format"), x.cast("bigint").alias("total_bytes")) for k, x in sizes.items()])).alias("f")).select("tensor", "source_bytes", "f.*")
+    return out.withColumn("ratio", diagnostics.ratio(F.col("source_bytes"), F.col("total_bytes")))
+
+
+@query
+def compression_report(spark, sf_dir):
+    return _planned(spark, sf_dir).groupBy("role").agg(F.count("*").alias("tensors"), F.sum("byte_len").cast("bigint").alias("bytes"))
+
+
+@query
+def model_report(spark, sf_dir):
+    """Roll-up over the column tensors and the vectors that the policy quantizes."""
+    names = [k for k in tables.COLUMNS if k != "supplier.s_acctbal"]
+    rows = q.dequantize(q.int8_quantize(tables.columns(spark, sf_dir, names)))
+    r, s = diagnostics.model_report(diagnostics.tensor_diagnostics(rows, INT8_MAX)), diagnostics.scaled
+    return r.select("quantized_tensors", "saturated_values", s(F.col("max_mse"), 1e3).alias("max_mse_e3"), s(F.col("max_mae"), 1e3).alias("max_mae_e3"), _d("max_abs_error"), s(F.col("lowest_sqnr_db"), 1e5).alias("lowest_sqnr_e5"))
+
+
+@query
+def validate_finite(spark, sf_dir):
+    """The lowest offending index of each vector in which some values were made NaN or infinite."""
+    i = F.col("tensor") * 64 + F.col("idx")
+    bad = F.when(i % 97 == 5, float("nan")).when(i % 131 == 7, float("-inf")).otherwise(F.col("v")).cast("float")
+    return validate.non_finite(tables.vectors(spark, sf_dir).withColumn("v", bad))
+
+
+@query
+def validate_ranges(spark, sf_dir):
+    """Values of an INT8 relation beyond the INT4 range, by tensor."""
+    return validate.out_of_range(_values(_vectors8(spark, sf_dir)).select("tensor", _i("idx"), "q"), -8, 7)
+
+
+@query
+def preserved_identity_check(spark, sf_dir):
+    """Values of a dequantized column that are the source's own."""
+    rows = q.dequantize(q.int8_quantize(tables.ordered_column(spark, sf_dir, "part.p_retailprice")))
+    both = diagnostics.paired(rows.select("tensor", "idx", "v"), rows.select("tensor", "idx", "v_hat"))
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("v") == F.col("v_hat")).alias("same"))
+
+
+@query
+def format_comparison(spark, sf_dir):
+    """Errors of the four formats on the matrix side by side."""
+    m = tables.matrix(spark, sf_dir)
+    made = {"int8": q.dequantize(q.int8_quantize(m)), "int4_32": q.dequantize(q.int4_quantize(m, 32)), "q8_0": q.dequantize(q.q8_0_quantize(m)), "nvfp4": q.nvfp4_dequantize(q.nvfp4_quantize(m))}
+    out = None
+    for name, rows in made.items():
+        rows = rows.select(F.lit(name).alias("format"), "v", "v_hat")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("format").agg(*diagnostics.metric_columns()).select("format", *_metrics())
+
+
+def _folder(spark: SparkSession) -> str:
+    """A local folder for container files: under the shared checkpoint folder where that is a file path."""
+    named = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
+    if not named.startswith("/"):
+        return tempfile.mkdtemp(prefix="tensorloom-")
+    out = f"{named}/containers-{uuid.uuid4().hex}"
+    os.makedirs(out)
+    return out
+
+
+def _fixture(path: str) -> None:
+    """A small file of a byte tensor and float tensors of each readable type."""
+    v = ((np.arange(16507) - 1024) / 64).astype("<f4")
+    half = (np.arange(2048) / 7).astype("<f2")
+    brain = ((np.arange(1500) / 3).astype("<f4").view("<u4") >> 16).astype("<u2")
+    parts = {"ids": ("U8", [3], bytes([1, 2, 3])), "weight": ("F32", [16507], v.tobytes()), "half": ("F16", [2, 1024], half.tobytes()), "brain": ("BF16", [1500], brain.tobytes()), "tiny": ("F32", [2], struct.pack("<2f", 1, -0.5))}
+    header, at = {}, 0
+    for name, (dtype, shape, raw) in parts.items():
+        header[name] = {"dtype": dtype, "shape": shape, "data_offsets": [at, at + len(raw)]}
+        at += len(raw)
+    safetensors.write_atomically(path, iter([safetensors.frame(header), *(p[2] for p in parts.values())]))
+
+
+@query
+def safetensors_write_read(spark, sf_dir):
+    from .plans import model
+
+    folder = _folder(spark)
+    _fixture(f"{folder}/in.safetensors")
+    model.quantize(spark, f"{folder}/in.safetensors", f"{folder}/out.safetensors")
+    return safetensors.catalog(spark, f"{folder}/out.safetensors").drop("path")
+
+
+@query
+def gguf_write_read(spark, sf_dir):
+    folder = _folder(spark)
+    gguf.write(f"{folder}/w.gguf", "weight", [2, 32], ((np.arange(64) - 31.5) / 10).astype("<f4"))
+    head, blocks = gguf.read_file(f"{folder}/w.gguf")
+    t = head.tensors[0]
+    values = gguf.dequantize_blocks(blocks)
+    return spark.createDataFrame([(t.name, i, float(v), head.data_offset, t.byte_len) for i, v in enumerate(values)], "tensor string, idx bigint, v_hat double, data_offset bigint, byte_len bigint")
+
+
+@query
+def manifest_json(spark, sf_dir):
+    catalog = tables.catalog(spark, sf_dir)
+    actions = {r.tensor: r.action for r in policy.decide(catalog).collect()}
+    return spark.createDataFrame([(safetensors.manifest(catalog.orderBy("tensor").collect(), actions, "tensorloom"),)], "manifest string")
