@@ -21,10 +21,16 @@ def _with_text(docs: DataFrame, rows: DataFrame, text: F.Column) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base or the learned decision list rejects go."""
+    """Documents that the base or the learned decision list rejects go.
+
+    Only ids, counts and text hashes are written; rows meet their verdict by id and hash, so
+    rows that share an id are judged each by itself.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    judged = rules.apply_rules(docs, labels, carry=docs.columns)
-    return judged.filter("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    key = F.xxhash64("text")
+    judged = rules.apply_rules(docs.select("doc_id", "text", key.alias("text_hash")), labels, carry=["text_hash"])
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("row.text_hash").alias("gone_hash"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (key == F.col("gone_hash")), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
