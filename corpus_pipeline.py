@@ -34,11 +34,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; repeated rows count once."""
+    """The document with the smallest id of each component stays.
+
+    Rows that repeat an id and its text count once, with the smallest of their other columns.
+    """
     found = materialize(simhash.near_duplicates(docs), "near")
     first = found.groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n"))
     stay = docs.join(first.filter("first").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return stay.dropDuplicates(["doc_id", "text"]) if first.filter("n > 1").limit(1).count() else stay
+    if first.filter("n > 1").isEmpty():
+        return stay
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = stay.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    return once.select(*[F.col(c if c not in rest else f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
