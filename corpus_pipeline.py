@@ -14,9 +14,8 @@ from tensorloom.llm.storage import materialize
 
 
 def _with_text(docs: DataFrame, rows: DataFrame, text: F.Column) -> DataFrame:
-    """The columns of docs from rows (a struct row of them) with a text put in; null texts stay null."""
-    new = F.when(F.col("row.text").isNotNull(), text)
-    put = {"text": new, "n_chars": F.length(new).cast("long")}
+    """The columns of docs from rows (a struct row of them) with a text put in."""
+    put = {"text": text, "n_chars": F.length(text).cast("long")}
     return rows.select(*[put.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
@@ -49,15 +48,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that an earlier document has are cut; texts without any stay as they are."""
-    out = substring.remove_repeats(docs, carry=docs.columns)
-    return _with_text(docs, out, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text")))
+    """Words of passages that an earlier document has are cut; texts without any stay as they are.
+
+    The text is dealt once; the row carries the other columns.
+    """
+    out = substring.remove_repeats(docs, keep_text=True, carry=[c for c in docs.columns if c != "text"])
+    return _with_text(docs, out, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("t")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; texts without any stay as they are."""
     out = secret_scan.find_secrets(docs, keep_text=True, carry=docs.columns)
-    return _with_text(docs, out, secret_scan.masked(F.col("t"), F.col("spans")))
+    return _with_text(docs, out, F.when(F.col("row.text").isNotNull(), secret_scan.masked(F.col("t"), F.col("spans"))))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

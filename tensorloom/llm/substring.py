@@ -228,7 +228,7 @@ def _repeats(shards: int) -> Callable:
     return group
 
 
-def _cut(window: int) -> Callable:
+def _cut(window: int, keep_text: bool) -> Callable:
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         docs, value, _ = unpack(right.column("blob").to_pylist(), "<u8")
         of, ids = _member(docs, value), left.column("doc_id").to_pylist()
@@ -254,6 +254,7 @@ def _cut(window: int) -> Callable:
                     else:
                         kept.append(b" ".join(raw[at[i] : at[i + 1]].split()))
         out = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())}
+        out |= {"t": left.column("text")} if keep_text else {}
         return pa.table(out | ({"row": left.column("row")} if "row" in left.column_names else {}))
 
     return group
@@ -271,15 +272,15 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words, joined by one space) of every row.
 
     A word goes if a window of its document covers it whose words also start in a document
     with a smaller doc_id; windows are judged on the input. Null texts have no words; rows
     with one id are no smaller than each other, so they take nothing from one another, and
     each gets a row; rows without an id neither lose words nor make others lose them. An
-    empty table gives an empty result. Columns named in carry come back in a struct, row;
-    others are left out.
+    empty table gives an empty result. keep_text adds the source text as t, null where it is
+    null. Columns named in carry come back in a struct, row; others are left out.
     """
     spark = docs.sparkSession
     row_of = [F.struct(*carry).alias("row")] if carry else []
@@ -294,6 +295,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     candidates = dealt.cogroup(anchors.groupBy("shard")).applyInArrow(_candidates(window, n), row("bucket"))
     repeats = candidates.groupBy("bucket").applyInArrow(_repeats(n), row("shard"))
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
+    if keep_text:
+        schema = schema.add("t", "string")
     if carry:
         schema = schema.add("row", docs.schema["row"].dataType)
-    return dealt.cogroup(repeats.groupBy("shard")).applyInArrow(_cut(window), schema)
+    return dealt.cogroup(repeats.groupBy("shard")).applyInArrow(_cut(window, keep_text), schema)
