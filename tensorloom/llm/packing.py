@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbuf import Interner, ragged, runs, slices
+from .textbuf import Interner, ragged, release, runs, slices
 from .token_count import byte_alphabet
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_length long, step_group long"
@@ -236,5 +236,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
         packer.pack(True)
         if packer.rows:
             yield packer.taken()
+        del packer
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(batches, SCHEMA)

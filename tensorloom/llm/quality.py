@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .textbuf import IN_WORD, run_hash, runs, slices, table_of
+from .textbuf import IN_WORD, release, run_hash, runs, slices, table_of
 
 NAMES = ("log_bytes", "log_words", "word_length", "word_spread", "letters", "capitals", "digits", "marks", "symbols", "shouts", "lines", "other_bytes", "entropy", "distinct", "doubled", "repeated_trigrams", "repeated_lines")
 
@@ -80,6 +80,7 @@ def _batch_statistics(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, at in slices(batch.column(1)):
             x = statistics_of(data, at)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c) for c in x.T)], ["doc_id", *NAMES])
+    release()
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

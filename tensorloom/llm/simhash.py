@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialize
-from .textbuf import slices
+from .textbuf import release, slices
 
 MAX_BITS = 2
 LEAST_BYTES = 8 - MAX_BITS
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 raw = data.tobytes()
                 prints = fingerprint_all([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(batches, "doc_id long, fingerprint long")
 

@@ -28,13 +28,13 @@ from pyspark.sql import types as T
 
 from .storage import materialize
 from .textbuf import _mix as mix
-from .textbuf import run_hash, runs, slices
+from .textbuf import release, run_hash, runs, slices
 
 WINDOW = 13
 #: Bytes of scanned input for each bucket, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
 #: Hashes that a map task gathers before it emits them.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 
 
 def _shard(ids: np.ndarray, n: int) -> np.ndarray:
@@ -155,12 +155,14 @@ def _probes(window: int, buckets: int) -> Callable:
                 if out.n >= FLUSH:
                     yield _emit("bucket", *out.taken())
         yield _emit("bucket", *out.taken())
+        release()
 
     return batches
 
 
 def _anchors(shards: int) -> Callable:
     def group(table: pa.Table) -> pa.Table:
+        release()
         bucket = table.column("bucket")[0].as_py()
         docs, value, flag = unpack(table.column("blob").to_pylist(), "<u4", True)
         index = np.unique(value[flag])
@@ -187,6 +189,7 @@ def _candidates(window: int, buckets: int) -> Callable:
     block, bits = (window + 1) // 2, int(math.log2(buckets))
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         out = Blobs("<u8")
         if left.num_rows and right.num_rows:
             docs, value, _ = unpack(right.column("blob").to_pylist(), "<u8")
@@ -214,6 +217,7 @@ def _candidates(window: int, buckets: int) -> Callable:
 
 def _repeats(shards: int) -> Callable:
     def group(table: pa.Table) -> pa.Table:
+        release()
         docs, value, _ = unpack(table.column("blob").to_pylist(), "<u8")
         order = np.lexsort((docs, value))
         docs, value = docs[order], value[order]
@@ -230,6 +234,7 @@ def _repeats(shards: int) -> Callable:
 
 def _cut(window: int, keep_text: bool) -> Callable:
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         docs, value, _ = unpack(right.column("blob").to_pylist(), "<u8")
         of, ids = _member(docs, value), left.column("doc_id").to_pylist()
         n, removed, kept = [], [], []

@@ -8,12 +8,13 @@ temporaries stay small however large a batch is.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: The six ASCII white-space bytes that separate words.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _BASE = 0x9E3779B97F4A7C15
@@ -74,6 +75,14 @@ def slices(column: pa.Array, budget: int = SLICE_BYTES) -> Iterator[tuple[int, i
         lo = hi
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task then holds its tables alone."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def table_of(separators: bytes) -> np.ndarray:
     """256 booleans: whether a byte belongs to a run between separators."""
     out = np.ones(256, bool)
