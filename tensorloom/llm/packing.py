@@ -66,24 +66,29 @@ class WordEncoder:
         """Plain chunks here, word by word; anything unusual and special strings by the library."""
         out: list[int] = []
         counts = np.empty(len(parts), np.int64)
-        for i, part in enumerate(parts):
-            before, text = len(out), part.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text) and not any(s in part for s in self.special):
-                for w in self.pattern.findall(text.lower()):
-                    out += self._word(w)
+        joined = b" ".join(parts)  # a chunk has no space
+        marked = any(s in joined for s in self.special)
+        known, find, plain, before = self.words, self.pattern.findall, _PLAIN.fullmatch, 0
+        for i, text in enumerate(joined.decode("utf-8", "replace").split(" ") if parts else ()):
+            if plain(text) and not (marked and any(s in parts[i] for s in self.special)):
+                low = text.lower()
+                for w in (low,) if low.isalpha() else find(low):  # letters alone are one word
+                    ids = known.get(w)
+                    out += self._word(w) if ids is None else ids
             else:
                 out += self.whole.encode(text, add_special_tokens=False).ids
             counts[i] = len(out) - before
+            before = len(out)
         return np.array(out, np.int32), counts
 
     def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = [t.id for t in self.model.tokenize("".join([self.stand_in[b] for b in word.encode()]))]
-            if len(word) <= 32:
-                if len(self.words) >= 1 << 18:
-                    self.words.clear()
-                self.words[word] = ids
+        """The ids of a word that is not in the table; printable ASCII stands for itself in the byte alphabet."""
+        spelled = word if word.isascii() else "".join([self.stand_in[b] for b in word.encode()])
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        if len(word) <= 32:
+            if len(self.words) >= 1 << 18:
+                self.words.clear()
+            self.words[word] = ids
         return ids
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
