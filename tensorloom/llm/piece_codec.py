@@ -9,7 +9,9 @@ start a rule skip the walk; their alignment is the identity.
 Segmentation is BPE over the normalised text. Merges cannot cross a place where no piece of
 the vocabulary has the two neighbouring characters inside it, so the text is cut before
 each run of spaces and around isolated line ends (both proven from the vocabulary when the
-model is loaded) and the encodings of the cut segments are kept in a table.
+model is loaded) and the encodings of the cut segments are kept in a table. A literal
+escape sign (U+2581) counts as a space there: pieces of several reach from it to the spaces
+behind it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .textbuf import Interner, ragged, slices
 
 SPACE = "▁"
+_SIGN = SPACE.encode()
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -211,7 +214,7 @@ class PieceCodec:
         cut[at] = True
         if len(data) and self.cut_spaces:
             space = data == 0x20
-            cut[1:-1] |= space[1:] & ~space[:-1]
+            cut[1:-1] |= space[1:] & ~(space | _signs(data))[:-1]
         if len(data) and self.cut_lines:
             line = data == 0x0A
             cut[1:-1] |= line[1:] | line[:-1]
@@ -266,6 +269,14 @@ class PieceCodec:
         return not ((first & 0xC0) == 0x80).any()
 
 
+def _signs(data: np.ndarray) -> np.ndarray:
+    """Where the last byte of a literal escape sign stands."""
+    out = data == _SIGN[2]
+    out[:2] = False
+    out[2:] &= (data[1:-1] == _SIGN[1]) & (data[:-2] == _SIGN[0])
+    return out
+
+
 def _valid(x: bytearray) -> bool:
     try:
         return len(x.decode("utf-8")) == 1

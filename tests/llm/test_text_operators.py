@@ -26,6 +26,19 @@ def docs(request):
     return frame, ODD if request.param == "odd" else request.getfixturevalue("texts")
 
 
+def test_pieces_escape_sign():
+    """A literal U+2581 merges with the spaces behind it, as in the library."""
+    import sentencepiece
+
+    path = P("piece_bpe_32k.model")
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.codec(path)
+    rng = np.random.default_rng(0)
+    texts = ["x▁ y", "▁ \n", "x▁ ", "▁", " ", *("".join(rng.choice(list("▁▁  ab\n"), rng.integers(1, 12))) for _ in range(2000))]
+    for t, d in zip(texts, own.encode_all([t.encode() for t in texts]), strict=True):
+        assert d.ids.tolist() == lib.encode(t), t
+        assert b"".join(t.encode()[a:b] for a, b in zip(d.begins, d.ends, strict=True)) == t.encode(), t
+
+
 def test_counts(docs):
     got = rules.document_counts(docs[0]).collect()
     assert pairs(got, "doc_id", *rules.COUNTS) == sorted(((d, *brute.counts(t)) for d, t in docs[1]), key=repr)
