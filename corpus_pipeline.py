@@ -33,13 +33,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays.
+    """One document of each component stays: the smallest id, of its texts the one with the smallest hash.
 
-    Rows that repeat an id and its text count once, with the smallest of their other columns.
+    Rows are judged by id and text hash, so rows that share an id, or have none, stay or go
+    each by itself; a row without an id stays where its component has no other. Rows that
+    repeat an id and its text count once, with the smallest of their other columns.
     """
-    found = materialize(simhash.near_duplicates(docs), "near")
-    first = found.groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n"))
-    stay = docs.join(first.filter("first").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    key = F.xxhash64("text")
+    found = simhash.clusters(docs.select("doc_id", "text", key.alias("text_hash")), carry=("text_hash",))
+    texts = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), "n")
+    first = materialize(texts.groupBy("root").agg(F.min(order).alias("x")).select("x.first_id", "x.first_hash", "x.n"), "near")
+    stay = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (key == F.col("first_hash")), "left_semi")
     if first.filter("n > 1").isEmpty():
         return stay
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]

@@ -62,18 +62,22 @@ def fingerprint_all(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint long) of every row; null and word-less texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint long, then the columns of carry) of every row; null and word-less texts have fingerprint zero."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    names = ["doc_id", "fingerprint", *carry]
+    kinds = ["long", "long", *(own.schema[c].dataType.simpleString() for c in carry)]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for lo, hi, data, at in slices(batch.column(1)):
                 raw = data.tobytes()
                 prints = fingerprint_all([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
+                rest = [batch.column(k).slice(lo, hi - lo) for k in range(2, 2 + len(carry))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(prints.view(np.int64)), *rest], names)
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(batches, "doc_id long, fingerprint long")
+    return own.mapInArrow(batches, ", ".join(f"`{c}` {k}" for c, k in zip(names, kinds, strict=True)))
 
 
 def _block(x: Column, k: int) -> Column:
@@ -122,10 +126,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, longest_list: int = 64, i
     null ids never become a component id unless a component has no other. Other columns are
     left out; an empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    return clusters(docs, shingle, longest_list, id_col, text_col).select("doc_id", "fingerprint", "component_id")
+
+
+def clusters(docs: DataFrame, shingle: int = 3, longest_list: int = 64, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """near_duplicates() with root, which names the component, and the columns of carry.
+
+    component_id doesn't name it where ids repeat: rows of one id can be the least of several components.
+    """
+    prints = materialize(fingerprints(docs, shingle, id_col, text_col, carry), "fingerprints")
     classes = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "classes")
     roots = connected_components(links(classes, longest_list))
     rooted = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    of = rooted.join(least, "root").select("fingerprint", "root", "component_id")
+    return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id", "root", *carry)

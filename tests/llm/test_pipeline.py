@@ -61,6 +61,18 @@ def test_stages_odd(spark, small):
     check_stages(spark, frame, small)
 
 
+def test_near_duplicates_by_row(spark, small):
+    """Of each component one row stays, where ids repeat or are missing too."""
+    text = lambda k: " ".join(f"w{k * 100 + i}" for i in range(30))
+    given = [(1, text(1)), (5, text(1)), (5, text(2)), (5, text(3)), (None, text(3)), (None, text(4)), (None, text(4)), (None, text(5)), (7, text(6)), (7, text(6)), (8, text(7)), (9, text(2))]
+    frame = spark.createDataFrame([(d, t, None, "s", len(t)) for d, t in given], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = [(1, text(1)), (5, text(2)), (5, text(3)), (None, text(4)), (None, text(5)), (7, text(6)), (8, text(7))]
+    assert len({c for c in brute.components([(i, brute.fingerprint(t)) for i, (_, t) in enumerate(want)])}) == len(want)
+    out = cp.near_duplicates(spark, frame, small)
+    assert out.columns == frame.columns
+    assert rows(out.select("doc_id", "text")) == sorted(want, key=repr)
+
+
 def test_run(spark, small, documents):
     out = cp.run(spark, small)
     assert 0 < out.select("doc_id").distinct().count() < documents.count()
