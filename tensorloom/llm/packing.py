@@ -2,11 +2,16 @@
 
 Each document's ids end with an end id. Full windows of the longest tier are cut off first;
 the rest of a document is routed to the shortest tier that holds it. Tiers are packed from
-the longest down: an item opens a window, and the gap it leaves is filled with the largest
-items that fit, looked for in its own tier and then in shorter ones; what still stays open
-is filled by cutting one short item. Only the last windows of a partition can stay open;
-their content is laid out in sequences whose lengths are powers of two, so hardly any
-padding is left.
+the longest down, each into windows of its own length: the tier's largest item opens a
+window, and the gap it leaves is filled with the largest items that fit, looked for in its
+own tier and then in shorter ones; what still stays open is filled by cutting the smallest
+item in two. Only items that cannot fill a last window are left at a partition's end, less
+than a window of the longest tier in all; they are laid out in sequences whose lengths are
+powers of two, so nothing is padded.
+
+A step group holds sequences of one length and step_tokens tokens. What is left of each
+length at a partition's end forms groups of as many tokens over several lengths; only the
+last group of a partition holds fewer.
 
 The work is a single pass over the scan partitions: no shuffle, and a lost task recomputes
 the same pieces with the same sequence ids, which hold the partition number.
@@ -116,7 +121,7 @@ class Item:
 
 @dataclass
 class Packer:
-    """Collects items and closes sequences; holds at most about hold tokens."""
+    """Collects items and closes sequences; holds at most about hold tokens, and a step group of each length."""
 
     part: int
     tiers: tuple[int, ...] = TIERS
@@ -125,7 +130,8 @@ class Packer:
     items: list[Item] = field(default_factory=list)
     held: int = 0
     made: int = 0
-    steps: dict[int, list[int]] = field(default_factory=dict)
+    groups: int = 0
+    waiting: dict[int, list[list[tuple]]] = field(default_factory=dict)  # by length: sequences whose step group is not full
     rows: list[tuple] = field(default_factory=list)
 
     def add(self, doc: int, row: int, ids: np.ndarray) -> None:
@@ -147,30 +153,31 @@ class Packer:
             pools[bisect.bisect_left(self.tiers, len(it.ids))].append((len(it.ids), i))
         for p in pools:
             p.sort()
-        left = sum(len(it.ids) for it in items)
-        window = self.tiers[-1]
-        while left >= window:
-            chosen, gap = [], window
-            while gap:
-                pick = self._largest(pools, gap)
-                if pick is None:
-                    break
-                chosen.append(items[pick])
-                gap -= len(items[pick].ids)
-            if gap:  # the smallest item at hand is cut in two
-                pool = next(p for p in pools if p)
-                n, i = pool.pop(0)
-                it = items[i]
-                chosen.append(Item(it.doc, it.row, it.start, it.ids[:gap], it.total))
-                items[i] = Item(it.doc, it.row, it.start + gap, it.ids[gap:], it.total)
-                bisect.insort(pools[bisect.bisect_left(self.tiers, n - gap)], (n - gap, i))
-            self._close(chosen, window)
-            left -= window
+        for tier in reversed(range(len(self.tiers))):
+            window, within = self.tiers[tier], pools[: tier + 1]
+            left = sum(n for p in within for n, _ in p)
+            while pools[tier] and left >= window:
+                chosen, gap = [], window
+                while gap:
+                    pick = self._largest(within, gap)
+                    if pick is None:
+                        break
+                    chosen.append(items[pick])
+                    gap -= len(items[pick].ids)
+                if gap:  # the smallest item at hand is cut in two
+                    n, i = next(p for p in within if p).pop(0)
+                    it = items[i]
+                    chosen.append(Item(it.doc, it.row, it.start, it.ids[:gap], it.total))
+                    items[i] = Item(it.doc, it.row, it.start + gap, it.ids[gap:], it.total)
+                    bisect.insort(pools[bisect.bisect_left(self.tiers, n - gap)], (n - gap, i))
+                self._close(chosen, window)
+                left -= window
         rest = [items[i] for p in reversed(pools) for _, i in reversed(p)]
+        left = sum(len(it.ids) for it in rest)  # less than the longest window
         if not last:
             self.items, self.held = rest, left
             return
-        size = window
+        size = self.tiers[-1]
         while rest:  # powers of two, the largest first: full ones, never padded
             while size > left:
                 size //= 2
@@ -184,6 +191,17 @@ class Packer:
                 gap -= n
             self._close(chosen, size)
             left -= size
+        group, tokens = [], 0
+        for length in sorted(self.waiting, reverse=True):  # powers of two in this order fill groups exactly
+            for sequence in self.waiting[length]:
+                group.append(sequence)
+                tokens += length
+                if tokens >= self.step_tokens:
+                    self._step(group)
+                    group, tokens = [], 0
+        if group:
+            self._step(group)
+        self.waiting = {}
 
     def _largest(self, pools: list[list[tuple[int, int]]], gap: int) -> int | None:
         for p in reversed(pools):
@@ -195,15 +213,20 @@ class Packer:
     def _close(self, chosen: list[Item], length: int) -> None:
         sequence = (self.part << 32) + self.made
         self.made += 1
-        step = self.steps.setdefault(length, [len(self.steps) << 24, 0])
-        if step[1] + length > max(self.step_tokens, length):  # a step group holds equal tokens of one length
-            step[0], step[1] = step[0] + 1, 0
-        step[1] += length
-        offset = 0
+        offset, rows = 0, []
         for it in chosen:
             raw = np.ascontiguousarray(it.ids, "<u4").tobytes()
-            self.rows.append((it.doc, it.start, len(it.ids), zlib.crc32(raw), it.total, sequence, offset, length, length, (self.part << 32) + step[0]))
+            rows.append((it.doc, it.start, len(it.ids), zlib.crc32(raw), it.total, sequence, offset, length, length))
             offset += len(it.ids)
+        same = self.waiting.setdefault(length, [])
+        same.append(rows)
+        if len(same) * length >= self.step_tokens:
+            self._step(self.waiting.pop(length))
+
+    def _step(self, sequences: list[list[tuple]]) -> None:
+        group = (self.part << 32) + self.groups
+        self.groups += 1
+        self.rows.extend((*r, group) for rows in sequences for r in rows)
 
     def taken(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
@@ -216,7 +239,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
 
     doc_id, start, length, ids_crc32 (little-endian unsigned 32-bit ids), doc_tokens,
     sequence_id, offset, then sequence_tokens, sequence_length (the length it is padded to)
-    and step_group (sequences of one length, equal tokens a group).
+    and step_group (equal tokens a group; of one length but at a partition's end).
 
     Null and empty texts hold the end id alone. Rows with one id are packed each by itself,
     so their pieces appear once for each row. Other columns are left out; an empty table

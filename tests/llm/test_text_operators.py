@@ -203,6 +203,45 @@ def test_packing(docs):
         assert at == 4096 or not at & (at - 1)
 
 
+def packed(lengths, **options):
+    """Rows of a Packer by name, for documents of these lengths."""
+    packer = packing.Packer(3, **options)
+    for d, n in enumerate(lengths):
+        packer.add(d, d, np.arange(n, dtype=np.int32))
+    packer.pack(True)
+    rows = packer.taken().to_pylist()
+    for d, n in enumerate(lengths):
+        at = 0
+        for r in sorted((r for r in rows if r["doc_id"] == d), key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["length"]
+        assert at == n
+    return rows
+
+
+def test_packing_tiers():
+    """Each tier fills sequences of its own length, long windows take short items for their gaps, groups are equal."""
+    for n, window in ((300, 512), (700, 1024), (1500, 2048), (3000, 4096)):
+        rows = packed([n] * 300)
+        tokens = defaultdict(int)
+        for r in rows:
+            tokens[r["sequence_length"]] += r["length"]
+        assert tokens[window] > 0.5 * sum(tokens.values()), (n, tokens)
+        assert window != 512 or set(tokens) <= {1 << k for k in range(10)}
+    assert sum(r["length"] for r in packed([300] * 300, tiers=(4096,)) if r["sequence_length"] == 4096) == 21 * 4096
+    rng = np.random.default_rng(0)
+    lengths = [int(x) for x in rng.choice([1, 90, 300, 511, 512, 700, 1500, 2048, 3000, 4096, 9000], 2000)]
+    for hold in (1 << 14, 1 << 20):
+        rows = packed(lengths, hold=hold)
+        assert {r["sequence_length"] for r in rows if r["doc_tokens"] == 90} & {2048, 4096}  # in gaps
+        assert {r["sequence_length"] for r in rows} >= {512, 1024, 2048, 4096}
+        groups = defaultdict(dict)
+        for r in rows:
+            groups[r["step_group"]][r["sequence_id"]] = r["sequence_length"]
+        tokens = [sum(g.values()) for _, g in sorted(groups.items())]
+        assert set(tokens[:-1]) == {1 << 16} and 0 < tokens[-1] <= 1 << 16
+
+
 def test_media(docs):
     got = jpeg.media_digests(docs[0]).collect()
     files = {}
