@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +72,36 @@ def progress(p: Plan) -> list[str]:
     return out
 
 
+def _codes(spark: SparkSession, path: str, names: list[str], chunk: int) -> DataFrame:
+    """(tensor, chunk, qs array<tinyint>) of the named tensors of a file, their bytes read as INT8; chunk: a multiple of four."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            raw = b.column(2).to_pylist()
+            at = np.cumsum([0, *map(len, raw)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int8)))], ["tensor", "chunk", "qs"])
+
+    return st.payload(spark, path, chunk=chunk // 4).filter(F.col("tensor").isin(names)).select("tensor", "chunk", "bytes").mapInArrow(batches, "tensor string, chunk long, qs array<tinyint>")
+
+
+def reopened(spark: SparkSession, p: Plan, output: str, scales: DataFrame, chunk: int = CHUNK_ELEMENTS) -> DataFrame:
+    """Diagnostics by tensor of what the output's own qdata and scales (tensor, scale) dequantize to, against the source."""
+    names = {r.name: r.source_name for r in p.layout.filter("role = 'qdata'").select("name", "source_name").collect()}
+    of = spark.createDataFrame(list(names.items()), "tensor string, source_name string")
+    codes = _codes(spark, output, list(names), chunk).join(of, "tensor").select(F.col("source_name").alias("tensor"), "chunk", "qs")
+    values = st.chunks(spark, p.source, chunk).filter(F.col("tensor").isin(list(names.values())))
+    both = values.join(codes, ["tensor", "chunk"], "full_outer")
+    odd = both.filter("vals is null or qs is null or size(vals) <> size(qs)").select("tensor", "chunk").limit(1).collect()
+    if odd:
+        raise TensorError("LengthMismatch", f"tensor {odd[0].tensor} in chunk {odd[0].chunk}")
+    zipped = both.join(scales, "tensor").select("tensor", "base_idx", "scale", F.posexplode(F.arrays_zip("vals", "qs")).alias("i", "x"))
+    rows = zipped.select("tensor", (F.col("base_idx") + F.col("i")).alias("idx"), F.col("x.vals").alias("v"), F.col("x.qs").alias("q"), n.dequantize(F.col("x.qs"), F.col("scale")).alias("v_hat"))
+    validate.check(validate.out_of_range(rows, -INT8_MAX, INT8_MAX), validate.overflows(rows))
+    return diagnostics.tensor_diagnostics(rows, INT8_MAX)
+
+
 def check_output(spark: SparkSession, p: Plan, output: str) -> dict:
-    """Reopen the output: names, preserved bytes, scales, dequantized values and metrics."""
+    """Reopen the output: names, preserved bytes, scales, dequantized values and their metrics."""
     planned, made = p.layout.select("name", "source_name", "role", "byte_len"), st.read_header(output)
     actual = st.catalog(spark, output)
     if not layout.same_names(planned, actual.select(F.col("tensor").alias("name"))):
@@ -83,10 +114,12 @@ def check_output(spark: SparkSession, p: Plan, output: str) -> dict:
     scale_rows = planned.filter("role = 'scale'").select(F.col("name").alias("tensor"), F.col("source_name"))
     scales = st.chunks(spark, output).join(scale_rows, "tensor").select(F.col("source_name").alias("tensor"), F.get("vals", 0).alias("scale"))
     validate.check(validate.bad_scales(scales))
-    r = diagnostics.model_report(p.diagnostics).first()
     counts = {x.role: x["count"] for x in planned.groupBy("role").count().collect()}
     if counts.get("scale", 0) != counts.get("qdata", 0) or scales.count() != counts.get("scale", 0):
         raise TensorError("MissingScale", output)
+    r = diagnostics.model_report(reopened(spark, p, output, scales)).first()
+    if r.quantized_tensors != counts.get("qdata", 0):
+        raise TensorError("LengthMismatch", output)
     return r.asDict() | {"quantized_tensors": counts.get("qdata", 0), "preserved_tensors": counts.get("preserved", 0), "output_bytes": made.file_size}
 
 

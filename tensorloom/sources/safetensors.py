@@ -211,11 +211,11 @@ def chunks(spark: SparkSession, path: str, chunk: int = CHUNK_ELEMENTS, tensor:
     return _load(spark, path, "chunks", chunk, tensor)
 
 
-def payload(spark: SparkSession, path: str, tensor: str | None = None) -> DataFrame:
-    """Any tensor as consecutive byte chunks."""
+def payload(spark: SparkSession, path: str, tensor: str | None = None, chunk: int = CHUNK_ELEMENTS) -> DataFrame:
+    """Any tensor as consecutive byte chunks of four bytes an element."""
     if tensor is not None:
         read_header(path).tensor(tensor)
-    return _load(spark, path, "payload", CHUNK_ELEMENTS, tensor)
+    return _load(spark, path, "payload", chunk, tensor)
 
 
 def _load(spark: SparkSession, path: str, mode: str, chunk: int, tensor: str | None) -> DataFrame:

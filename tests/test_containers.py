@@ -157,6 +157,37 @@ def test_small_file_and_failure(spark, tmp_path):
     assert not (tmp_path / "none").exists() and not [p for p in tmp_path.iterdir() if p.suffix == ".tmp"]
 
 
+def test_output_is_read(spark, tmp_path):
+    """The report comes from the output's own qdata and scale, so a file that was written wrong shows."""
+    v = ((np.arange(16507) - 1024) / 64).astype("<f4")
+    path, out = put(tmp_path / "in", {"half": ("F16", [2048], (np.arange(2048) / 7).astype("<f2").tobytes()), "weight": ("F32", [16507], v.tobytes())}), str(tmp_path / "out")
+    model.quantize(spark, path, out)
+    p, h, good = model.plan(spark, path), st.read_header(out), (tmp_path / "out").read_bytes()
+    at = lambda name: slice(h.data_start + h.tensor(name).start, h.data_start + h.tensor(name).end)
+    q, scale = np.frombuffer(good[at("weight.qdata")], np.int8), np.frombuffer(good[at("weight.scale")], "<f4")[0]
+    first = model.check_output(spark, p, out)
+
+    def checked(codes, factor):
+        raw = bytearray(good)
+        raw[at("weight.qdata")], raw[at("weight.scale")] = codes.tobytes(), np.float32(scale * factor).astype("<f4").tobytes()
+        (tmp_path / "out").write_bytes(raw)
+        r = model.check_output(spark, p, out)
+        e = v.astype(float) - (codes.astype("f4") * np.float32(scale * factor)).astype(float)
+        assert np.isclose(r["max_abs_error"], max(np.abs(e).max(), first["max_abs_error"])) and np.isclose(r["max_mse"], max((e * e).mean(), first["max_mse"]))
+        return r
+
+    assert checked(q, 1) == first
+    assert checked(np.roll(q, 7)[::-1].copy(), 1)["max_mse"] > 10 * first["max_mse"]
+    assert checked(q, 3)["max_mae"] > 10 * first["max_mae"]
+    assert checked(np.full_like(q, 127), 1)["saturated_values"] >= len(q)
+    beyond = q.copy()
+    beyond[16400] = -128
+    with pytest.raises(TensorError, match="QuantizedValueOutOfRange: tensor weight at index 16400"):
+        checked(beyond, 1)
+    with pytest.raises(TensorError, match="DequantizedValueOverflow: tensor weight"):
+        checked(q, np.float64(3e38) / scale)
+
+
 def test_command_line(spark, tmp_path, capsys):
     path = put(tmp_path / "a", THREE)
     assert cli.main(["inspect", path]) == 0
