@@ -324,9 +324,9 @@ def compression_report(spark, sf_dir):
 
 @query
 def model_report(spark, sf_dir):
-    """Roll-up over the column tensors and the vectors that the policy quantizes."""
-    names = [k for k in tables.COLUMNS if k != "supplier.s_acctbal"]
-    rows = q.dequantize(q.int8_quantize(tables.columns(spark, sf_dir, names)))
+    """Roll-up over the tensors of the tables that the policy quantizes, the embedding matrix among them."""
+    decided = policy.decide(tables.catalog(spark, sf_dir)).filter("action = 'quantize'")
+    rows = q.dequantize(q.int8_quantize(tables.values(spark, sf_dir, [r.tensor for r in decided.select("tensor").collect()])))
     r, s = diagnostics.model_report(diagnostics.tensor_diagnostics(rows, INT8_MAX)), diagnostics.scaled
     return r.select("quantized_tensors", "saturated_values", s(F.col("max_mse"), 1e3).alias("max_mse_e3"), s(F.col("max_mae"), 1e3).alias("max_mae_e3"), _d("max_abs_error"), s(F.col("lowest_sqnr_db"), 1e5).alias("lowest_sqnr_e5"))
 

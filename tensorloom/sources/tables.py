@@ -17,6 +17,8 @@ COLUMNS = {
 }
 INTEGERS = {"orders.o_orderkey": "I64", "customer.c_custkey": "I64", "customer.c_nationkey": "I32", "part.p_size": "I32", "nation.n_nationkey": "I32", "region.r_regionkey": "I32"}
 
+MATRIX = "embeddings.embedding"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +43,14 @@ def columns(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def values(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """(tensor, v) of any float tensors of the catalog; no order."""
+    parts = [columns(spark, sf_dir, own)] if (own := [x for x in names if x != MATRIX]) else []
+    if MATRIX in names:
+        parts.append(vectors(spark, sf_dir).select(F.lit(MATRIX).alias("tensor"), "v"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "tensor string, v float")
+
+
 def ordered_column(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """(tensor, idx, v) of a column whose table has a dense unique key: idx is the key minus its minimum."""
     key, rows = COLUMNS[name], table(spark, sf_dir, name.split(".")[0])
@@ -63,6 +73,6 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         counted = table(spark, sf_dir, t).agg(F.count("*").alias("n"))
         parts.append(counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("tensor"), F.lit(kinds[n]).alias("dtype"), F.array("n").alias("shape"), F.col("n").alias("element_count"), (F.col("n") * (8 if kinds[n] == "I64" else 4)).alias("byte_len")) for n in own])).alias("x")).select("x.*"))
     vec = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("bigint").alias("w"))
-    parts.append(vec.select(F.lit("embeddings.embedding").alias("tensor"), F.lit("F32").alias("dtype"), F.array("n", "w").alias("shape"), (F.col("n") * F.col("w")).alias("element_count"), (F.col("n") * F.col("w") * 4).alias("byte_len")))
+    parts.append(vec.select(F.lit(MATRIX).alias("tensor"), F.lit("F32").alias("dtype"), F.array("n", "w").alias("shape"), (F.col("n") * F.col("w")).alias("element_count"), (F.col("n") * F.col("w") * 4).alias("byte_len")))
     found = reduce(DataFrame.unionByName, parts)
     return spark.createDataFrame(found.collect(), found.schema)

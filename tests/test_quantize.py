@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tensorloom import catalog
 from tensorloom.functions import numeric as n
-from tensorloom.operators import arrays, diagnostics, validate
+from tensorloom.operators import arrays, diagnostics, policy, validate
 from tensorloom.operators import quantize as q
 from tensorloom.schema import TensorError
+from tensorloom.sources import tables
 
 
 def elements(spark, values, tensor="t"):
@@ -173,3 +175,21 @@ def test_violations(spark):
     assert [r.tensor for r in validate.bad_scales(scales).collect()] == ["t"]
     with pytest.raises(TensorError, match="LengthMismatch"):
         diagnostics.paired(rows, rows.filter("idx < 3").withColumn("v_hat", F.col("v")))
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_model_report_follows_policy(spark, sf_dir):
+    """The report covers exactly the tensors that the policy quantizes."""
+    names = [r.tensor for r in policy.decide(tables.catalog(spark, sf_dir)).filter("action = 'quantize'").collect()]
+    assert "embeddings.embedding" in names
+    worst, saturated = 0.0, 0
+    for name in names:
+        t, c = name.split(".")
+        v = np.array([x for (x,) in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(c).toLocalIterator()], np.float32).ravel()
+        scale = np.abs(v).max() / np.float32(127)
+        y = (v / scale).astype(float)
+        code = np.clip(np.sign(y) * np.floor(np.abs(y) + 0.5), -127, 127).astype(np.float32)
+        worst, saturated = max(worst, float(np.abs(v.astype(float) - (code * scale).astype(float)).max())), saturated + int((np.abs(code) == 127).sum())
+    got = catalog.model_report(spark, sf_dir).first()
+    assert (got.quantized_tensors, got.saturated_values) == (len(names), saturated)
+    assert np.isclose(got.max_abs_error, worst)
