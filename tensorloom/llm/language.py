@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import fold_of
@@ -107,22 +107,29 @@ def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def train_network(docs: DataFrame, max_documents: int = 3000, windows_per_document: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
-    """A network from at most max_documents labelled rows, those with the smallest hash of the id.
+    """A network of all languages, from at most max_documents labelled rows (one a language if those are more).
 
-    The bound keeps the sample that reaches the driver at a fixed size; of each text
-    windows_per_document windows spread over all of it are used. None: no labelled text.
+    The bound is dealt to the languages, rare ones first, so each has rows in the sample; of
+    a language the rows with the smallest hash of the id are taken. The bound keeps what
+    reaches the driver at a fixed size; of each text windows_per_document windows spread
+    over all of it are used. None: no labelled text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and length(text) > 0")
     n = F.length("text")
     cuts = F.transform(F.sequence(F.lit(0), F.lit(windows_per_document - 1)), lambda i: F.substr("text", (i * F.greatest(n - WINDOW, F.lit(0)) / max(1, windows_per_document - 1)).cast("int") + 1, F.lit(WINDOW)))
-    total, slots = rows.count(), 1 << 40
-    # about 1.5 times the bound pass, whatever the input, so the partitions' own leaders stay few as well
-    few = min(slots, math.ceil(slots * min(1.0, 1.5 * (max_documents + 100) / max(total, 1))))
-    near = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", "text").filter(F.pmod("h", F.lit(slots)) < few)
-    got = near.select(F.pmod("h", F.lit(slots)).alias("h"), "doc_id", "lang", F.array_distinct(cuts).alias("cuts")).orderBy("h", "doc_id", "lang", "cuts").limit(max_documents).collect()
-    if not got:
+    counts, slots, left, bounds = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}, 1 << 40, max_documents, []
+    if not counts:
         return None
-    classes = sorted({r.lang for r in got})
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        most = min(counts[lang], max(1, left // (len(counts) - k)))
+        left -= most
+        # about 1.5 times the bound pass, whatever the input, so the sort by language stays small as well
+        bounds.append((lang, most, min(slots, math.ceil(slots * min(1.0, 1.5 * (most + 100) / counts[lang])))))
+    near = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("h"), "doc_id", "lang", "text").join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most long, few long")), "lang").filter("h < few")
+    near = near.select("h", "doc_id", "lang", "most", F.array_distinct(cuts).alias("cuts"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "cuts"))
+    got = near.withColumn("place", place).filter("place <= most").orderBy("h", "doc_id", "lang", "cuts").select("lang", "cuts").collect()
+    classes = sorted(counts)
     net = ByteNet(classes)
     raw = [(c.encode()[:WINDOW], classes.index(r.lang)) for r in got for c in r.cuts]
     at = np.cumsum([0, *(len(c) for c, _ in raw)])

@@ -98,6 +98,14 @@ def test_language_odd(odd, empty):
     assert {r.lang_pred for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_rare(spark):
+    """A language with few rows is learned however small the sample is."""
+    rows = [(i, "the cat sat on the mat", "en" if i % 2 else "fr") for i in range(2000)] + [(5000 + i, "ж" * 40, "ru") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train_network(frame, max_documents=12).classes == ["en", "fr", "ru"]
+    assert language.train_network(frame, max_documents=2).classes == ["en", "fr", "ru"]
+
+
 def test_windows_cover():
     data, at = textbuf.buffers(pa.array(["x" * 500, "", "yz"]))
     x, own, n = language.windows_of(data, at)
