@@ -3,49 +3,45 @@
 A window of w words holds a whole block of b = (w + 1) // 2 words that starts at a multiple
 of b. So the index takes only the non-overlapping blocks of each document, and every
 rolling b-word window of every document probes it. A block that two documents have is an
-anchor; around each hit the w-word windows that hold it are the candidates, and those found
-in a smaller document, taken together, are the maximal exact repeats.
-
-Stage 1 deals 32-bit block hashes to buckets by their leading bits, packed as arrays.
-Stage 2 brings the anchors back to their documents and deals the candidates' 64-bit hashes.
-Stage 3 brings back those that a smaller document has and cuts the words. A falsely equal
-32-bit anchor only makes a candidate; candidates are compared by 64-bit hashes of the w
-words. The buckets grow in number with the input, so that one bucket stays a few MB;
-within a bucket a hash that very many documents have is one entry.
+anchor; each hit is extended over the words around it to the w-word windows that hold it.
+
+Texts are dealt once to homes, and the work goes to and fro between homes and buckets of
+hashes. A home speaks for all its documents: it sends a hash once, however many of them have
+it, so a passage that every document has costs a bucket one entry a home.
+
+1. Homes deal their block hashes (32 bits and the bucket) to buckets, marked where a block
+   stands in the index.
+2. Buckets tell homes the anchors: indexed somewhere, and in two documents.
+3. Homes extend the hits to windows and deal those by 64-bit hashes, each with its smallest
+   document.
+4. Buckets line up the homes of a window by that document and ask each home to send the
+   window to the next one: a chain, so that no home serves all others.
+5. Homes send runs of consecutive windows as text, the maximal repeats.
+6. Homes compare the words, of what they were sent and of windows that their own documents
+   share, and cut those that are the same. A hash never decides alone: words differ, words
+   stay.
+
+Homes and buckets grow in number with the bytes of the texts, without an upper limit.
 """
 
 from __future__ import annotations
 
-import gc
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize
 from .textbuf import _mix as mix
-from .textbuf import release, run_hash, runs, slices
+from .textbuf import buffers, release, run_hash, runs, slices
 
 WINDOW = 13
-#: Bytes of scanned input for each bucket, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
-#: Hashes that a map task gathers before it emits them.
-FLUSH = 1 << 19
-
-
-def _shard(ids: np.ndarray, n: int) -> np.ndarray:
-    """pmod(xxhash64(id), n) of Spark: XXH64 of an 8-byte integer with seed 42."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rotl = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    h = (np.uint64(42 + 8) + p5) ^ (rotl(np.asarray(ids, np.int64).view(np.uint64) * p2, 31) * p1)
-    h = rotl(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return (h ^ (h >> np.uint64(32))).view(np.int64) % n
+#: Bytes of text in a home: at least, and at most; between them as the root of all bytes.
+LEAST_HOME, MOST_HOME, ROOT_FROM = 8 << 20, 64 << 20, 32 << 30
+MESSAGE = "{} long, sender long, blob binary"
 
 
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
@@ -60,221 +56,249 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def _inside(first: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of k-word windows within one text, index of that text)."""
-    words = np.diff(first)
-    own = np.repeat(np.arange(len(words)), words)
-    pos = np.arange(n) - first[own]
-    ok = np.flatnonzero(pos + k <= words[own])
-    return ok, own[ok]
-
-
-class Blobs:
-    """Packs (key, document, value) triples into one binary row for each key."""
-
-    def __init__(self, dtype: str, flags: bool = False):
-        self.dtype, self.flags, self.parts, self.n = np.dtype(dtype), flags, [], 0
-
-    def add(self, key: np.ndarray, doc: np.ndarray, value: np.ndarray, flag: np.ndarray | None = None) -> None:
-        if len(key):
-            self.parts.append((key, doc, value.astype(self.dtype), flag))
-            self.n += len(key)
-
-    def taken(self) -> tuple[list[int], list[bytes]]:
-        if not self.parts:
-            return [], []
-        key, doc, value = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
-        flag = np.concatenate([p[3] for p in self.parts]) if self.flags else None
-        self.parts, self.n = [], 0
-        order = np.argsort(key.astype(np.uint16), kind="stable")  # at most MOST_BUCKETS keys: a radix sort
-        key, doc, value = key[order], doc[order], value[order]
-        keys, at = np.unique(key, return_index=True)
-        out = []
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
-            own = doc[a:b]
-            begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            docs = own[begin]
-            counts = np.diff(np.append(begin, b - a)).astype("<u4")
-            blob = [np.array([len(docs), b - a], "<u4").tobytes(), docs.astype("<i8").tobytes(), counts.tobytes(), value[a:b].tobytes()]
-            if flag is not None:
-                blob.append(np.packbits(flag[order[a:b]]).tobytes())
-            out.append(b"".join(blob))
-        return keys.tolist(), out
-
-
-def unpack(blobs: list[bytes], dtype: str, flags: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, value, flag) of all entries."""
-    docs, values, marks, size = [], [], [], np.dtype(dtype).itemsize
-    for blob in blobs:
-        d, n = np.frombuffer(blob, "<u4", 2).tolist()
-        docs.append(np.repeat(np.frombuffer(blob, "<i8", d, 8), np.frombuffer(blob, "<u4", d, 8 + 8 * d)))
-        values.append(np.frombuffer(blob, dtype, n, 8 + 12 * d))
-        if flags:
-            marks.append(np.unpackbits(np.frombuffer(blob, np.uint8, -1, 8 + 12 * d + size * n), count=n).astype(bool))
-    join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-    return join(docs, np.int64), join(values, dtype), join(marks, bool)
-
-
-def _spread(value: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Whether each value belongs to two or more different documents."""
-    if not len(value):
-        return np.empty(0, bool)
-    order = np.lexsort((docs, value))
-    v, d = value[order], docs[order]
-    edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    last = np.append(edge[1:], len(v)) - 1
-    out = np.empty(len(v), bool)
-    out[order] = np.repeat(d[edge] != d[last], last - edge + 1)
-    return out
-
-
-def _emit(name: str, keys: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], [name, "blob"])
-
-
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, first = runs(data, at)
-    return starts, ends, first, run_hash(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
-
-
-def _probes(window: int, buckets: int) -> Callable:
-    block, bits = (window + 1) // 2, int(math.log2(buckets))
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Blobs("<u4", True)
-        for batch in it:
-            ids, known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for lo, hi, data, at in slices(batch.column(1)):
-                _, _, first, words = _words(data, at)
-                h = rolling(words, block)
-                ok, own = _inside(first, block, len(words))
-                use = known[lo:hi][own] & (np.diff(first)[own] >= window)
-                ok, own = ok[use], own[use]
-                h = h[ok]
-                out.add((h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64), ids[lo:hi][own], (h & np.uint64(0xFFFFFFFF)).astype("<u4"), (ok - first[own]) % block == 0)
-                if out.n >= FLUSH:
-                    yield _emit("bucket", *out.taken())
-        yield _emit("bucket", *out.taken())
-        release()
-
-    return batches
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins in sorted columns."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+class Home:
+    """The words of a group of texts: their spans in one buffer, and their hashes."""
+
+    def __init__(self, table: pa.Table, window: int):
+        ids, text = table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
+        self.data, self.at = buffers(text)
+        parts, base = [], 0
+        for lo, _, data, at in slices(text):
+            starts, ends, first = runs(data, at)
+            h = run_hash(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
+            parts.append((starts + self.at[lo], ends + self.at[lo], h, first[:-1] + base))
+            base += len(starts)
+        whole = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, kind)
+        self.starts, self.ends, self.words = whole(0, np.int64), whole(1, np.int64), whole(2, np.uint64)
+        self.first = np.append(whole(3, np.int64), base)
+        self.ids, self.known = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+        self.usable = self.known & (np.diff(self.first) >= window)
+        self.row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+
+    def windows(self, k: int) -> np.ndarray:
+        """Starts of k-word windows within one text that has an id and enough words."""
+        if not len(self.row):
+            return np.empty(0, np.int64)
+        place = np.arange(len(self.row))
+        return place[self.usable[self.row] & (place + k <= self.first[self.row + 1])]
+
+    def least(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(each hash once, the smallest document that has it, its first place there) of windows at the given places."""
+        doc = self.ids[self.row[at]]
+        order = np.lexsort((at, doc, h))
+        order = order[_edges(h[order])]
+        return h[order], doc[order], at[order]
+
+    def text(self, a: int, b: int) -> list[bytes]:
+        """Words a to b (exclusive)."""
+        return self.data[self.starts[a] : self.ends[b - 1]].tobytes().split()
+
+
+def _messages(name: str, sender: int, key: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """A row for each key: who sends, and the key's part of each column, one after the other."""
+    order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")  # few keys: a radix sort
+    key, columns = key[order], [c[order] for c in columns]
+    at = _edges(key)
+    blobs = [b"".join([np.uint32(b - a).tobytes(), *(np.packbits(c[a:b]).tobytes() if c.dtype == bool else c[a:b].tobytes() for c in columns)]) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(key)][: len(at)], strict=True)]
+    return pa.table({name: pa.array(key[at], pa.int64()), "sender": pa.array(np.full(len(at), sender), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _received(table: pa.Table, *kinds: str) -> list[np.ndarray]:
+    """The sender of every entry, and the columns of all messages."""
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    senders, counts = table.column("sender").to_numpy(), []
+    for blob in table.column("blob").to_pylist():
+        n, at = int(np.frombuffer(blob, np.uint32, 1)[0]), 4
+        counts.append(n)
+        for part, kind in zip(parts, kinds, strict=True):
+            if kind == "bool":
+                size = (n + 7) // 8
+                part.append(np.unpackbits(np.frombuffer(blob, np.uint8, size, at), count=n).astype(bool))
+            else:
+                size = n * np.dtype(kind).itemsize
+                part.append(np.frombuffer(blob, kind, n, at))
+            at += size
+    return [np.repeat(senders, counts).astype(np.int64), *(np.concatenate(p) if p else np.empty(0, k) for p, k in zip(parts, kinds, strict=True))]
+
+
+def _key(table: pa.Table, name: str) -> int:
+    return table.column(name)[0].as_py()
+
+
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def _anchor_key(h: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket and 32 bits of a block hash."""
+    return (_bucket(h, bits).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+
+
+def _probes(window: int, bits: int) -> Callable:
+    block = (window + 1) // 2
 
-
-def _anchors(shards: int) -> Callable:
     def group(table: pa.Table) -> pa.Table:
         release()
-        bucket = table.column("bucket")[0].as_py()
-        docs, value, flag = unpack(table.column("blob").to_pylist(), "<u4", True)
-        index = np.unique(value[flag])
-        hit = np.flatnonzero(np.isin(value, index)) if len(index) else np.empty(0, np.int64)
-        hit = hit[_spread(value[hit], docs[hit])]
-        docs, value = docs[hit], (np.uint64(bucket) << np.uint64(32)) | value[hit].astype(np.uint64)
-        order = np.lexsort((value, docs))
-        docs, value = docs[order], value[order]
-        new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (value[1:] != value[:-1])])[: len(docs)]
-        out = Blobs("<u8")
-        out.add(_shard(docs[new], shards), docs[new], value[new])
-        return pa.Table.from_batches([_emit("shard", *out.taken())])
+        home = Home(table, window)
+        at = home.windows(block)
+        row = home.row[at]
+        key = _anchor_key(rolling(home.words, block)[at], bits)
+        aligned = (at - home.first[row]) % block == 0
+        order = np.argsort(key, kind="stable")  # rows stay in order, so the first and the last tell whether there are several
+        key, row = key[order], row[order]
+        edge = _edges(key)
+        last = np.append(edge[1:], len(key))[: len(edge)] - 1
+        indexed = np.logical_or.reduceat(aligned[order], edge) if len(edge) else np.empty(0, bool)
+        key = key[edge]
+        return _messages("bucket", _key(table, "home"), (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype("<u4"), row[edge] != row[last], indexed)
 
     return group
 
 
-def _member(docs: np.ndarray, values: np.ndarray) -> Callable[[int], np.ndarray]:
-    order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], values[order]
-    return lambda doc: values[np.searchsorted(docs, doc) : np.searchsorted(docs, doc, "right")]
+def _anchors(table: pa.Table) -> pa.Table:
+    release()
+    home, value, several, indexed = _received(table, "<u4", "bool", "bool")
+    order = np.argsort(value, kind="stable")
+    edge = _edges(value[order])
+    count = np.diff(np.append(edge, len(value)))
+    if len(edge):
+        good = (np.logical_or.reduceat(several[order], edge) | (count > 1)) & np.logical_or.reduceat(indexed[order], edge)
+        order = order[np.repeat(good, count)]
+    return _messages("home", _key(table, "bucket"), home[order], value[order])
 
 
-def _candidates(window: int, buckets: int) -> Callable:
-    block, bits = (window + 1) // 2, int(math.log2(buckets))
+def _extended(window: int, bits: int) -> Callable:
+    block = (window + 1) // 2
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         release()
-        out = Blobs("<u8")
-        if left.num_rows and right.num_rows:
-            docs, value, _ = unpack(right.column("blob").to_pylist(), "<u8")
-            of, ids = _member(docs, value), left.column("doc_id").to_pylist()
-            for lo, hi, data, at in slices(left.column("text").combine_chunks()):
-                _, _, first, words = _words(data, at)
-                anchor = rolling(words, block)
-                key = ((anchor >> np.uint64(64 - bits)) << np.uint64(32) if bits else np.uint64(0)) | (anchor & np.uint64(0xFFFFFFFF))
-                whole = rolling(words, window)
-                for i in range(hi - lo):
-                    a, b = int(first[i]), int(first[i + 1])
-                    hits = of(ids[lo + i]) if ids[lo + i] is not None and b - a >= window else ()
-                    if not len(hits):
-                        continue
-                    at_hit = np.isin(key[a : b - block + 1], hits)
-                    seen = np.concatenate([[0], np.cumsum(at_hit)])
-                    starts = np.arange(b - a - window + 1)
-                    starts = starts[seen[starts + window - block + 1] > seen[starts]]  # windows that hold an anchor
-                    h = np.unique(whole[a + starts])
-                    out.add((h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64), np.full(len(h), ids[lo + i]), h)
-        return pa.Table.from_batches([_emit("bucket", *out.taken())])
+        bucket, value = _received(right, "<u4")
+        if not left.num_rows or not len(value):
+            return _messages("bucket", 0, np.empty(0, np.int64))
+        anchors, home = np.sort((bucket.astype(np.uint64) << np.uint64(32)) | value), Home(left, window)
+        at = home.windows(block)
+        hit = np.zeros(len(home.words) + 1, np.int64)
+        key = _anchor_key(rolling(home.words, block)[at], bits)
+        place = np.minimum(np.searchsorted(anchors, key), len(anchors) - 1)
+        hit[at[anchors[place] == key] + 1] = 1
+        seen, at = np.cumsum(hit), home.windows(window)
+        at = at[seen[at + window - block + 1] > seen[at]]  # windows that hold an anchor
+        h, doc, _ = home.least(at, rolling(home.words, window)[at])
+        order = np.argsort(doc, kind="stable")
+        return _messages("bucket", _key(left, "home"), _bucket(h[order], bits), doc[order].astype("<i8"), h[order])
 
     return group
 
 
-def _repeats(shards: int) -> Callable:
-    def group(table: pa.Table) -> pa.Table:
+def _chained(table: pa.Table) -> pa.Table:
+    """Orders to homes: send these windows to that home."""
+    release()
+    home, doc, h = _received(table, "<i8", "<u8")
+    order = np.lexsort((home, doc, h))
+    home, doc, h = home[order], doc[order], h[order]
+    tie = _edges(h, doc)
+    before = np.repeat(tie, np.diff(np.append(tie, len(h)))) - 1  # the last entry with a smaller document, if the hash is the same
+    to = np.flatnonzero((before >= 0) & (h[before] == h)) if len(h) else np.empty(0, np.int64)
+    return _messages("home", _key(table, "bucket"), home[before[to]], home[to].astype("<i8"), h[to])
+
+
+def _sent(window: int) -> Callable:
+    def group(left: pa.Table, right: pa.Table) -> pa.Table:
         release()
-        docs, value, _ = unpack(table.column("blob").to_pylist(), "<u8")
-        order = np.lexsort((docs, value))
-        docs, value = docs[order], value[order]
-        edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.empty(0, np.int64)
-        least = np.repeat(docs[edge], np.diff(np.append(edge, len(value))))
-        docs, value = docs[docs > least], value[docs > least]
-        order = np.argsort(docs, kind="stable")
-        out = Blobs("<u8")
-        out.add(_shard(docs[order], shards), docs[order], value[order])
-        return pa.Table.from_batches([_emit("shard", *out.taken())])
+        _, to, h = _received(right, "<i8", "<u8")
+        if not left.num_rows or not len(h):
+            return _messages("home", 0, np.empty(0, np.int64))
+        home = Home(left, window)
+        at = home.windows(window)
+        own, asked = rolling(home.words, window)[at], np.unique(h)
+        place = np.minimum(np.searchsorted(asked, own), len(asked) - 1)
+        there = asked[place] == own
+        own, _, at = home.least(at[there], own[there])
+        at = at[np.searchsorted(own, h)]
+        order = np.lexsort((at, to))
+        to, at = to[order], at[order]
+        begin = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (at[1:] != at[:-1] + 1)]))
+        end = at[np.append(begin[1:], len(at)) - 1] + window
+        lines: dict[int, list[bytes]] = {}
+        for t, a, b in zip(to[begin].tolist(), at[begin].tolist(), end.tolist(), strict=True):
+            lines.setdefault(t, []).append(b" ".join(home.text(a, b)))
+        return pa.table({"home": pa.array(list(lines), pa.int64()), "sender": pa.array([_key(left, "home")] * len(lines), pa.int64()), "blob": pa.array([b"\n".join(x) for x in lines.values()], pa.binary())})
 
     return group
 
 
+def _same(home: Home, p: np.ndarray, other: Home, q: np.ndarray, window: int) -> np.ndarray:
+    """Places p whose window has the very words of other's window at q; runs along a diagonal are compared at once."""
+    begin = _edges(q - p, p - np.arange(len(p)))
+    good = np.ones(len(p), bool)
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(p)][: len(begin)], strict=True):
+        n = b - a + window - 1
+        if home.text(p[a], p[a] + n) != other.text(q[a], q[a] + n):
+            good[a:b] = [home.text(p[i], p[i] + window) == other.text(q[i], q[i] + window) for i in range(a, b)]
+    return p[good]
+
+
+def _repeated(home: Home, received: list[bytes], window: int) -> np.ndarray:
+    """Places of windows whose words a smaller document has, here or elsewhere."""
+    at = home.windows(window)
+    h = rolling(home.words, window)[at]
+    order = np.argsort(h, kind="stable")
+    edge = _edges(h[order])
+    count = np.diff(np.append(edge, len(h)))
+    twice = np.sort(order[np.repeat(count > 1, count)])
+    p, g = at[twice], h[twice]
+    least, doc, first = home.least(p, g)
+    of = np.searchsorted(least, g)
+    later = home.ids[home.row[p]] > doc[of]
+    found = [_same(home, p[later], home, first[of[later]], window)]
+    lines = [x for blob in received for x in blob.split(b"\n")]
+    if lines:
+        sent = Home(pa.table({"doc_id": pa.array(np.zeros(len(lines), np.int64)), "text": pa.array(lines, pa.large_binary())}), window)
+        q = sent.windows(window)
+        least, _, first = sent.least(q, rolling(sent.words, window)[q])
+        of = np.minimum(np.searchsorted(least, h), len(least) - 1)
+        there = least[of] == h
+        found.append(_same(home, at[there], sent, first[of[there]], window))
+    return np.concatenate(found)
+
+
 def _cut(window: int, keep_text: bool) -> Callable:
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         release()
-        docs, value, _ = unpack(right.column("blob").to_pylist(), "<u8")
-        of, ids = _member(docs, value), left.column("doc_id").to_pylist()
-        n, removed, kept = [], [], []
-        if left.num_rows:
-            for lo, hi, data, at in slices(left.column("text").combine_chunks()):
-                starts, ends, first, words = _words(data, at)
-                whole, raw = rolling(words, window) if len(docs) else None, data.tobytes()
-                for i in range(hi - lo):
-                    a, b = int(first[i]), int(first[i + 1])
-                    cover = np.zeros(b - a + 1, np.int64)
-                    hits = of(ids[lo + i]) if ids[lo + i] is not None and b - a >= window else ()
-                    if len(hits):
-                        p = np.flatnonzero(np.isin(whole[a : b - window + 1], hits))
-                        cover[p] += 1
-                        np.subtract.at(cover, p + window, 1)
-                    gone = np.cumsum(cover)[:-1] > 0
-                    n.append(b - a)
-                    removed.append(int(gone.sum()))
-                    if removed[-1]:
-                        rest = a + np.flatnonzero(~gone)
-                        kept.append(b" ".join([raw[s:e] for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]))
-                    else:
-                        kept.append(b" ".join(raw[at[i] : at[i + 1]].split()))
-        out = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())}
+        home = Home(left, window)
+        p = _repeated(home, right.column("blob").to_pylist(), window)
+        cover = np.zeros(len(home.words) + 1, np.int64)
+        np.add.at(cover, p, 1)
+        np.subtract.at(cover, p + window, 1)
+        gone = np.cumsum(cover)[:-1] > 0
+        n, removed, kept = np.diff(home.first), np.diff(np.concatenate([[0], np.cumsum(gone)])[home.first]), []
+        for i, (a, b) in enumerate(zip(home.first[:-1].tolist(), home.first[1:].tolist(), strict=True)):
+            if removed[i]:
+                rest = a + np.flatnonzero(~gone[a:b])
+                words = [home.data[s:e].tobytes() for s, e in zip(home.starts[rest].tolist(), home.ends[rest].tolist(), strict=True)]
+            else:
+                words = home.data[home.at[i] : home.at[i + 1]].tobytes().split()
+            kept.append(b" ".join(words).decode("utf-8", "replace"))
+        out = {"doc_id": left.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())}
         out |= {"t": left.column("text")} if keep_text else {}
         return pa.table(out | ({"row": left.column("row")} if "row" in left.column_names else {}))
 
     return group
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """A power of two that grows with the size Spark knows for the input."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MOST_BUCKETS, max(16, 1 << math.ceil(math.log2(max(1, size / BUCKET_BYTES)))))
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def home_count(docs: DataFrame) -> int:
+    """A power of two that grows with the bytes of the texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    each = min(MOST_HOME, max(LEAST_HOME, LEAST_HOME * math.sqrt(size / ROOT_FROM)))
+    return max(16, 1 << math.ceil(math.log2(max(1, size / each))))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -287,21 +311,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     empty table gives an empty result. keep_text adds the source text as t, null where it is
     null. Columns named in carry come back in a struct, row; others are left out.
     """
-    spark = docs.sparkSession
-    row_of = [F.struct(*carry).alias("row")] if carry else []
+    row_of = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row_of)
-    n = bucket_count(docs)
-    row = "{} long, blob binary".format
-    plain = docs.select("doc_id", "text")
-    probes = plain.mapInArrow(_probes(window, n), row("bucket"))
-    anchors = materialize(probes.groupBy("bucket").applyInArrow(_anchors(n), row("shard")), "anchors")
-    _release(spark)
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n).cast("long"))).groupBy("shard")
-    candidates = dealt.cogroup(anchors.groupBy("shard")).applyInArrow(_candidates(window, n), row("bucket"))
-    repeats = candidates.groupBy("bucket").applyInArrow(_repeats(n), row("shard"))
+    n = home_count(docs)
+    bits = int(math.log2(n))
+    # by id and text, so that neither one id nor missing ids with very many rows make a large home
+    homes = docs.withColumn("home", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n).cast("long"))).groupBy("home")
+    to_bucket, to_home = MESSAGE.format("bucket"), MESSAGE.format("home")
+    anchors = homes.applyInArrow(_probes(window, bits), to_bucket).groupBy("bucket").applyInArrow(_anchors, to_home)
+    windows = homes.cogroup(anchors.groupBy("home")).applyInArrow(_extended(window, bits), to_bucket)
+    orders = windows.groupBy("bucket").applyInArrow(_chained, to_home)
+    repeats = homes.cogroup(orders.groupBy("home")).applyInArrow(_sent(window), to_home)
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
     if keep_text:
         schema = schema.add("t", "string")
     if carry:
         schema = schema.add("row", docs.schema["row"].dataType)
-    return dealt.cogroup(repeats.groupBy("shard")).applyInArrow(_cut(window, keep_text), schema)
+    return homes.cogroup(repeats.groupBy("home")).applyInArrow(_cut(window, keep_text), schema)
