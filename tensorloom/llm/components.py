@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
 
+#: Parts that the rows of one key are split into.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: Column, parts: int = SALTS) -> DataFrame:
+    """rows.join(facts, key) where one key may have any share of the rows; facts has a row a key.
+
+    Rows are dealt by key and a part, taken from by. The facts meet the parts that occur, at
+    most parts of them a key, so neither side puts a key's rows in one place.
+    """
+    salted = rows.withColumn("__part", F.pmod(by, F.lit(parts)))
+    there = salted.select(key, "__part").distinct().join(facts, key)
+    return salted.join(there, [key, "__part"]).drop("__part")
+
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the smallest v of each u; the minimum is taken before the shuffle."""
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+    """Edges (u, v) with the smallest v of each u as m; the edges of a hub are spread over parts."""
+    salted = edges.withColumn("__part", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    of_part = salted.groupBy("u", "__part").agg(F.min("v").alias("own"))
+    least = of_part.groupBy("u").agg(F.min("own").alias("m"))
+    return salted.join(of_part.join(least, "u").select("u", "__part", "m"), ["u", "__part"]).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -18,7 +35,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     root is the smallest node reachable. Each round is written to the shared folder, so a
     lost executor never costs more than a round. Stars are formed around minima, so a
-    node's edges stay bounded by its component and never become all its pairs.
+    node's edges stay bounded by its component and never become all its pairs. Nulls are no
+    nodes; loops and repeated edges change nothing; no edges give an empty result.
     """
     state = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     before = None

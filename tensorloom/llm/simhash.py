@@ -1,18 +1,18 @@
 """SimHash fingerprints and their components, by an inverted index on byte positions.
 
-Two 64-bit fingerprints that differ in at most two bits differ in at most two of their
-eight positional bytes: they share at least six. The index lists fingerprints under four
-positional bytes at once: the eight bytes form four blocks of two, and two of the blocks
-are untouched whichever bytes differ, so six lists (one for each two blocks) meet every
-such pair. A list under one byte alone would hold a fixed share of the whole corpus; under
-four bytes its length stays bounded as the corpus grows. Within a list the shared
-positional bytes of a pair are tallied, pairs with six or more are kept, and the differing
-bits verify them.
-
-Lists longer than longest_list never form pairs. There the bits outside the four shared
-bytes are searched by meeting points: two fingerprints at distance two or less have a
-common neighbour at distance one or less, so each one is dealt to itself and its one-bit
-neighbours, and those that meet are linked in a star. That is exact and linear.
+Two 64-bit fingerprints that differ in at most two bits share at least six of their eight
+positional bytes. A list under one positional byte would hold a 256th of the corpus, so the
+index lists fingerprints under every five of the eight positions and their bytes: a pair
+that shares six positional bytes meets in six of the 56 lists, one that shares five in a
+single one. The hits of a pair are tallied as the union of the positions they prove shared;
+pairs whose tally reaches six are retained and verified by their differing bits.
+
+A list with more than longest members is split by further positional bytes, at any size of
+the corpus in the same way: under six positions, then seven. A pair that shares six or more
+still meets, and one list under seven positions holds at most 256 fingerprints. What shares
+just six differs by one bit in each of the other two bytes, so a list under six positions
+is split as well by those two bytes with a bit of each left out, into lists of at most four.
+No list forms more than a bounded number of pairs for each member.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, spread_join
 from .storage import materialize
 from .textbuf import release, slices
 
@@ -80,43 +80,87 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return own.mapInArrow(batches, ", ".join(f"`{c}` {k}" for c, k in zip(names, kinds, strict=True)))
 
 
-def _block(x: Column, k: int) -> Column:
-    return F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _tally(x: Column, y: Column) -> Column:
-    """Positional bytes that two fingerprints share."""
-    odd = x.bitwiseXOR(y)
-    return sum(((F.shiftrightunsigned(odd, 8 * k).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for k in range(8)), F.lit(0))
+def _bits_of(places: int) -> int:
+    """The 64-bit mask of a set of byte positions, given as eight bits."""
+    return sum(0xFF << 8 * k for k in range(8) if places >> k & 1)
 
 
-def links(prints: DataFrame, longest_list: int = 64) -> DataFrame:
-    """Edges (u, v) that connect all distinct fingerprints linked at MAX_BITS bits or fewer.
+#: Sets of five, six and seven byte positions, as eight bits each.
+PLACES = {n: [sum(1 << k for k in c) for c in combinations(range(8), n)] for n in (5, 6, 7)}
 
-    Edges are exact links or join two fingerprints through exact links; every link between
-    different fingerprints lies within one component of them.
-    """
-    blocks = list(combinations(range(4), 2))
-    x = F.col("fingerprint")
-    lists = prints.select("fingerprint", F.explode(F.array(*[F.lit(n << 32) + _block(x, i) * F.lit(1 << 16) + _block(x, j) for n, (i, j) in enumerate(blocks)])).alias("list"))
-    lists = lists.join(lists.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1"), "list")
-    near = lambda p: (_tally(p["u"], p["v"]) >= LEAST_BYTES) & (F.bit_count(p["u"].bitwiseXOR(p["v"])) <= MAX_BITS)
+
+def _under(places: list[int]) -> Column:
+    """(places, mask) of each set, as an array of structs."""
+    return F.array(*[F.struct(F.lit(p).alias("places"), F.lit(_signed(_bits_of(p))).alias("mask")) for p in places])
+
+
+def _listed(rows: DataFrame, sets: Column) -> DataFrame:
+    """Index entries: fingerprint under each set of positions (places) and the bytes there (list)."""
+    out = rows.select("fingerprint", F.explode(sets).alias("x")).select("fingerprint", "x.places", "x.mask")
+    return out.select("fingerprint", "places", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("list"))
+
+
+def _counted(entries: DataFrame) -> DataFrame:
+    """Entries of lists with two members or more, with the length of their list."""
+    many = entries.groupBy("places", "list").agg(F.count("*").alias("n")).filter("n > 1")
+    return entries.join(many, ["places", "list"])
+
+
+def _hits(entries: DataFrame, key: list[str]) -> DataFrame:
+    """(u, v, places) of every two members of a list; lists are short."""
     members = F.col("members")
-    pairs = F.flatten(F.transform(members, lambda u, i: F.filter(F.transform(F.slice(members, i + 2, F.greatest(F.size(members) - i - 1, F.lit(0))), lambda v: F.struct(u.alias("u"), v.alias("v"))), near)))
-    short = lists.filter(F.col("n") <= longest_list).groupBy("list").agg(F.collect_list("fingerprint").alias("members"))
-    short = short.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
-    free = F.shiftrightunsigned(F.col("list"), 32)  # which two blocks are shared
-    flips = F.lit(None).cast("array<long>")
-    for n, pair in enumerate(blocks):
-        own = [1 << (16 * k + b) for k in range(4) if k not in pair for b in range(16)]
-        flips = F.when(free == n, F.array(F.lit(0).cast("long"), *[F.lit(v - (1 << 64) if v >= 1 << 63 else v).cast("long") for v in own])).otherwise(flips)
-    long = lists.filter(F.col("n") > longest_list).select("list", "fingerprint", F.explode(flips).alias("flip"))
-    long = long.groupBy("list", x.bitwiseXOR(F.col("flip")).alias("meet")).agg(F.collect_list("fingerprint").alias("members")).filter(F.size("members") > 1)
-    long = long.select(F.array_min("members").alias("u"), F.explode("members").alias("v")).filter("u <> v")
-    return short.unionByName(long)
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, longest_list: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    lists = entries.groupBy(*key, "places").agg(F.collect_set("fingerprint").alias("members")).filter(F.size(members) > 1)
+    lists = lists.select("places", F.array_sort(members).alias("members"))
+    pairs = F.flatten(F.transform(members, lambda u, i: F.transform(F.slice(members, i + 2, F.greatest(F.size(members) - i - 1, F.lit(0))), lambda v: F.struct(u.alias("u"), v.alias("v")))))
+    return lists.select("places", F.explode(pairs).alias("e")).select("e.u", "e.v", "places")
+
+
+def _longer(places: list[int], wanted: list[int]) -> Column:
+    """For each set of positions, the sets of one more, as _under() has them."""
+    out = _under(wanted).getItem(0)
+    out = F.array(out)
+    for p in places:
+        out = F.when(F.col("places") == p, _under([w for w in wanted if w & p == p])).otherwise(out)
+    return out
+
+
+def _without_bits() -> Column:
+    """For each set of six positions, the 64 masks that leave out a bit of both other bytes."""
+    out = F.array(F.lit(0).cast("long"))
+    for p in PLACES[6]:
+        a, b = (k for k in range(8) if not p >> k & 1)
+        masks = [_signed(((1 << 64) - 1) ^ (1 << 8 * a + i) ^ (1 << 8 * b + j)) for i in range(8) for j in range(8)]
+        out = F.when(F.col("places") == p, F.array(*[F.lit(m).cast("long") for m in masks])).otherwise(out)
+    return out
+
+
+def links(prints: DataFrame, longest: int = 32) -> DataFrame:
+    """(u, v), u < v: every two distinct fingerprints that differ in MAX_BITS bits or fewer."""
+    five = _counted(_listed(prints, _under(PLACES[5])))
+    hits = _hits(five.filter(F.col("n") <= longest), ["list"])
+    hot = materialize(five.filter(F.col("n") > longest).select("fingerprint", "places"), "hot")
+    if not hot.isEmpty():
+        six = materialize(_counted(_listed_from(hot, _longer(PLACES[5], PLACES[6]))), "split")
+        hits = hits.unionByName(_hits(six.filter(F.col("n") <= longest), ["list"]))
+        hot = six.filter(F.col("n") > longest)
+        hits = hits.unionByName(_hits(_listed_from(hot, _longer(PLACES[6], PLACES[7])), ["list"]))
+        parted = hot.select("fingerprint", "places", F.explode(_without_bits()).alias("mask"))
+        hits = hits.unionByName(_hits(parted.withColumn("list", F.col("fingerprint").bitwiseAND(F.col("mask"))), ["mask", "list"]))
+    tally = hits.groupBy("u", "v").agg(F.bit_or("places").alias("places"))
+    return tally.filter((F.bit_count("places") >= LEAST_BYTES) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select("u", "v")
+
+
+def _listed_from(rows: DataFrame, sets: Column) -> DataFrame:
+    """_listed() for entries of shorter lists; a fingerprint that several of them lead to a list stands there once."""
+    out = rows.select("fingerprint", F.explode(sets).alias("x")).select("fingerprint", "x.places", "x.mask").distinct()
+    return out.select("fingerprint", "places", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("list"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, longest: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (long) and component_id.
 
     component_id is the smallest doc_id reachable over links of MAX_BITS bits or fewer,
@@ -126,18 +170,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, longest_list: int = 64, i
     null ids never become a component id unless a component has no other. Other columns are
     left out; an empty table gives an empty result.
     """
-    return clusters(docs, shingle, longest_list, id_col, text_col).select("doc_id", "fingerprint", "component_id")
+    return clusters(docs, shingle, longest, id_col, text_col).select("doc_id", "fingerprint", "component_id")
 
 
-def clusters(docs: DataFrame, shingle: int = 3, longest_list: int = 64, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def clusters(docs: DataFrame, shingle: int = 3, longest: int = 32, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """near_duplicates() with root, which names the component, and the columns of carry.
 
     component_id doesn't name it where ids repeat: rows of one id can be the least of several components.
     """
     prints = materialize(fingerprints(docs, shingle, id_col, text_col, carry), "fingerprints")
     classes = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "classes")
-    roots = connected_components(links(classes, longest_list))
+    roots = connected_components(links(classes, longest))
     rooted = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(least, "root").select("fingerprint", "root", "component_id")
-    return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id", "root", *carry)
+    return spread_join(prints, of, "fingerprint", F.xxhash64("doc_id", "fingerprint")).select("doc_id", "fingerprint", "component_id", "root", *[F.col(f"`{c}`") for c in carry])

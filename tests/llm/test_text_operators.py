@@ -11,6 +11,7 @@ from conftest import ODD, PASSAGE
 
 import brute
 from tensorloom.llm import jpeg, packing, piece_codec, queries, rules, secret_scan, simhash, substring, textbuf, token_count
+from tensorloom.llm.components import connected_components
 
 P = queries.tokenizer
 
@@ -104,9 +105,9 @@ def test_simhash(docs):
     assert sorted((r.doc_id, r.fingerprint % (1 << 64), r.component_id) for r in got) == want
 
 
-@pytest.mark.parametrize("longest", [2, 64])
+@pytest.mark.parametrize("longest", [1, 4, 32])
 def test_links(spark, longest):
-    """Dense clusters: short lists form pairs, long ones meet at neighbours; both keep every link."""
+    """Every link and no other pair, whether lists are short or split down to the bits."""
     rng = np.random.default_rng(3)
     prints = set()
     for _ in range(6):
@@ -116,24 +117,30 @@ def test_links(spark, longest):
             for b in rng.choice(64, rng.integers(0, 6), replace=False):
                 f ^= 1 << int(b)
             prints.add(f)
+    base = int(rng.integers(0, 1 << 63))
+    prints |= {base ^ int(x) << 8 ^ int(y) << 40 for x, y in rng.integers(0, 256, (400, 2))}  # six bytes shared by all
+    prints |= {base ^ 1 << int(i) ^ 1 << int(j) for i, j in rng.integers(0, 64, (100, 2))} | {0, (1 << 64) - 1}
     prints = sorted(prints)
     frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in prints], "fingerprint long")
-    edges = [(r.u % (1 << 64), r.v % (1 << 64)) for r in simhash.links(frame, longest).collect()]
-    assert all((u ^ v).bit_count() <= 2 for u, v in edges) or longest == 2
-    root = {f: f for f in prints}
-
-    def find(f):
-        while root[f] != f:
-            f = root[f]
-        return f
-
-    for u, v in edges:
-        root[find(u)] = find(v)
-    want = brute.components([(f, f) for f in prints])
-    groups = {}
-    for f, c in zip(prints, want, strict=True):
-        assert groups.setdefault(find(f), c) == c
-    assert len(groups) == len(set(want))
+    edges = sorted(tuple(sorted((r.u % (1 << 64), r.v % (1 << 64)))) for r in simhash.links(frame, longest).collect())
+    assert edges == [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 2]
+
+
+def test_link_tally(spark):
+    """Two fingerprints with five positional bytes in common meet in one list and are not retained."""
+    pair = [0, 0x010101]
+    frame = spark.createDataFrame([(f,) for f in pair], "fingerprint long")
+    entries = simhash._counted(simhash._listed(frame, simhash._under(simhash.PLACES[5])))
+    assert [r.places for r in simhash._hits(entries, ["list"]).collect()] == [0b11111000]
+    assert simhash.links(frame).count() == 0
+
+
+def test_component_hub(spark):
+    """A star whose hub isn't its smallest node, beside a chain, loops and repeated edges."""
+    edges = [(5000, i) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(40)] + [(7, 7), (5000, 1)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    got = {r.node: r.root for r in connected_components(frame).collect()}
+    assert got == {i: 1 for i in [*range(2, 3000), 5000]} | {10_001 + i: 10_000 for i in range(40)}
 
 
 def test_secrets(docs):
