@@ -2,9 +2,13 @@
 
 Each rule's regular expression is compiled to a Boolean query over the trigrams that any
 match must hold: an OR of ANDs. The index lists, for each trigram of the rule set, the
-documents that have it. Lists of one AND are intersected by counting its trigrams in each
-document; documents that fill one of the ANDs are candidates and are verified by the
-expression. A rule without a mandatory trigram scans every document.
+documents that have it, by a hash of their id and text. Lists of one AND are intersected by
+counting its trigrams in each document; documents that fill one of the ANDs are candidates
+and are verified by the expression. A rule without a mandatory trigram scans every document.
+
+Postings are shuffled, texts hardly are: of each AND the shortest list is looked up in the
+index, and only texts that hold one of those trigrams meet the candidates. All others are
+scanned where they are read, for the rules without a mandatory trigram.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import let
+from .storage import materialize
 
 #: An OR of ANDs; an empty AND holds for every text.
 Query = frozenset[frozenset[str]]
 ANY: Query = frozenset([frozenset()])
 MOST_STRINGS, MOST_ANDS = 64, 64
+SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -108,36 +114,50 @@ def trigram_query(pattern: str) -> Query:
     return _of_strings(strings) if strings is not None else query
 
 
+def _held(low: Column, trigrams: list[str]) -> Column:
+    """Numbers of the trigrams in a lower-cased text."""
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams)]))
+
+
 def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram number, doc_id): the inverted index of the given trigrams over rows of doc_id and t."""
-    low = F.lower("t")
-    there = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams)]))
-    return rows.select("doc_id", F.explode(there).alias("trigram"))
+    """(key, trigram number): the inverted index of the given trigrams over rows of key and t."""
+    # lower() is a column of its own, so that it is evaluated once and not for every trigram
+    held = rows.select("key", F.lower("t").alias("low")).select("key", _held(F.col("low"), trigrams).alias("held"))
+    return held.select("key", F.explode("held").alias("trigram"))
+
 
+def indexed(rules: tuple[Rule, ...]) -> dict[int, Query]:
+    """Queries of the rules that have mandatory trigrams, by the number of the rule."""
+    return {i: q for i, r in enumerate(rules) if frozenset() not in (q := trigram_query(r.pattern))}
 
-def candidates(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, rules): numbers of the rules whose trigram query a document fulfils."""
-    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY and frozenset() not in q}
+
+def candidates(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, list[str]]:
+    """(key, rules): the rules whose trigram query a document fulfils, by number; and trigrams that they hold one of.
+
+    The trigrams are those with the shortest list of each AND.
+    """
+    queries = indexed(rules)
     trigrams = sorted({g for q in queries.values() for a in q for g in a})
     wanted = [(trigrams.index(g), i, k, len(a)) for i, q in queries.items() for k, a in enumerate(sorted(q, key=sorted)) for g in a]
     if not wanted:
-        return rows.select("doc_id", F.array().cast("array<int>").alias("rules")).limit(0)
+        return rows.select("key", F.array().cast("array<int>").alias("rules")).limit(0), []
+    index = materialize(postings(rows, trigrams), "postings")
+    lengths = {r.trigram: r["count"] for r in index.groupBy("trigram").count().collect()}
+    short = sorted({min(a, key=lambda g: (lengths.get(trigrams.index(g), 0), g)) for q in queries.values() for a in q})
     # the rule set's own table: its size depends on the rules alone
     table = rows.sparkSession.createDataFrame(wanted, "trigram int, rule int, part int, needed int")
-    lists = postings(rows, trigrams).join(F.broadcast(table), "trigram")
-    full = lists.groupBy("doc_id", "rule", "part", "needed").agg(F.count_distinct("trigram").alias("n")).filter("n = needed")
-    return full.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+    lists = index.join(F.broadcast(table), "trigram")
+    full = lists.groupBy("key", "rule", "part", "needed").agg(F.count_distinct("trigram").alias("n")).filter("n = needed")
+    return full.groupBy("key").agg(F.collect_set("rule").alias("rules")), short
 
 
 def _spans(t: Column, number: int, rule: Rule) -> Column:
     """Spans of a rule in code points: between its matches lie the pieces that split() returns."""
     expression = F.lit(rule.pattern)
-    kind = "array<struct<start:int,kind:int,end:int>>"
-
     def placed(found: Column) -> Column:
         lengths = F.regexp_extract_all(t, expression, F.lit(rule.group)) if rule.group else found
         steps = F.arrays_zip(F.transform(F.split(t, rule.pattern), F.length).alias("gap"), F.transform(found, F.length).alias("own"), F.transform(lengths, F.length).alias("counted"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
         def step(a: Column, x: Column) -> Column:
             begin = a["at"] + x["gap"]
@@ -145,7 +165,7 @@ def _spans(t: Column, number: int, rule: Rule) -> Column:
             span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
             return F.struct(end.alias("at"), F.when(x["counted"] >= rule.least, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
 
-        return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+        return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
 
     return let(F.regexp_extract_all(t, expression, F.lit(0)), placed)
 
@@ -159,18 +179,31 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     itself; an empty table gives an empty result. keep_text adds the text as t. Columns named
     in carry come back in a struct, row; others are left out.
     """
-    row_of = [F.struct(*carry).alias("row")] if carry else []
+    row_of = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *row_of)
-    found = candidates(rows.select("doc_id", "t"), rules).select(F.col("doc_id").alias("candidate"), "rules")
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("candidate")), "left")
-    parts = []
-    for i, rule in enumerate(rules):
-        spans = _spans(F.col("t"), i, rule)
-        query = trigram_query(rule.pattern)
-        if frozenset() not in query:
-            spans = F.when(F.array_contains("rules", F.lit(i)), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
-        parts.append(spans)
-    return rows.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"), *(["t"] if keep_text else []), *(["row"] if carry else []))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "t"))
+    found, short = candidates(rows.select("key", "t"), rules)
+    scanned = [i for i in range(len(rules)) if i not in indexed(rules)]
+    rest = ["doc_id", *(["t"] if keep_text else []), *(["row"] if carry else [])]
+
+    def spans(of: list[int], needed: bool) -> Column:
+        parts = []
+        for i in of:
+            own = _spans(F.col("t"), i, rules[i])
+            parts.append(own if i in scanned or not needed else F.when(F.array_contains("rules", F.lit(i)), own).otherwise(F.array().cast(SPANS)))
+        return F.array_sort(F.concat(F.array().cast(SPANS), *parts)).alias("spans")
+
+    names = ["doc_id", "spans", *rest[1:]]
+    if not short:
+        return rows.select(*rest, spans(scanned, False)).select(names)
+    low = F.lower("t")
+    holds = F.lit(False)
+    for g in short:
+        holds = holds | F.contains(F.col("low"), F.lit(g))
+    marked = rows.withColumn("low", low).withColumn("holds", holds).drop("low")
+    far = marked.filter("not holds").select(*rest, spans(scanned, False))
+    near = marked.filter("holds").join(found, "key", "left").select(*rest, spans(list(range(len(rules))), True))
+    return far.unionByName(near).select(names)
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
