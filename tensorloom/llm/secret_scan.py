@@ -16,6 +16,7 @@ from __future__ import annotations
 import re._constants as sre
 import re._parser as parser
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -121,9 +122,9 @@ def _held(low: Column, trigrams: list[str]) -> Column:
 
 def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
     """(key, trigram number): the inverted index of the given trigrams over rows of key and t."""
-    # lower() is a column of its own, so that it is evaluated once and not for every trigram
-    held = rows.select("key", F.lower("t").alias("low")).select("key", _held(F.col("low"), trigrams).alias("held"))
-    return held.select("key", F.explode("held").alias("trigram"))
+    held = let(F.lower("t"), lambda low: _held(low, trigrams))
+    # explode() would have the optimizer evaluate the array in a filter as well
+    return rows.select("key", F.explode_outer(held).alias("trigram")).filter("trigram is not null")
 
 
 def indexed(rules: tuple[Rule, ...]) -> dict[int, Query]:
@@ -196,11 +197,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     names = ["doc_id", "spans", *rest[1:]]
     if not short:
         return rows.select(*rest, spans(scanned, False)).select(names)
-    low = F.lower("t")
-    holds = F.lit(False)
-    for g in short:
-        holds = holds | F.contains(F.col("low"), F.lit(g))
-    marked = rows.withColumn("low", low).withColumn("holds", holds).drop("low")
+    marked = rows.withColumn("holds", let(F.lower("t"), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(g)) for g in short])))
     far = marked.filter("not holds").select(*rest, spans(scanned, False))
     near = marked.filter("holds").join(found, "key", "left").select(*rest, spans(list(range(len(rules))), True))
     return far.unionByName(near).select(names)
