@@ -2,10 +2,10 @@
 
 Document statistics are counted over whole texts and written once. Random Fourier features
 of the standardised statistics approximate a Gaussian kernel. Each partition of labelled
-rows adds up its part of the normal equations for two folds; the driver adds a fixed
-number of such parts (fit_tasks, whatever the input), solves the ridge system for each
-fold and for both, scores every fold with the other one's weights, and fits an isotonic
-curve to a fixed grid of those scores. All labelled rows take part.
+rows adds up its part of the normal equations for two folds; the parts are added in a tree,
+so that the driver gets a fixed number of them whatever the input. It solves the ridge
+system for each fold and for both, scores every fold with the other one's weights, and fits
+an isotonic curve to a fixed grid of those scores. All labelled rows take part.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,20 +134,40 @@ def _matrix(columns: list) -> np.ndarray:
 
 
 def _equations(model: Model) -> Callable:
+    """Sums of a partition for each fold that has rows in it."""
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(model.phases) + 1
-        sums = {f: np.zeros((size, size + 1)) for f in (0, 1)}
+        size, sums = len(model.phases) + 1, {}
         for batch in it:
             part, y = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
             z = model.lift(_matrix(batch.columns[2:]))
-            for f in sums:
+            for f in np.unique(part).tolist():
                 own = z[part == f]
-                sums[f] += own.T @ np.column_stack([own, y[part == f]])
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([sums[0].tobytes(), sums[1].tobytes()], pa.binary())], ["part", "sums"])
+                sums[f] = sums.get(f, np.zeros((size, size + 1))) + own.T @ np.column_stack([own, y[part == f]])
+        place = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([place] * len(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "place", "sums"])
 
     return batches
 
 
+def _added(width: int) -> Callable:
+    """One row of a group of sums, added in the order of their places so that a rerun gives the same bits."""
+
+    def group(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        total = sum(np.frombuffer(x) for x in table.column("sums").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "place": pa.array([table.column("place")[0].as_py() % width], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    return group
+
+
+def tree_sums(sums: DataFrame, widths: tuple[int, ...] = (1024, 16)) -> DataFrame:
+    """(part, place, sums) added up to at most the last width of rows for each part, level by level."""
+    for width in widths:
+        sums = sums.groupBy("part", F.pmod("place", F.lit(width)).alias("slot")).applyInArrow(_added(width), "part int, place long, sums binary")
+    return sums
+
+
 def _graded(model: Model, bins: int) -> Callable:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -158,7 +179,7 @@ def _graded(model: Model, bins: int) -> Callable:
     return batches
 
 
-def fit(train: DataFrame, features: int = 192, ridge: float = 1e-3, bins: int = 2048, fit_tasks: int = 24, seed: int = 7) -> Model:
+def fit(train: DataFrame, features: int = 192, ridge: float = 1e-3, bins: int = 2048, seed: int = 7) -> Model:
     """A model from rows of doc_id, label (0 or 1) and NAMES. No rows: every score is 0.5."""
     moments = train.agg(F.count("*"), *[F.avg(n) for n in NAMES], *[F.stddev_pop(n) for n in NAMES]).first()
     if not moments[0]:
@@ -168,7 +189,7 @@ def fit(train: DataFrame, features: int = 192, ridge: float = 1e-3, bins: int =
     rows = train.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("part"), F.col("label").cast("int").alias("label"), *NAMES)
     size = features + 1
     sums = np.zeros((2, size, size + 1))
-    for r in rows.repartition(fit_tasks).mapInArrow(_equations(model), "part int, sums binary").collect():
+    for r in tree_sums(rows.mapInArrow(_equations(model), "part int, place long, sums binary")).orderBy("part", "place").collect():
         sums[r.part] += np.frombuffer(bytes(r.sums)).reshape(size, size + 1)
     for f, s in ((0, sums[0]), (1, sums[1]), (-1, sums[0] + sums[1])):
         n = max(s[-1, size - 1], 1.0)
