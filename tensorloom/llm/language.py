@@ -106,17 +106,16 @@ def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, own, length
 
 
-def train_network(docs: DataFrame, max_documents: int = 3000, windows_per_document: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
-    """A network of all languages, from at most max_documents labelled rows (one a language if those are more).
-
-    The bound is dealt to the languages, rare ones first, so each has rows in the sample; of
-    a language the rows with the smallest hash of the id are taken. The bound keeps what
-    reaches the driver at a fixed size; of each text windows_per_document windows spread
-    over all of it are used. None: no labelled text.
+def train_network(docs: DataFrame, max_documents: int = 3000, max_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
+    """A network of all languages, from whole texts of a bounded sample of labelled rows.
+
+    The sample has at most max_documents rows and max_bytes of text, but one row a language
+    whatever its size. Both bounds are dealt to the languages, rare ones first, so each has
+    rows in the sample; of a language the rows with the smallest hash of the id are taken.
+    The bounds keep what reaches the driver at a fixed size; of each text all windows are
+    used. None: no labelled text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and length(text) > 0")
-    n = F.length("text")
-    cuts = F.transform(F.sequence(F.lit(0), F.lit(windows_per_document - 1)), lambda i: F.substr("text", (i * F.greatest(n - WINDOW, F.lit(0)) / max(1, windows_per_document - 1)).cast("int") + 1, F.lit(WINDOW)))
     counts, slots, left, bounds = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}, 1 << 40, max_documents, []
     if not counts:
         return None
@@ -125,16 +124,15 @@ def train_network(docs: DataFrame, max_documents: int = 3000, windows_per_docume
         left -= most
         # about 1.5 times the bound pass, whatever the input, so the sort by language stays small as well
         bounds.append((lang, most, min(slots, math.ceil(slots * min(1.0, 1.5 * (most + 100) / counts[lang])))))
-    near = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("h"), "doc_id", "lang", "text").join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most long, few long")), "lang").filter("h < few")
-    near = near.select("h", "doc_id", "lang", "most", F.array_distinct(cuts).alias("cuts"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "cuts"))
-    got = near.withColumn("place", place).filter("place <= most").orderBy("h", "doc_id", "lang", "cuts").select("lang", "cuts").collect()
+    near = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(slots))).join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most long, few long")), "lang").filter("h < few")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    near = near.withColumn("place", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    got = near.filter((F.col("place") <= F.col("most")) & ((F.col("place") == 1) | (F.col("bytes") <= max_bytes // len(counts)))).orderBy("lang", "place").select("lang", "text").collect()
     classes = sorted(counts)
     net = ByteNet(classes)
-    raw = [(c.encode()[:WINDOW], classes.index(r.lang)) for r in got for c in r.cuts]
-    at = np.cumsum([0, *(len(c) for c, _ in raw)])
-    x, own, _ = windows_of(np.frombuffer(b"".join(c for c, _ in raw), np.uint8), at)
-    net.train(x, np.array([k for _, k in raw])[own])
+    raw = [r.text.encode() for r in got]
+    x, own, _ = windows_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    net.train(x, np.array([classes.index(r.lang) for r in got])[own])
     return net
 
 
