@@ -58,7 +58,7 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Columns named in carry come back in a struct, row.
     """
-    row_of = [F.struct(*carry).alias("row")] if carry else []
+    row_of = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), *row_of)
     t = F.col("t")
@@ -123,8 +123,8 @@ def learn(train: DataFrame, thresholds: int = 12, max_rules: int = 8, max_condit
     """Ordered rules for bad documents (label 0) from rows of STATS and label.
 
     thresholds quantiles of the good and of the bad rows are the candidates of each
-    statistic. A rule must cover least bad rows of the pruning part, or of both parts where
-    that part has fewer, with at least the given precision.
+    statistic. A rule must cover least bad rows of the pruning part with at least the given
+    precision there: rows it grew on never vouch for it.
     """
     grades = [(k + 0.5) / thresholds for k in range(thresholds)]
     marks = train.groupBy("label").agg(F.count("*").alias("n"), *[F.percentile_approx(s, grades, 10000).alias(s) for s in STATS]).collect()
@@ -166,13 +166,8 @@ def learn(train: DataFrame, thresholds: int = 12, max_rules: int = 8, max_condit
         if not rule:
             break
         tried = [_all([holds(c) for c in rule[:k]]) for k in range(1, len(rule) + 1)]
-        got = cells.filter(~done).agg(*[F.coalesce(F.sum(F.when(t & w, F.col(x))), F.lit(0)) for t in tried for w in (F.col("prune"), F.lit(True)) for x in ("p", "n")]).first()
-        worth = []
-        for k in range(len(rule)):
-            p, n, all_p, all_n = got[4 * k : 4 * k + 4]
-            if p < least:
-                p, n = all_p, all_n
-            worth.append(((p - n) / (p + n) if p + n else -1.0, p, n, k))
+        got = cells.filter(~done & F.col("prune")).agg(*[F.coalesce(F.sum(F.when(t, F.col(x))), F.lit(0)) for t in tried for x in ("p", "n")]).first()
+        worth = [((p - n) / (p + n) if p + n else -1.0, p, n, k) for k in range(len(rule)) for p, n in [got[2 * k : 2 * k + 2]]]
         _, p, n, k = max(worth, key=lambda x: (x[0], -x[3]))
         if p < least or p < precision * (p + n):
             break
