@@ -147,3 +147,54 @@ def dc_thumbnail(raw):
                 p += rs & 15
             out.append(max(0, min(255, int((level * q[quantiser][0] / 8 + 128.5) // 1))))
     return width, height, bytes(out)
+
+
+def rule_stats(text):
+    """The seven statistics of a text that a learned rule looks at."""
+    n, chars, symbols, dup_lines, repeated = counts(text)
+    text = text or ""
+    lines = sum(1 for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x))
+    share = lambda a, b: a / b if b else 0.0
+    return (float(n), share(chars, n), share(symbols, chars), share(dup_lines, lines), share(repeated, n), share(sum("A" <= c <= "Z" for c in text), chars), share(text.count("!"), n))
+
+
+def decision_list(rows, thresholds=12, max_rules=8, max_conditions=3, precision=0.97, least=3):
+    """rows: (statistics, label, whether it prunes). Rules as lists of (statistic, over, threshold), by sequential covering."""
+    import math
+
+    cuts = []
+    for s in range(len(rows[0][0])):
+        found = set()
+        for label in {r[1] for r in rows}:
+            own = sorted(r[0][s] for r in rows if r[1] == label)
+            found |= {own[math.ceil((k + 0.5) / thresholds * len(own)) - 1] for k in range(thresholds)}
+        cuts.append(sorted(found))
+    conditions = [(s, over, c) for s in range(len(cuts)) for c in cuts[s] for over in (True, False)]
+    hit = lambda c, x: (x[c[0]] > c[2]) == c[1]
+    left, out = list(rows), []
+    while len(out) < max_rules:
+        rule, grow = [], [r for r in left if not r[2]]
+        while len(rule) < max_conditions:
+            p0, n0 = sum(r[1] == 0 for r in grow), sum(r[1] == 1 for r in grow)
+            best, most = None, 0.0
+            for c in conditions if p0 and n0 else ():
+                inside = [r[1] for r in grow if hit(c, r[0])]
+                p, n = inside.count(0), inside.count(1)
+                gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
+                if gain > most + 1e-9:
+                    best, most = c, gain
+            if best is None:
+                break
+            rule.append(best)
+            grow = [r for r in grow if hit(best, r[0])]
+        worth = []
+        for k in range(1, len(rule) + 1):
+            inside = [r[1] for r in left if r[2] and all(hit(c, r[0]) for c in rule[:k])]
+            p, n = inside.count(0), inside.count(1)
+            worth.append(((p - n) / (p + n) if p + n else -1.0, -k, p, n))
+        if not worth or max(worth)[2] < least or max(worth)[2] < precision * sum(max(worth)[2:]):
+            break
+        rule = rule[: -max(worth)[1]]
+        out.append(rule)
+        left = [r for r in left if not all(hit(c, r[0]) for c in rule)]
+    return out

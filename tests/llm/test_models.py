@@ -73,6 +73,20 @@ def test_rules(big):
     assert {r.rule for r in out if not r.kept and not r.base_failed} <= set(range(1, 9))
 
 
+def test_rules_plain(big, spark):
+    """The verdict of every document against a plain learner over rows."""
+    docs, labels = big
+    text = {r.doc_id: r.text for r in docs.collect()}
+    prunes = {r.doc_id: r.p for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("p")).collect()}
+    failed = {d: n < 10 or 100 * k > 20 * n for d, (n, *_, k) in ((d, brute.counts(t)) for d, t in text.items())}
+    stats = {d: brute.rule_stats(t) for d, t in text.items()}
+    rows = [(stats[r.doc_id], r.quality, prunes[r.doc_id]) for r in labels.collect() if r.doc_id in text and r.quality is not None and not failed[r.doc_id]]
+    learned = brute.decision_list(rows)
+    assert learned
+    want = {d: not failed[d] and not any(all((x[s] > c) == over for s, over, c in rule) for rule in learned) for d, x in stats.items()}
+    assert {r.doc_id: r.kept for r in rules.apply_rules(docs, labels).collect()} == want
+
+
 def test_rules_odd(odd, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = rules.apply_rules(odd, none).collect()
@@ -122,3 +136,82 @@ def test_gradient():
     net = language.ByteNet(["a", "b"])
     net.train(x, y, epochs=30)
     assert (net.probabilities(x).argmax(1) == y).mean() > 0.95
+
+
+def test_quality_plain(big):
+    """Scores against plain ridge regression on dense features of all labelled rows, with plain isotonic calibration."""
+    docs, labels = big
+    docs = docs.limit(400)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    stats = {r.doc_id: np.array(r[1:]) for r in quality.document_statistics(docs).collect()}
+    train = [(stats[r.doc_id], r.quality, r.doc_id) for r in labels.collect() if r.doc_id in stats and brute.crc(r.doc_id) % 4 != 2]
+    x, y = np.array([t[0] for t in train]), np.array([t[1] for t in train], float)
+    model = quality.Model(x.mean(0), x.std(0), 192, 7)
+    spark = docs.sparkSession
+    half = {r.id: r.part for r in spark.createDataFrame([(t[2],) for t in train], "id long").select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("part")).collect()}
+    part = np.array([half[t[2]] for t in train])
+
+    def weights(rows):
+        z = model.lift(x[rows])
+        penalty = np.full(z.shape[1], 1e-3 * len(z))
+        penalty[-1] = 1e-12 * len(z)
+        return np.linalg.lstsq(np.vstack([z, np.diag(np.sqrt(penalty))]), np.append(y[rows], np.zeros(z.shape[1])), rcond=None)[0]
+
+    z = model.lift(x)
+    raw = np.where(part == 0, z @ weights(part == 1), z @ weights(part == 0))
+    grid = np.clip(np.floor((raw + 1) / 3 * 2048), 0, 2047)
+    points = sorted({g: (y[grid == g].sum(), (grid == g).sum()) for g in grid}.items())
+    centre, share, count = [(g + 0.5) / 2048 * 3 - 1 for g, _ in points], [p / n for _, (p, n) in points], [n for _, (_, n) in points]
+    # the largest mean over beginnings of the smallest mean over ends: isotonic regression by its definition
+    mean = lambda a, b: sum(s * n for s, n in zip(share[a:b], count[a:b], strict=True)) / sum(count[a:b])
+    fitted = [max(min(mean(a, b) for b in range(i + 1, len(share) + 1)) for a in range(i + 1)) for i in range(len(share))]
+    pools = sorted({round(f, 12) for f in fitted})
+    place = [np.average([c for c, f in zip(centre, fitted, strict=True) if round(f, 12) == p], weights=[n for n, f in zip(count, fitted, strict=True) if round(f, 12) == p]) for p in pools]
+    for d, s in stats.items():
+        want = np.interp((model.lift(s[None]) @ weights(np.ones(len(x), bool)))[0], place, pools)
+        assert abs(got[d] - want) < 1e-6
+
+
+def test_tree_sums(spark):
+    """Sums over many places, level by level, equal the plain sum."""
+    rows = [(p % 2, p, np.full(3, float(p)).tobytes()) for p in range(500)]
+    got = quality.tree_sums(spark.createDataFrame(rows, "part int, place long, sums binary"), (20, 3)).collect()
+    assert len(got) == 6
+    for part in (0, 1):
+        assert sum(np.frombuffer(bytes(r.sums)) for r in got if r.part == part).tolist() == [float(sum(range(part, 500, 2)))] * 3
+
+
+def test_network_plain():
+    """The forward pass against loops over windows, places, filters and bytes."""
+    net = language.ByteNet(["a", "b", "c"], seed=3)
+    net.bias += np.linspace(-0.5, 0.5, len(net.bias)).astype(np.float32)
+    data, at = textbuf.buffers(pa.array(["hello world " * 20, "", "ab"]))
+    x, _, _ = language.windows_of(data, at)
+    got = net.probabilities(x, block=1)
+    for w, p in zip(x, got, strict=True):
+        pooled = []
+        for f in range(net.filters.shape[1]):
+            width = language.WIDTHS[f // language.FILTERS]
+            best = max(sum(float(net.embed[w[i + k]] @ net.filters[k * language.EMBED : (k + 1) * language.EMBED, f]) for k in range(width)) for i in range(len(w) - max(language.WIDTHS) + 1))
+            pooled.append(max(best + float(net.bias[f]), 0.0))
+        z = np.array(pooled) @ net.out + net.out_bias
+        assert np.allclose(p, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-5)
+
+
+def test_language_ties():
+    """Equal scores go to the language that sorts first; rows keep their order."""
+    net = language.ByteNet(["b", "a"][::-1])
+    net.out[:] = 0
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 3]), pa.array(["text one", None])], ["doc_id", "text"])
+    got = pa.Table.from_batches(list(language._predicted(net)(iter([batch])))).to_pylist()
+    assert [(r["doc_id"], r["lang_pred"]) for r in got] == [(4, "a"), (3, "und")] and abs(got[0]["score"] - 0.5) < 1e-6
+
+
+def test_language_whole_texts(spark):
+    """What tells a language may stand anywhere in a text: all windows of the sample teach."""
+    rng = np.random.default_rng(1)
+    noise = lambda: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 6, 5)) for _ in range(120))
+    rows = [(i, noise() + (" zyxw zyxw" * 8 if i % 2 else " qrst qrst" * 8) + noise(), "one" if i % 2 else "two") for i in range(120)]
+    net = language.train_network(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    data, at = textbuf.buffers(pa.array(["zyxw zyxw " * 19, "qrst qrst " * 19]))
+    assert [net.classes[k] for k in net.probabilities(language.windows_of(data, at)[0]).argmax(1)] == ["one", "two"]
