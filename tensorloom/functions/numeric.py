@@ -6,6 +6,8 @@ float32 operands. All of these stay inside whole-stage code generation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from ..schema import SMALLEST
 FLOAT = "float"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda variable, not an expression that is written out again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def f32(x: Column) -> Column:
     return x.cast(FLOAT)
 
@@ -155,6 +162,3 @@ def unpack_signed(byte: Column, high: Column) -> Column:
     n = F.when(high, F.shiftright(byte, 4)).otherwise(byte.bitwiseAND(F.lit(15)))
     return F.when(n >= 8, n - 16).otherwise(n).cast("tinyint")
 
-
-def align_up(n: Column, to: int) -> Column:
-    return F.ceil(n / to) * to

@@ -1,9 +1,10 @@
-"""Quantizers on element rows (tensor, idx, v FLOAT).
+"""Quantizers on element rows (tensor, idx, v FLOAT), in any order.
 
-Group keys come from idx, so results never depend on partitioning or file order. Scales are
-window maxima over (tensor, group): one shuffle, no join. INT8 has one scale per tensor; its
-maximum is a partial and final aggregate joined back, so a tensor of any size is spread over
-all tasks and only (tensor, scale) rows move; Catalyst broadcasts them where they are small.
+Group keys come from idx, so results never depend on partitioning or file order. Every
+quantizer first reads each tensor's largest magnitude, in partial and final aggregates; that
+pass raises for values that aren't finite, at the lowest index. The maxima are a row a
+tensor. Scales of groups are window maxima over (tensor, group): one shuffle, no join. Where
+elements lie in order as arrays, blocks.py does the same without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
-from ..schema import CHUNK_ELEMENTS, FP8_MAX, INT4_MAX, INT8_MAX, NVFP4_BLOCK, Q8_BLOCK, SMALLEST, TensorError
+from ..schema import CHUNK_ELEMENTS, F16_MAX, FP8_MAX, INT4_HIGH, INT4_LOW, INT4_MAX, INT8_MAX, NVFP4_BLOCK, Q8_BLOCK, SMALLEST, TensorError, element_count
+from . import validate
 
 NVFP4_TOP = 2688.0  # FP4_MAX * FP8_MAX
 
@@ -29,14 +31,20 @@ def group(size: int) -> Column:
 
 
 def int8_scales(elements: DataFrame) -> DataFrame:
-    """(tensor, scale): partial maxima before the shuffle."""
-    return elements.groupBy("tensor").agg(n.symmetric_scale(F.max(F.abs("v")), INT8_MAX).alias("scale"))
+    """(tensor, scale); raises NonFiniteInput at the lowest index."""
+    return validate.element_tops(elements).select("tensor", n.symmetric_scale(F.col("amax"), INT8_MAX).alias("scale"))
 
 
 def int8_quantize(elements: DataFrame, scales: DataFrame | None = None) -> DataFrame:
-    """elements with scale and q."""
-    scales = int8_scales(elements) if scales is None else scales
-    return elements.join(scales, "tensor").withColumn("q", n.quantize(F.col("v"), F.col("scale"), INT8_MAX))
+    """elements with scale and q. Scales that are given must be finite and positive and fit the values."""
+    given = scales is not None
+    scales = scales if given else int8_scales(elements)
+    rows = elements.join(scales, "tensor")
+    if given:
+        keyed = rows if "idx" in rows.columns else rows.withColumn("idx", F.lit(0).cast("bigint"))
+        validate.check(validate.bad_scales(scales))
+        validate.check(validate.non_finite(keyed), validate.found(keyed, n.is_finite(F.col("v")) & ~n.is_finite(n.div32(F.col("v"), F.col("scale"))), "QuantizedValueOverflow"))
+    return rows.withColumn("q", n.quantize(F.col("v"), F.col("scale"), INT8_MAX))
 
 
 def int8_replay(elements: DataFrame, scales: DataFrame | None = None, chunk: int = CHUNK_ELEMENTS) -> DataFrame:
@@ -48,6 +56,8 @@ def int8_replay(elements: DataFrame, scales: DataFrame | None = None, chunk: int
 
 def int4_scales(elements: DataFrame, size: int) -> DataFrame:
     """(tensor, grp, scale); the last group may be short."""
+    group(size)
+    validate.element_tops(elements)
     return elements.groupBy("tensor", group(size).alias("grp")).agg(n.symmetric_scale(F.max(F.abs("v")), INT4_MAX).alias("scale"))
 
 
@@ -58,19 +68,32 @@ def _per_group(elements: DataFrame, size: int) -> DataFrame:
 
 def int4_quantize(elements: DataFrame, size: int) -> DataFrame:
     """elements with grp, scale and q in -7..7."""
+    group(size)
+    validate.element_tops(elements)
     out = _per_group(elements, size).withColumn("scale", n.symmetric_scale(F.col("amax"), INT4_MAX)).drop("amax")
     return out.withColumn("q", n.quantize(F.col("v"), F.col("scale"), INT4_MAX))
 
 
-def pack_nibbles(rows: DataFrame, code: str = "q") -> DataFrame:
-    """(tensor, byte_idx, byte): idx div 2, low nibble first, an odd tail with a zero high nibble."""
+def pack_nibbles(rows: DataFrame, code: str = "q", signed: bool | None = None) -> DataFrame:
+    """(tensor, byte_idx, byte): idx div 2, low nibble first, an odd tail with a zero high nibble.
+
+    signed says which codes are nibbles, -8..7 or 0..15; None takes both.
+    """
+    low, high = {True: (INT4_LOW, INT4_HIGH), False: (0, 15), None: (INT4_LOW, 15)}[signed]
+    validate.check(validate.out_of_range(rows, low, high, "PackedValueOutOfRange", code))
     even = F.col("idx") % 2 == 0
     pair = rows.groupBy("tensor", F.expr("idx div 2").alias("byte_idx")).agg(F.max(F.when(even, F.col(code))).alias("low"), F.max(F.when(~even, F.col(code))).alias("high"))
     return pair.select("tensor", "byte_idx", n.pack_pair(F.col("low"), F.col("high")).alias("byte"))
 
 
-def unpack_nibbles(packed: DataFrame, elements: int | Column, signed: bool = True) -> DataFrame:
-    """(tensor, idx, q) of the first elements nibbles; the padding nibble is ignored."""
+def unpack_nibbles(packed: DataFrame, elements: int, signed: bool = True) -> DataFrame:
+    """(tensor, idx, q) of the elements nibbles of each tensor; the padding nibble is ignored.
+
+    Every tensor must have just the bytes that so many nibbles fill.
+    """
+    sizes = packed.groupBy("tensor").agg(F.count("*").alias("n"))
+    wrong = sizes.filter(F.col("n") != (elements + 1) // 2)
+    validate.check(wrong.select("tensor", F.lit("PackedLengthMismatch").alias("code"), F.lit(0).cast("bigint").alias("idx"), "n"))
     half = packed.select("tensor", "byte_idx", "byte", F.explode(F.array(F.lit(0), F.lit(1))).alias("h"))
     code = n.unpack_signed(F.col("byte"), F.col("h") == 1) if signed else F.when(F.col("h") == 1, F.shiftright("byte", 4)).otherwise(F.col("byte").bitwiseAND(F.lit(15)))
     out = half.select("tensor", (F.col("byte_idx") * 2 + F.col("h")).alias("idx"), code.alias("q"))
@@ -82,53 +105,79 @@ def dequantize(rows: DataFrame) -> DataFrame:
     return rows.withColumn("v_hat", n.dequantize(F.col("q"), F.col("scale")))
 
 
+def q8_0_scale(amax: Column) -> Column:
+    """The float32 scale of a block; zero for a block of zeros."""
+    return n.div32(n.f32(amax), F.lit(127.0))
+
+
+def q8_0_level(v: Column, exact: Column) -> Column:
+    """The value of -127..127, by the float32 reciprocal of the exact scale."""
+    safe = F.when(exact == 0, n.lit32(1.0)).otherwise(exact)
+    inverse = F.when(exact == 0, n.lit32(0.0)).otherwise(n.div32(F.lit(1.0), safe))
+    return n.clamp(n.round_away(n.mul32(v, inverse)), INT8_MAX)
+
+
+def check_q8_0(tops: DataFrame) -> None:
+    """Lengths must fill blocks, and every scale needs a finite binary16 value."""
+    code = F.when(F.col("n") % Q8_BLOCK != 0, "InvalidLength").when(q8_0_scale(F.col("amax")) >= F16_MAX, "InvalidScale")
+    validate.check(tops.select("tensor", code.alias("code"), F.lit(0).cast("bigint").alias("idx"), "n").filter("code is not null"))
+
+
 def q8_0_quantize(elements: DataFrame) -> DataFrame:
-    """elements with grp, scale (binary16 as float) and q; multiplies by the float32 reciprocal."""
-    s = n.div32(F.col("amax"), F.lit(127.0))
-    out = _per_group(elements, Q8_BLOCK).withColumn("exact", s)
-    inverse = F.when(F.col("exact") == 0, n.lit32(0.0)).otherwise(n.div32(F.lit(1.0), F.when(F.col("exact") == 0, n.lit32(1.0)).otherwise(F.col("exact"))))
-    out = out.withColumn("q", n.clamp(n.round_away(n.mul32(F.col("v"), inverse)), INT8_MAX))
+    """elements with grp, scale (binary16 as float) and q."""
+    check_q8_0(validate.element_tops(elements))
+    out = _per_group(elements, Q8_BLOCK).withColumn("exact", q8_0_scale(F.col("amax")))
+    out = out.withColumn("q", q8_0_level(F.col("v"), F.col("exact")))
     return out.withColumn("scale", n.to_f16(F.col("exact"))).drop("amax", "exact")
 
 
-def q8_0_shape(shape: list[int]) -> int:
-    """Number of elements; the last dimension must be a positive multiple of the block."""
-    if not shape or 0 in shape or shape[-1] % Q8_BLOCK:
+def _shaped(shape: list[int], block: int, elements: int | None) -> int:
+    if not shape or 0 in shape or shape[-1] % block:
         raise TensorError("InvalidShape", str(shape))
-    total = 1
-    for d in shape:
-        total *= d
+    total = element_count(shape)
+    if elements is not None and elements != total:
+        raise TensorError("ShapeLengthMismatch", f"{elements} values for {shape}")
     return total
 
 
-def nvfp4_shape(shape: list[int]) -> int:
-    if not shape or shape[-1] % NVFP4_BLOCK:
-        raise TensorError("InvalidShape", str(shape))
-    total = 1
-    for d in shape:
-        total *= d
-    return total
+def q8_0_shape(shape: list[int], elements: int | None = None) -> int:
+    """Number of elements; no dimension is zero and the last is a multiple of the block."""
+    return _shaped(shape, Q8_BLOCK, elements)
 
 
-def nvfp4_quantize(elements: DataFrame) -> DataFrame:
-    """elements with grp, block_bits (E4M3), scale (its value), global_scale and code (E2M1).
+def nvfp4_shape(shape: list[int], elements: int | None = None) -> int:
+    """Number of elements; no dimension is zero and the last is a multiple of the block."""
+    return _shaped(shape, NVFP4_BLOCK, elements)
 
-    Block maxima are aggregated first; the tensor's maximum is taken over them, so the
-    second level reads one row for each block.
-    """
-    blocks = elements.groupBy("tensor", group(NVFP4_BLOCK).alias("grp")).agg(F.max(F.abs("v")).alias("bmax"))
-    tops = blocks.groupBy("tensor").agg(F.max("bmax").alias("gmax"))
-    gmax = F.col("gmax")
-    safe = F.when(gmax == 0, n.lit32(1.0)).otherwise(gmax)
-    bits = n.e4m3_encode(n.mul32(n.div32(F.col("bmax"), safe), n.lit32(float(FP8_MAX))))
-    bits = F.when(F.col("bmax") == 0, 0).otherwise(F.greatest(bits, F.lit(1)))
-    gs = n.div32(gmax, F.lit(NVFP4_TOP))
-    gs = F.when(gmax == 0, n.lit32(1.0)).when(gs == 0, n.lit32(SMALLEST)).otherwise(gs)
-    scales = blocks.join(tops, "tensor").select("tensor", "grp", "gmax", bits.alias("block_bits"), gs.alias("global_scale")).withColumn("scale", n.e4m3_decode(F.col("block_bits")))
-    out = elements.withColumn("grp", group(NVFP4_BLOCK)).join(scales, ["tensor", "grp"])
-    zero = F.col("block_bits") == 0
-    value = n.div32(n.mul32(n.div32(F.col("v"), safe), n.lit32(NVFP4_TOP)), F.when(zero, n.lit32(1.0)).otherwise(F.col("scale")))
-    return out.withColumn("code", F.when(zero, 0).otherwise(n.e2m1_encode(value))).drop("gmax")
+
+def nvfp4_global(gmax: Column) -> Column:
+    gs = n.div32(n.f32(gmax), F.lit(NVFP4_TOP))
+    return F.when(gmax == 0, n.lit32(1.0)).when(gs == 0, n.lit32(SMALLEST)).otherwise(gs)
+
+
+def _safe(gmax: Column) -> Column:
+    return F.when(gmax == 0, n.lit32(1.0)).otherwise(gmax)
+
+
+def nvfp4_bits(bmax: Column, gmax: Column) -> Column:
+    """The E4M3 scale of a block; zero for a block of zeros alone."""
+    bits = n.e4m3_encode(n.mul32(n.div32(bmax, _safe(gmax)), n.lit32(float(FP8_MAX))))
+    return F.when(bmax == 0, 0).otherwise(F.greatest(bits, F.lit(1)))
+
+
+def nvfp4_code(v: Column, gmax: Column, bits: Column, scale: Column) -> Column:
+    """The E2M1 code of a value in a block; zero in a block of zeros."""
+    zero = bits == 0
+    value = n.div32(n.mul32(n.div32(v, _safe(gmax)), n.lit32(NVFP4_TOP)), F.when(zero, n.lit32(1.0)).otherwise(scale))
+    return F.when(zero, 0).otherwise(n.e2m1_encode(value))
+
+
+def nvfp4_quantize(elements: DataFrame) -> DataFrame:
+    """elements with grp, block_bits (E4M3), scale (its value), global_scale and code (E2M1)."""
+    tops = validate.element_tops(elements).select("tensor", F.col("amax").alias("gmax"))
+    out = _per_group(elements, NVFP4_BLOCK).join(tops, "tensor").withColumn("block_bits", nvfp4_bits(F.col("amax"), F.col("gmax")))
+    out = out.withColumn("scale", n.e4m3_decode(F.col("block_bits"))).withColumn("global_scale", nvfp4_global(F.col("gmax")))
+    return out.withColumn("code", nvfp4_code(F.col("v"), F.col("gmax"), F.col("block_bits"), F.col("scale"))).drop("gmax", "amax")
 
 
 def nvfp4_dequantize(rows: DataFrame) -> DataFrame:
@@ -138,5 +187,7 @@ def nvfp4_dequantize(rows: DataFrame) -> DataFrame:
 
 def per_channel_int8(elements: DataFrame, width: int) -> DataFrame:
     """INT8 with a scale for each row of a matrix of the given width (idx div width)."""
+    group(width)
+    validate.element_tops(elements)
     out = _per_group(elements, width).withColumn("scale", n.symmetric_scale(F.col("amax"), INT8_MAX)).drop("amax")
     return out.withColumn("q", n.quantize(F.col("v"), F.col("scale"), INT8_MAX))

@@ -17,6 +17,8 @@ INT8_MAX, INT4_MAX, INT4_LOW, INT4_HIGH = 127, 7, -8, 7
 Q8_BLOCK, Q8_BLOCK_BYTES = 32, 34
 NVFP4_BLOCK, FP4_MAX, FP8_MAX = 16, 6, 448
 E5M2_MAX = 57344
+#: Where binary16 begins to round to infinity.
+F16_MAX = 65520.0
 #: The smallest positive float32, 2**-149.
 SMALLEST = 2.0**-149
 
