@@ -1,4 +1,4 @@
-"""Command line: inspect and quantize."""
+"""Command line: inspect, quantize and validate."""
 
 from __future__ import annotations
 
@@ -19,6 +19,9 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--format", default="int8")
     q.add_argument("--device", default="cpu")
     q.add_argument("--namespace", default="tensorloom", help="prefix of the metadata keys")
+    v = sub.add_parser("validate", help="check a quantized SafeTensors file against its source")
+    v.add_argument("input")
+    v.add_argument("output")
     return out
 
 
@@ -28,10 +31,14 @@ def main(args: list[str] | None = None) -> int:
         if a.command == "inspect":
             print(model.inspect(a.path))
             return 0
-        model.policy.check_options(a.format, a.device)
+        if a.command == "quantize":
+            model.policy.check_options(a.format, a.device)
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("tensorloom").getOrCreate()
+        if a.command == "validate":
+            print("\n".join(model.validated(spark, a.input, a.output)))
+            return 0
         print("\n".join(model.quantize(spark, a.input, a.output, a.format, a.device, namespace=a.namespace)))
         return 0
     except TensorError as e:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numeric as n
 from ..schema import TensorError
+from . import validate
 
 
 def metric_columns(v: str = "v", v_hat: str = "v_hat") -> list[Column]:
@@ -50,6 +52,17 @@ def paired(source: DataFrame, rebuilt: DataFrame) -> DataFrame:
     return both
 
 
+def checked_pairs(rows: DataFrame) -> DataFrame:
+    """rows (tensor, idx, v, v_hat), none of whose values is NaN or infinite; the source's come first."""
+    validate.check(validate.found(rows, ~n.is_finite(F.col("v")), "NonFiniteSource"), validate.found(rows, n.is_finite(F.col("v")) & ~n.is_finite(F.col("v_hat")), "NonFiniteReconstructed"))
+    return rows
+
+
+def reconstruction_metrics(source: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """metric_columns() by tensor of (tensor, idx, v) against (tensor, idx, v_hat): equal places, finite values."""
+    return checked_pairs(paired(source, rebuilt)).groupBy("tensor").agg(*metric_columns())
+
+
 def accounting(source: int, payload: int, overhead: int) -> tuple[int, float | None]:
     """(total bytes, ratio or None)."""
     total = payload + overhead

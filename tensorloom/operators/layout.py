@@ -45,7 +45,14 @@ def plan(sources: DataFrame, decisions: DataFrame, check: bool = True) -> DataFr
     if check:
         bad = violations(sources, decisions).orderBy("code", "tensor").limit(1).collect()
         if bad:
+            counts = sources.count(), decisions.count()
+            if counts[0] != counts[1]:
+                raise TensorError("DecisionCountMismatch", f"{counts[0]} sources, {counts[1]} decisions; {bad[0].code}: {bad[0].tensor}")
             raise TensorError(bad[0].code, bad[0].tensor)
+        size = F.when(F.col("action") == "quantize", F.col("element_count").cast("decimal(38,0)") + 4).otherwise(F.col("byte_len").cast("decimal(38,0)"))
+        total = sources.join(decisions.select("tensor", "action"), "tensor").agg(F.sum(size)).first()[0] or 0
+        if total >= 1 << 63:  # offsets are signed 64-bit integers here
+            raise TensorError("OutputByteLengthOverflow", str(total))
     both = sources.select("tensor", "dtype", "shape", "byte_len", "element_count").join(decisions.select("tensor", "action"), "tensor")
     none = F.array().cast("array<bigint>")
     out = lambda k, name, dtype, shape, size, role: F.struct(F.lit(k).alias("k"), name.alias("name"), dtype.alias("dtype"), shape.alias("shape"), size.cast("bigint").alias("byte_len"), F.lit(role).alias("role"))

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
-from ..operators import diagnostics, layout, policy, validate
+from ..operators import blocks, diagnostics, layout, policy, validate
 from ..schema import CHUNK_ELEMENTS, INT8_MAX, MINIMUM_ELEMENTS, TensorError
 from ..sources import safetensors as st
 
@@ -47,21 +44,22 @@ def plan(spark: SparkSession, source: str, minimum: int = MINIMUM_ELEMENTS, chun
     catalog = st.catalog(spark, source)
     decisions = policy.decide(catalog, minimum)
     names = [r.tensor for r in decisions.filter("action = 'quantize'").select("tensor").collect()]
-    chunks = st.chunks(spark, source, chunk).filter(F.col("tensor").isin(names))
-    bad = F.exists("vals", lambda v: ~n.is_finite(v))
-    place = F.col("base_idx") + F.array_position(F.transform("vals", lambda v: n.is_finite(v)), False) - 1
-    offenders = chunks.filter(bad).select("tensor", F.lit("NonFiniteInput").alias("code"), place.alias("idx"), F.lit(1).cast("bigint").alias("n"))
-    validate.check(offenders)
-    tops = chunks.groupBy("tensor").agg(F.max(F.array_max(F.transform("vals", F.abs))).alias("amax"))
-    scales = tops.select("tensor", n.symmetric_scale(F.col("amax"), INT8_MAX).alias("scale"))
-    both = chunks.join(scales, "tensor")
-    quantized = both.select("tensor", "chunk", "scale", "vals", F.transform("vals", lambda v: n.quantize(v, F.col("scale"), INT8_MAX)).alias("qs"))
-    rows = quantized.select("tensor", "scale", F.explode(F.arrays_zip("vals", "qs")).alias("x")).select("tensor", F.col("x.vals").alias("v"), F.col("x.qs").alias("q"), n.dequantize(F.col("x.qs"), F.col("scale")).alias("v_hat"))
-    sized = diagnostics.tensor_diagnostics(rows, INT8_MAX).drop("source_bytes", "compression_ratio").join(catalog.select("tensor", F.col("byte_len").alias("source_bytes")), "tensor")
+    chunks = st.chunks(spark, source, chunk, tensors=names)
+    scales = blocks.tops(chunks).select("tensor", n.symmetric_scale(F.col("amax"), INT8_MAX).alias("scale"))
+    quantized = chunks.join(scales, "tensor").select("tensor", "chunk", "base_idx", "scale", "vals", F.transform("vals", lambda v: n.quantize(v, F.col("scale"), INT8_MAX)).alias("qs"))
+    sized = diagnostics.tensor_diagnostics(_pairs(quantized), INT8_MAX).drop("source_bytes", "compression_ratio").join(catalog.select("tensor", F.col("byte_len").alias("source_bytes")), "tensor")
     found = sized.withColumn("compression_ratio", diagnostics.ratio(F.col("source_bytes"), F.col("quantized_bytes"))).join(scales, "tensor")
+    # a row a tensor, read once: the report and the checks need no further scan
+    found = spark.createDataFrame(found.collect(), found.schema)
     return Plan(source, catalog, decisions, layout.plan(catalog, decisions), scales, quantized, found)
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(tensor, idx, v, q, v_hat) of chunks with base_idx, scale, vals and qs."""
+    zipped = rows.select("tensor", "base_idx", "scale", F.posexplode(F.arrays_zip("vals", "qs")).alias("i", "x"))
+    return zipped.select("tensor", (F.col("base_idx") + F.col("i")).alias("idx"), F.col("x.vals").alias("v"), F.col("x.qs").alias("q"), n.dequantize(F.col("x.qs"), F.col("scale")).alias("v_hat"))
+
+
 def progress(p: Plan) -> list[str]:
     """A line for each tensor in name order."""
     rows = p.decisions.select("tensor", "action", "reason_text").join(p.diagnostics.select("tensor", "mse", "mae", "scale"), "tensor", "left").orderBy("tensor").collect()
@@ -72,34 +70,42 @@ def progress(p: Plan) -> list[str]:
     return out
 
 
-def _codes(spark: SparkSession, path: str, names: list[str], chunk: int) -> DataFrame:
-    """(tensor, chunk, qs array<tinyint>) of the named tensors of a file, their bytes read as INT8; chunk: a multiple of four."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            raw = b.column(2).to_pylist()
-            at = np.cumsum([0, *map(len, raw)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int8)))], ["tensor", "chunk", "qs"])
-
-    return st.payload(spark, path, chunk=chunk // 4).filter(F.col("tensor").isin(names)).select("tensor", "chunk", "bytes").mapInArrow(batches, "tensor string, chunk long, qs array<tinyint>")
-
-
-def reopened(spark: SparkSession, p: Plan, output: str, scales: DataFrame, chunk: int = CHUNK_ELEMENTS) -> DataFrame:
-    """Diagnostics by tensor of what the output's own qdata and scales (tensor, scale) dequantize to, against the source."""
+def _met(spark: SparkSession, p: Plan, output: str, chunk: int) -> DataFrame:
+    """The source's chunks with the output's codes of them, by (tensor, chunk); LengthMismatch where either lacks some."""
     names = {r.name: r.source_name for r in p.layout.filter("role = 'qdata'").select("name", "source_name").collect()}
     of = spark.createDataFrame(list(names.items()), "tensor string, source_name string")
-    codes = _codes(spark, output, list(names), chunk).join(of, "tensor").select(F.col("source_name").alias("tensor"), "chunk", "qs")
-    values = st.chunks(spark, p.source, chunk).filter(F.col("tensor").isin(list(names.values())))
-    both = values.join(codes, ["tensor", "chunk"], "full_outer")
+    codes = st.codes(spark, output, list(names), chunk).join(of, "tensor").select(F.col("source_name").alias("tensor"), "chunk", "qs")
+    both = st.chunks(spark, p.source, chunk, tensors=list(names.values())).join(codes, ["tensor", "chunk"], "full_outer")
     odd = both.filter("vals is null or qs is null or size(vals) <> size(qs)").select("tensor", "chunk").limit(1).collect()
     if odd:
         raise TensorError("LengthMismatch", f"tensor {odd[0].tensor} in chunk {odd[0].chunk}")
-    zipped = both.join(scales, "tensor").select("tensor", "base_idx", "scale", F.posexplode(F.arrays_zip("vals", "qs")).alias("i", "x"))
-    rows = zipped.select("tensor", (F.col("base_idx") + F.col("i")).alias("idx"), F.col("x.vals").alias("v"), F.col("x.qs").alias("q"), n.dequantize(F.col("x.qs"), F.col("scale")).alias("v_hat"))
+    return both
+
+
+def reopened(spark: SparkSession, p: Plan, output: str, scales: DataFrame, chunk: int = CHUNK_ELEMENTS) -> DataFrame:
+    """Diagnostics by tensor of what the output's own qdata and scales (tensor, scale) dequantize to, against the source."""
+    rows = _pairs(_met(spark, p, output, chunk).join(scales, "tensor"))
     validate.check(validate.out_of_range(rows, -INT8_MAX, INT8_MAX), validate.overflows(rows))
     return diagnostics.tensor_diagnostics(rows, INT8_MAX)
 
 
+def output_scales(spark: SparkSession, p: Plan, output: str) -> DataFrame:
+    """(tensor, scale) of the output's scale tensors, by the name of their source."""
+    rows = p.layout.filter("role = 'scale'").select(F.col("name").alias("tensor"), "source_name").collect()
+    read = st.chunks(spark, output, tensors=[r.tensor for r in rows])
+    return read.join(spark.createDataFrame(rows, "tensor string, source_name string"), "tensor").select(F.col("source_name").alias("tensor"), F.get("vals", 0).alias("scale"))
+
+
+def check_codes(spark: SparkSession, p: Plan, output: str, chunk: int = CHUNK_ELEMENTS) -> None:
+    """The output's scales and codes must be just those that the source quantizes to; a single wrong byte raises."""
+    scales = output_scales(spark, p, output)
+    wrong = scales.join(p.scales.select("tensor", F.col("scale").alias("want")), "tensor", "full_outer").filter("scale is null or want is null or scale <> want")
+    places = F.transform("vals", lambda v, i: n.quantize(v, F.col("want"), INT8_MAX) != F.get("qs", i))
+    codes = _met(spark, p, output, chunk).join(p.scales.select("tensor", F.col("scale").alias("want")), "tensor").select("tensor", "base_idx", F.array_position(places, True).alias("at")).filter("at > 0")
+    row = lambda df, code, idx: df.select("tensor", F.lit(code).alias("code"), idx.cast("bigint").alias("idx"), F.lit(1).cast("bigint").alias("n"))
+    validate.check(row(wrong, "ScaleDiffers", F.lit(0)), row(codes, "QuantizedValueDiffers", F.col("base_idx") + F.col("at") - 1))
+
+
 def check_output(spark: SparkSession, p: Plan, output: str) -> dict:
     """Reopen the output: names, preserved bytes, scales, dequantized values and their metrics."""
     planned, made = p.layout.select("name", "source_name", "role", "byte_len"), st.read_header(output)
@@ -108,11 +114,11 @@ def check_output(spark: SparkSession, p: Plan, output: str) -> dict:
         raise TensorError("PlanMismatch", "the output's tensors are not the planned ones")
     digest = lambda df: df.groupBy("tensor").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", F.sha2("bytes", 256).alias("h")))), lambda x: x["h"]), ","), 256).alias("h"))
     kept = planned.filter("role = 'preserved'").select(F.col("name").alias("tensor"))
-    before, after = (digest(st.payload(spark, f).join(kept, "tensor", "left_semi")) for f in (p.source, output))
+    names = [r.tensor for r in kept.collect()]
+    before, after = (digest(st.payload(spark, f, tensors=names)) for f in (p.source, output))
     if not before.join(after, ["tensor", "h"], "left_anti").isEmpty():
         raise TensorError("PreservedBytesDiffer", output)
-    scale_rows = planned.filter("role = 'scale'").select(F.col("name").alias("tensor"), F.col("source_name"))
-    scales = st.chunks(spark, output).join(scale_rows, "tensor").select(F.col("source_name").alias("tensor"), F.get("vals", 0).alias("scale"))
+    scales = output_scales(spark, p, output)
     validate.check(validate.bad_scales(scales))
     counts = {x.role: x["count"] for x in planned.groupBy("role").count().collect()}
     if counts.get("scale", 0) != counts.get("qdata", 0) or scales.count() != counts.get("scale", 0):
@@ -131,18 +137,26 @@ def quantize(spark: SparkSession, source: str, output: str, output_format: str =
     st.write(source, output, p.layout, p.decisions, p.quantized, p.scales, layout.plan(p.catalog, p.decisions), namespace)
     try:
         r = check_output(spark, p, output)
+        check_codes(spark, p, output)
     except Exception:
         os.remove(output)
         raise
+    return [*lines, "", "Final report:", f"  Source: {source}", f"  Output: {output}", *summary(source, r)]
+
+
+def validated(spark: SparkSession, source: str, output: str, minimum: int = MINIMUM_ELEMENTS) -> list[str]:
+    """Check an output that was written before against its source; the report's lines."""
+    p = plan(spark, source, minimum)
+    r = check_output(spark, p, output)
+    check_codes(spark, p, output)
+    return [f"Source: {source}", f"Output: {output}", *summary(source, r)]
+
+
+def summary(source: str, r: dict) -> list[str]:
     before, after = os.path.getsize(source), r["output_bytes"]
     size = f"smaller by {before - after}" if after < before else f"larger by {after - before}"
     sqnr = "undefined" if r["lowest_sqnr_db"] is None else f"{r['lowest_sqnr_db']:.2f} dB"
     return [
-        *lines,
-        "",
-        "Final report:",
-        f"  Source: {source}",
-        f"  Output: {output}",
         f"  Tensors: {r['quantized_tensors']} quantized, {r['preserved_tensors']} preserved",
         f"  Source bytes: {before}",
         f"  Output bytes: {after}",

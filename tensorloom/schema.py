@@ -47,6 +47,13 @@ def byte_length(dtype: str, shape: list[int]) -> int:
     return bits // 8
 
 
+def check_layout(dtype: str, shape: list[int], byte_len: int) -> int:
+    """Number of elements of a tensor whose bytes must be just those of its shape and type."""
+    if byte_length(dtype, shape) != byte_len:
+        raise TensorError("TensorByteLengthMismatch", f"{dtype} {shape} has {byte_length(dtype, shape)} bytes, not {byte_len}")
+    return element_count(shape)
+
+
 class TensorError(ValueError):
     """A violated rule: its code and what was found."""
 

@@ -1,9 +1,9 @@
 """SafeTensors: a u64 header length, a JSON header, then the payloads.
 
 The header is read and checked on the driver (metadata only). Payloads are read by a Python
-data source whose partitions are byte ranges of whole chunks; a filter on the tensor name
-reaches the reader, so other tensors are never opened. Paths must be readable where the
-executors run.
+data source whose partitions are byte ranges of whole chunks; tensors that aren't asked for by
+name are never opened. Where the session lets Python sources have filters, a filter on the
+name does the same. Paths must be readable where the executors run.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from ..schema import CATALOG, CHUNK_ELEMENTS, CHUNKS, DTYPE_BITS, FLOATING, PAYLOAD, TensorError, byte_length, element_count
@@ -150,17 +151,9 @@ class Span(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, typed: bool, chunk: int, tensor: str | None):
+    def __init__(self, path: str, typed: bool, chunk: int, tensors: list[str] | None):
         self.path, self.typed, self.chunk = path, typed, chunk
-        self.names = {tensor} if tensor else None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            names = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if names is not None and f.attribute == ("tensor",):
-                self.names = names if self.names is None else self.names & names
-            else:
-                yield f
+        self.names = None if tensors is None else set(tensors)
 
     def partitions(self) -> list[Span]:
         header, out = read_header(self.path), []
@@ -190,8 +183,23 @@ class _Reader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays([pa.array([span.tensor]), pa.array([n], pa.int64()), pa.array([raw], pa.binary())], ["tensor", "chunk", "bytes"])
 
 
+class _PushingReader(_Reader):
+    """Takes filters on the tensor's name; only for sessions that let Python sources have filters."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            names = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if names is not None and f.attribute == ("tensor",):
+                self.names = names if self.names is None else self.names & names
+            else:
+                yield f
+
+
 class SafetensorsSource(DataSource):
-    """format("safetensors"): options path, mode (chunks or payload), chunk (elements), tensor."""
+    """format("safetensors"): options path, mode (chunks or payload), chunk (elements), tensors (JSON list of names).
+
+    pushdown: "true" where spark.sql.python.filterPushdown.enabled is; the session's setting is left as it is.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -201,35 +209,69 @@ class SafetensorsSource(DataSource):
         return PAYLOAD if self.options.get("mode") == "payload" else CHUNKS
 
     def reader(self, schema: object) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("mode") != "payload", int(self.options.get("chunk", CHUNK_ELEMENTS)), self.options.get("tensor"))
+        kind = _PushingReader if self.options.get("pushdown") == "true" else _Reader
+        names = self.options.get("tensors")
+        return kind(self.options["path"], self.options.get("mode") != "payload", int(self.options.get("chunk", CHUNK_ELEMENTS)), None if names is None else json.loads(names))
 
 
-def chunks(spark: SparkSession, path: str, chunk: int = CHUNK_ELEMENTS, tensor: str | None = None) -> DataFrame:
-    """Float tensors as chunks of values. A named tensor must be there and readable as float32."""
+def chunks(spark: SparkSession, path: str, chunk: int = CHUNK_ELEMENTS, tensor: str | None = None, tensors: list[str] | None = None) -> DataFrame:
+    """Float tensors as chunks of values. A named tensor must be there and readable as float32; others of tensors are not read."""
     if tensor is not None and (t := read_header(path).tensor(tensor)).dtype not in FLOATING:
         raise TensorError("UnsupportedTensorDtype", t.dtype)
-    return _load(spark, path, "chunks", chunk, tensor)
+    return _load(spark, path, "chunks", chunk, [tensor] if tensor is not None else tensors)
 
 
-def payload(spark: SparkSession, path: str, tensor: str | None = None, chunk: int = CHUNK_ELEMENTS) -> DataFrame:
+def payload(spark: SparkSession, path: str, tensor: str | None = None, chunk: int = CHUNK_ELEMENTS, tensors: list[str] | None = None) -> DataFrame:
     """Any tensor as consecutive byte chunks of four bytes an element."""
     if tensor is not None:
         read_header(path).tensor(tensor)
-    return _load(spark, path, "payload", chunk, tensor)
+    return _load(spark, path, "payload", chunk, [tensor] if tensor is not None else tensors)
+
+
+def codes(spark: SparkSession, path: str, tensors: list[str], chunk: int = CHUNK_ELEMENTS) -> DataFrame:
+    """(tensor, chunk, qs array<tinyint>) of I8 tensors; chunk: a multiple of four elements."""
+    header = read_header(path)
+    for name in tensors:
+        if header.tensor(name).dtype != "I8":
+            raise TensorError("UnsupportedTensorDtype", header.tensor(name).dtype)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            raw = b.column(2).to_pylist()
+            at = np.cumsum([0, *map(len, raw)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int8)))], ["tensor", "chunk", "qs"])
+
+    return payload(spark, path, chunk=chunk // 4, tensors=tensors).mapInArrow(batches, "tensor string, chunk long, qs array<tinyint>")
 
 
-def _load(spark: SparkSession, path: str, mode: str, chunk: int, tensor: str | None) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def _load(spark: SparkSession, path: str, mode: str, chunk: int, tensors: list[str] | None) -> DataFrame:
     spark.dataSource.register(SafetensorsSource)
     reader = spark.read.format("safetensors").option("mode", mode).option("chunk", str(chunk))
-    if tensor is not None:
-        reader = reader.option("tensor", tensor)
+    reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    if tensors is not None:
+        reader = reader.option("tensors", json.dumps(tensors))
     return reader.load(path)
 
 
+def to_bytes(rows: DataFrame, values: str, storage: str) -> DataFrame:
+    """(tensor, chunk, bytes): arrays as little-endian bytes of a numpy type, encoded where the rows are."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lists = b.column(2)
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(storage), lists.offsets.to_numpy()
+            at = at - at[0]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([flat[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["tensor", "chunk", "bytes"])
+
+    return rows.select(F.col("tensor").cast("string"), F.col("chunk").cast("long"), values).mapInArrow(batches, PAYLOAD)
+
+
 def frame(header: dict[str, object]) -> bytes:
     """Length, compact JSON with sorted keys, spaces up to a multiple of eight."""
-    raw = json.dumps(header, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    try:
+        raw = json.dumps(header, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    except (TypeError, ValueError) as e:  # a name that isn't Unicode text, a value that isn't JSON
+        raise TensorError("Serialization", str(e)) from e
     raw += b" " * (-len(raw) % 8)
     if len(raw) > MAX_HEADER:
         raise TensorError("HeaderTooLarge", str(len(raw)))
@@ -284,7 +326,8 @@ def write(source: str, destination: str, plan: DataFrame, decisions: DataFrame,
     """Write the planned file.
 
     quantized: (tensor, chunk, qs array<tinyint>); scales: (tensor, scale). Executors do
-    the arithmetic; the driver streams ordered chunks into the file and holds one at a time.
+    the arithmetic and encode the bytes; the driver streams ordered chunks of bytes into the
+    file and holds one at a time.
     """
     if os.path.realpath(source) == os.path.realpath(destination):
         raise TensorError("SourceDestinationConflict", destination)
@@ -307,7 +350,7 @@ def write(source: str, destination: str, plan: DataFrame, decisions: DataFrame,
 
     def parts() -> Iterator[bytes]:
         yield framed
-        ordered = quantized.select("tensor", "chunk", "qs").orderBy("tensor", "chunk").toLocalIterator()
+        ordered = to_bytes(quantized, "qs", "i1").orderBy("tensor", "chunk").toLocalIterator()
         by_tensor = scales.orderBy("tensor").toLocalIterator()
         pending = next(ordered, None)
         with open(source, "rb") as f:
@@ -322,7 +365,7 @@ def write(source: str, destination: str, plan: DataFrame, decisions: DataFrame,
                 elif o.role == "qdata":
                     n = 0
                     while pending is not None and pending.tensor == o.source_name:
-                        raw = np.array(pending.qs, np.int8).tobytes()
+                        raw = bytes(pending.bytes)
                         n, pending = n + len(raw), next(ordered, None)
                         yield raw
                     if n != o.byte_len:
@@ -334,3 +377,26 @@ def write(source: str, destination: str, plan: DataFrame, decisions: DataFrame,
                     yield struct.pack("<f", s.scale)
 
     write_atomically(destination, parts(), len(framed) + at)
+
+
+def write_tensors(path: str, tensors: list[tuple[str, str, list[int]]], data: DataFrame) -> None:
+    """Write tensors (name, dtype, shape), laid out by name, from (tensor, chunk, bytes) in any order."""
+    header, at = {}, 0
+    for name, dtype, shape in sorted(tensors, key=lambda t: t[0].encode()):
+        size = byte_length(dtype, shape)
+        header[name] = {"dtype": dtype, "shape": list(shape), "data_offsets": [at, at + size]}
+        at += size
+    framed = frame(header)
+    found = {r.tensor: r.n for r in data.groupBy("tensor").agg(F.sum(F.octet_length("bytes")).alias("n")).collect()}
+    for name, spec in header.items():
+        if found.pop(name, 0) != spec["data_offsets"][1] - spec["data_offsets"][0]:
+            raise TensorError("DataLengthMismatch", name)
+    if found:
+        raise TensorError("TensorNotFound", min(found))
+
+    def parts() -> Iterator[bytes]:
+        yield framed
+        for r in data.select("tensor", "chunk", "bytes").orderBy("tensor", "chunk").toLocalIterator():
+            yield bytes(r.bytes)
+
+    write_atomically(path, parts(), len(framed) + at)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quantize import explode_arrays
+from ..schema import check_layout
 
 #: Columns that make 1-D tensors, with their table's unique key; None: no unique key, so order-insensitive uses only.
 COLUMNS = {
@@ -29,6 +30,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_arrays(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def matrix_chunks(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
+    """The matrix of all embeddings as chunks (tensor, base_idx, vals), a row of it each."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.lit("m").alias("tensor"), (F.col("vec_id") * width).cast("bigint").alias("base_idx"), F.col("embedding").cast("array<float>").alias("vals"))
+
+
 def matrix(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
     """All embeddings as one matrix in row-major order."""
     return vectors(spark, sf_dir).select(F.lit("m").alias("tensor"), (F.col("tensor") * width + F.col("idx")).alias("idx"), "v")
@@ -75,4 +82,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("bigint").alias("w"))
     parts.append(vec.select(F.lit(MATRIX).alias("tensor"), F.lit("F32").alias("dtype"), F.array("n", "w").alias("shape"), (F.col("n") * F.col("w")).alias("element_count"), (F.col("n") * F.col("w") * 4).alias("byte_len")))
     found = reduce(DataFrame.unionByName, parts)
-    return spark.createDataFrame(found.collect(), found.schema)
+    rows = found.collect()
+    for r in rows:
+        check_layout(r.dtype, list(r.shape), r.byte_len)
+    return spark.createDataFrame(rows, found.schema)
