@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import os
-import struct
 import tempfile
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
 from .functions import numeric as n
-from .operators import arrays, diagnostics, layout, policy, validate
+from .operators import arrays, blocks, diagnostics, layout, parts, policy, validate
 from .operators import quantize as q
+from .plans import model
 from .schema import CHUNK_ELEMENTS, INT4_MAX, INT8_MAX
 from .sources import gguf, safetensors, tables
 
@@ -100,7 +99,8 @@ def int8_saturation_count(spark, sf_dir):
 
 @query
 def int8_global_scale_matrix(spark, sf_dir):
-    return q.int8_quantize(tables.matrix(spark, sf_dir)).groupBy("q").agg(F.count("*").alias("n"), F.max("scale").cast("double").alias("scale")).select(_i("q"), "n", "scale")
+    rows = blocks.int8(tables.matrix_chunks(spark, sf_dir)).select("scale", F.explode("q").alias("q"))
+    return rows.groupBy("q").agg(F.count("*").alias("n"), F.max("scale").cast("double").alias("scale")).select(_i("q"), "n", "scale")
 
 
 @query
@@ -111,48 +111,67 @@ def int8_chunked_replay(spark, sf_dir):
 
 @query
 def int8_per_channel(spark, sf_dir):
-    rows = q.per_channel_int8(tables.matrix(spark, sf_dir), 64)
-    return rows.groupBy("grp").agg(F.max("scale").cast("double").alias("scale"), F.sum("q").cast("bigint").alias("sum_q"))
+    rows = blocks.per_channel_int8(tables.matrix_chunks(spark, sf_dir), 64)
+    return rows.select("grp", _d("scale"), F.aggregate("q", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_q"))
+
+
+def _hex() -> Column:
+    return F.lower(F.lpad(F.hex("byte"), 2, "0")).alias("hex")
+
+
+def _cut31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix in chunks that hold whole groups of 31."""
+    return blocks.rechunk(tables.matrix_chunks(spark, sf_dir), 31 * 512)
+
+
+def _tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings, each a tensor in a row."""
+    return tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tensor"), "embedding")
+
+
+def _packed4(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """Orders' prices in chunks of whole groups, packed: base_idx, packed, elements."""
+    chunks = blocks.of_elements(tables.ordered_column(spark, sf_dir, ORDERED), size * 512)
+    blocks.tops(chunks)
+    return arrays.int4(chunks, "vals", size).select("base_idx", blocks.packed(F.col("q")).alias("packed"), F.size("q").alias("elements"))
 
 
 @query
 def int4_group_scales_32(spark, sf_dir):
-    return q.int4_scales(tables.matrix(spark, sf_dir), 32).select("grp", _d("scale"))
+    return blocks.int4(tables.matrix_chunks(spark, sf_dir), 32).select("grp", _d("scale"))
 
 
 @query
 def int4_group_scales_31(spark, sf_dir):
-    return q.int4_scales(tables.matrix(spark, sf_dir), 31).select("grp", _d("scale"))
+    return blocks.int4(_cut31(spark, sf_dir), 31).select("grp", _d("scale"))
 
 
 @query
 def int4_quantize_values(spark, sf_dir):
-    return q.int4_quantize(tables.matrix(spark, sf_dir), 31).select("idx", _i("q"))
+    return blocks.int4_elements(_cut31(spark, sf_dir), 31).select("idx", _i("q"))
 
 
 @query
 def int4_dequantize(spark, sf_dir):
-    return q.dequantize(q.int4_quantize(tables.matrix(spark, sf_dir), 31)).select("idx", _d("v_hat"))
+    return q.dequantize(blocks.int4_elements(_cut31(spark, sf_dir), 31)).select("idx", _d("v_hat"))
 
 
 @query
 def int4_pack_hex(spark, sf_dir):
     """A group of 31 crosses bytes; orders end in an odd or short group."""
-    packed = q.pack_nibbles(q.int4_quantize(tables.ordered_column(spark, sf_dir, ORDERED), 31))
-    return packed.select("byte_idx", F.lower(F.lpad(F.hex("byte"), 2, "0")).alias("hex"))
+    return _packed4(spark, sf_dir, 31).select((F.col("base_idx") / 2).cast("bigint").alias("at"), F.posexplode("packed").alias("i", "byte")).select((F.col("at") + F.col("i")).alias("byte_idx"), _hex())
 
 
 @query
 def int4_unpack(spark, sf_dir):
-    source = tables.ordered_column(spark, sf_dir, ORDERED)
-    packed = q.pack_nibbles(q.int4_quantize(source, 128))
-    total = source.agg(F.count("*").alias("total"))
-    return q.unpack_nibbles(packed.crossJoin(F.broadcast(total)).select("tensor", "byte_idx", "byte"), F.lit(1 << 62)).crossJoin(F.broadcast(total)).filter("idx < total").select("idx", _i("q"))
+    rows = _packed4(spark, sf_dir, 128).select("base_idx", F.posexplode(blocks.unpacked(F.col("packed"), F.col("elements"))).alias("i", "q"))
+    return rows.select((F.col("base_idx") + F.col("i")).alias("idx"), _i("q"))
 
 
 @query
 def int4_roundtrip_metrics(spark, sf_dir):
-    rows = q.dequantize(q.int4_quantize(tables.vectors(spark, sf_dir), 32))
+    vectors = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tensor"), F.lit(0).cast("bigint").alias("base_idx"), F.col("embedding").alias("vals"))
+    rows = q.dequantize(blocks.int4_elements(vectors, 32))
     size = F.ceil(F.col("elements") / 2)
     out = diagnostics.tensor_diagnostics(rows, INT4_MAX, payload=size, scale_bytes=F.ceil(F.col("elements") / 32) * 4)
     return out.select("tensor", *_metrics(), _i("saturated_values"), "quantized_bytes", "compression_ratio")
@@ -166,26 +185,26 @@ def int4_array_scales(spark, sf_dir):
 
 @query
 def q8_0_block_scales(spark, sf_dir):
-    return q.q8_0_quantize(tables.matrix(spark, sf_dir)).groupBy("grp").agg(F.max("scale").alias("scale")).select("grp", _d("scale"), n.f16_bits(F.col("scale")).cast("bigint").alias("bits"))
+    return blocks.q8_0(tables.matrix_chunks(spark, sf_dir)).select("grp", _d("scale"), n.f16_bits(F.col("scale")).cast("bigint").alias("bits"))
 
 
 @query
 def q8_0_quantize(spark, sf_dir):
-    return q.q8_0_quantize(tables.matrix(spark, sf_dir)).select("idx", _i("q"))
+    return blocks.q8_0_elements(tables.matrix_chunks(spark, sf_dir)).select("idx", _i("q"))
 
 
 @query
 def q8_0_dequantize(spark, sf_dir):
-    return q.dequantize(q.q8_0_quantize(tables.matrix(spark, sf_dir))).select("idx", _d("v_hat"))
+    return q.dequantize(blocks.q8_0_elements(tables.matrix_chunks(spark, sf_dir))).select("idx", _d("v_hat"))
 
 
 def _fp4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.nvfp4_quantize(tables.matrix(spark, sf_dir))
+    return blocks.nvfp4_elements(tables.matrix_chunks(spark, sf_dir))
 
 
 @query
 def nvfp4_block_scales(spark, sf_dir):
-    return _fp4(spark, sf_dir).groupBy("grp").agg(F.max("block_bits").cast("bigint").alias("block_bits"), F.max("global_scale").cast("double").alias("global_scale"))
+    return blocks.nvfp4(tables.matrix_chunks(spark, sf_dir)).select("grp", _i("block_bits"), _d("global_scale"))
 
 
 @query
@@ -195,7 +214,16 @@ def nvfp4_codes(spark, sf_dir):
 
 @query
 def nvfp4_pack_hex(spark, sf_dir):
-    return q.pack_nibbles(_fp4(spark, sf_dir), "code").select("byte_idx", F.lower(F.lpad(F.hex("byte"), 2, "0")).alias("hex"))
+    rows = blocks.nvfp4_codes(tables.matrix_chunks(spark, sf_dir)).select("start", F.posexplode(blocks.packed(F.col("codes"))).alias("i", "byte"))
+    return rows.select((F.expr("start div 2") + F.col("i")).alias("byte_idx"), _hex())
+
+
+@query
+def nvfp4_unpack(spark, sf_dir):
+    """Codes of each vector, packed and unpacked as unsigned nibbles."""
+    rows = parts.nvfp4(_tensors(spark, sf_dir), "embedding")
+    codes = blocks.unpacked(F.col("packed"), F.col("elements"), signed=False)
+    return rows.select("tensor", F.posexplode(codes).alias("idx", "code")).select("tensor", _i("idx"), _i("code"))
 
 
 @query
@@ -353,11 +381,99 @@ def preserved_identity_check(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("v") == F.col("v_hat")).alias("same"))
 
 
+@query
+def length_mismatch_check(spark, sf_dir):
+    """Places that a source and its reconstruction don't share: vectors cut short, made longer or absent."""
+    source = tables.vectors(spark, sf_dir)
+    cut = (F.col("tensor") % 7 == 3) & (F.col("idx") >= 60) | (F.col("tensor") % 11 == 5)
+    more = source.filter((F.col("tensor") % 13 == 4) & (F.col("idx") < 2)).withColumn("idx", F.col("idx") + 64)
+    rebuilt = source.filter(~cut).unionByName(more).withColumnRenamed("v", "v_hat")
+    return diagnostics.unpaired(source, rebuilt)
+
+
+@query
+def reconstruction_check(spark, sf_dir):
+    """Metrics by tensor of orders' prices against prices that went through Q8_0, joined by position."""
+    source = tables.ordered_column(spark, sf_dir, ORDERED).filter("idx < 1472")
+    rebuilt = q.dequantize(blocks.q8_0_elements(blocks.of_elements(source, CHUNK_ELEMENTS))).select("tensor", "idx", "v_hat")
+    out, s = diagnostics.reconstruction_metrics(source, rebuilt), diagnostics.scaled
+    return out.select("tensor", _i("elements"), s(F.col("mse"), 1e4).alias("mse_e4"), s(F.col("mae"), 1e4).alias("mae_e4"), _d("max_abs_error"), s(F.col("sqnr_db"), 1e5).alias("sqnr_e5"))
+
+
+#: How a vector's parts are damaged, by its number modulo 8: what the rules must find.
+def _damaged(rows: DataFrame, **damage: dict[int, str]) -> DataFrame:
+    for name, by in damage.items():
+        x = F.col(name)
+        for k, text in by.items():
+            x = F.when(F.col("tensor") % 8 == k, F.expr(text)).otherwise(x)
+        rows = rows.withColumn(name, x)
+    return rows
+
+
+@query
+def int8_parts_check(spark, sf_dir):
+    rows = parts.int8(_tensors(spark, sf_dir), "embedding")
+    rows = _damaged(rows, scale={1: "cast('nan' as float)", 2: "cast(0 as float)", 3: "cast(3e38 as float)"}, q={4: "transform(q, (x, i) -> if(i % 20 = 9, cast(-128 as tinyint), x))"})
+    return parts.int8_violations(rows)
+
+
+@query
+def int4_parts_check(spark, sf_dir):
+    rows = parts.int4(_tensors(spark, sf_dir), "embedding", 24)
+    rows = _damaged(
+        rows,
+        packed={1: "slice(packed, 1, 31)", 2: "array_append(packed, 0)", 5: "transform(packed, (b, i) -> if(i in (6, 20), 128, b))"},
+        scales={3: "slice(scales, 1, 2)", 4: "transform(scales, (s, i) -> if(i > 0, cast(-1 as float), s))", 6: "transform(scales, s -> cast(3e38 as float))"},
+    )
+    return parts.int4_violations(rows)
+
+
+@query
+def nvfp4_parts_check(spark, sf_dir):
+    rows = parts.nvfp4(_tensors(spark, sf_dir), "embedding")
+    rows = _damaged(
+        rows,
+        global_scale={1: "cast('inf' as float)", 6: "cast(3e38 as float)"},
+        packed={2: "slice(packed, 1, 30)", 5: "transform(packed, (b, i) -> if(i between 16 and 23, if(i = 18, 16, 136), b))"},
+        block_scales={3: "array_append(block_scales, 8)", 4: "transform(block_scales, (b, i) -> if(i in (1, 3), 127, b))", 5: "transform(block_scales, (b, i) -> if(i = 2, 0, b))"},
+    )
+    return parts.nvfp4_violations(rows)
+
+
+@query
+def q8_0_parts_check(spark, sf_dir):
+    rows = parts.q8_0(_tensors(spark, sf_dir), "embedding")
+    rows = _damaged(rows, elements={1: "63L", 2: "96L"}, data={3: "slice(data, 1, 60)", 4: "transform(data, (b, i) -> if(i = 35, 252, b))"})
+    return parts.q8_0_violations(rows)
+
+
+@query
+def parts_dequantize(spark, sf_dir):
+    """What the parts of each vector dequantize to, in three formats."""
+    t = _tensors(spark, sf_dir)
+    made = {"int4_24": parts.dequantize_int4(parts.int4(t, "embedding", 24)), "nvfp4": parts.dequantize_nvfp4(parts.nvfp4(t, "embedding")), "q8_0": parts.dequantize_q8_0(parts.q8_0(t, "embedding"))}
+    out = None
+    for name, rows in made.items():
+        rows = rows.select(F.lit(name).alias("format"), "tensor", F.posexplode("v_hat").alias("idx", "v_hat")).select("format", "tensor", _i("idx"), _d("v_hat"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def given_scale_replay(spark, sf_dir):
+    """INT8 of the matrix in chunks with a scale that was known before, from a tenth of it."""
+    rows = tables.matrix(spark, sf_dir)
+    scales = q.int8_scales(rows.filter("idx % 10 = 0"))
+    out = q.int8_replay(rows, scales.select("tensor", "scale"))
+    return out.groupBy("chunk").agg(F.count("*").alias("n"), F.sum("q").cast("bigint").alias("sum_q"), diagnostics.saturation(INT8_MAX))
+
+
 @query
 def format_comparison(spark, sf_dir):
     """Errors of the four formats on the matrix side by side."""
-    m = tables.matrix(spark, sf_dir)
-    made = {"int8": q.dequantize(q.int8_quantize(m)), "int4_32": q.dequantize(q.int4_quantize(m, 32)), "q8_0": q.dequantize(q.q8_0_quantize(m)), "nvfp4": q.nvfp4_dequantize(q.nvfp4_quantize(m))}
+    m = tables.matrix_chunks(spark, sf_dir)
+    int8 = blocks.int8(m).select("scale", F.explode(F.arrays_zip("vals", "q")).alias("x")).select(F.col("x.vals").alias("v"), F.col("x.q").alias("q"), "scale")
+    made = {"int8": q.dequantize(int8), "int4_32": q.dequantize(blocks.int4_elements(m, 32)), "q8_0": q.dequantize(blocks.q8_0_elements(m)), "nvfp4": q.nvfp4_dequantize(blocks.nvfp4_elements(m))}
     out = None
     for name, rows in made.items():
         rows = rows.select(F.lit(name).alias("format"), "v", "v_hat")
@@ -366,46 +482,80 @@ def format_comparison(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A local folder for container files: under the shared checkpoint folder where that is a file path."""
-    named = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
-    if not named.startswith("/"):
+    """A folder for container files that the driver and the executors reach as a path."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         return tempfile.mkdtemp(prefix="tensorloom-")
-    out = f"{named}/containers-{uuid.uuid4().hex}"
+    if not named.startswith(("/", "file:/")):
+        raise RuntimeError(f"container files need a mounted folder, not {named}")
+    out = f"/{named.removeprefix('file:').lstrip('/')}/containers-{uuid.uuid4().hex}"
     os.makedirs(out)
     return out
 
 
-def _fixture(path: str) -> None:
-    """A small file of a byte tensor and float tensors of each readable type."""
-    v = ((np.arange(16507) - 1024) / 64).astype("<f4")
-    half = (np.arange(2048) / 7).astype("<f2")
-    brain = ((np.arange(1500) / 3).astype("<f4").view("<u4") >> 16).astype("<u2")
-    parts = {"ids": ("U8", [3], bytes([1, 2, 3])), "weight": ("F32", [16507], v.tobytes()), "half": ("F16", [2, 1024], half.tobytes()), "brain": ("BF16", [1500], brain.tobytes()), "tiny": ("F32", [2], struct.pack("<2f", 1, -0.5))}
-    header, at = {}, 0
-    for name, (dtype, shape, raw) in parts.items():
-        header[name] = {"dtype": dtype, "shape": shape, "data_offsets": [at, at + len(raw)]}
-        at += len(raw)
-    safetensors.write_atomically(path, iter([safetensors.frame(header), *(p[2] for p in parts.values())]))
+#: Tensors of the container that is written from the tables.
+CONTAINED = {"customer.c_acctbal": "F32", "orders.o_totalprice": "F32", "part.p_retailprice": "F32", "supplier.s_acctbal": "F32", "nation.n_nationkey": "I32", "region.r_regionkey": "I32"}
+
+
+def container(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A SafeTensors file of CONTAINED and the embedding matrix, written from the tables."""
+    sizes = {r.tensor: list(r.shape) for r in tables.catalog(spark, sf_dir).collect()}
+    data = safetensors.to_bytes(tables.matrix_chunks(spark, sf_dir).select(F.lit(tables.MATRIX).alias("tensor"), F.col("base_idx").alias("chunk"), "vals"), "vals", "<f4")
+    keys = {"nation.n_nationkey": "n_nationkey", "region.r_regionkey": "r_regionkey"}
+    for name, dtype in CONTAINED.items():
+        table, column = name.split(".")
+        key = keys.get(name) or tables.COLUMNS[name]
+        rows = tables.table(spark, sf_dir, table)
+        # runs of the table's key; each becomes an array where its rows meet
+        runs = rows.groupBy(F.expr(f"{key} div {CHUNK_ELEMENTS}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(column).cast("float" if dtype == "F32" else "int").alias("v")))).alias("p"))
+        data = data.unionByName(safetensors.to_bytes(runs.select(F.lit(name).alias("tensor"), "chunk", F.transform("p", lambda p: p["v"]).alias("v")), "v", "<f4" if dtype == "F32" else "<i4"))
+    safetensors.write_tensors(path, [(n, d, sizes[n]) for n, d in [*CONTAINED.items(), (tables.MATRIX, "F32")]], data)
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The container of the tables and what the quantize command makes of it."""
+    folder = _folder(spark)
+    source, output = f"{folder}/in.safetensors", f"{folder}/out.safetensors"
+    container(spark, sf_dir, source)
+    model.quantize(spark, source, output)
+    return source, output
 
 
 @query
 def safetensors_write_read(spark, sf_dir):
-    from .plans import model
+    """Where each tensor of the quantized container lies, and a sum over what is read back of it."""
+    _, output = _written(spark, sf_dir)
+    found = safetensors.catalog(spark, output)
+    codes = [r.tensor for r in found.filter("dtype = 'I8'").collect()]
+    total = lambda df, x: df.groupBy("tensor").agg(F.sum(x).cast("bigint").alias("total"))
+    sums = total(safetensors.codes(spark, output, codes).select("tensor", F.explode("qs").alias("q")), F.col("q"))
+    floats = safetensors.chunks(spark, output).select("tensor", F.explode("vals").alias("v"))
+    sums = sums.unionByName(total(floats, diagnostics.scaled(F.col("v").cast("double"), 1e6)))
+    whole = safetensors.integers(spark, output, [r.tensor for r in found.filter("dtype = 'I32'").collect()])
+    sums = sums.unionByName(total(whole.select("tensor", F.explode("vals").alias("v")), F.col("v")))
+    return found.join(sums, "tensor").select("tensor", "dtype", "byte_len", "data_start", "data_end", "total")
 
-    folder = _folder(spark)
-    _fixture(f"{folder}/in.safetensors")
-    model.quantize(spark, f"{folder}/in.safetensors", f"{folder}/out.safetensors")
-    return safetensors.catalog(spark, f"{folder}/out.safetensors").drop("path")
+
+@query
+def preserved_bytes_check(spark, sf_dir):
+    """Tensors that the quantize command kept: their bytes in the source and in the output."""
+    source, output = _written(spark, sf_dir)
+    names = [r.tensor for r in safetensors.catalog(spark, output).collect() if not r.tensor.endswith((".qdata", ".scale"))]
+    read = lambda path, to: safetensors.payload(spark, path, tensors=names).select("tensor", "chunk", F.col("bytes").alias(to))
+    both = read(source, "a").join(read(output, "b"), ["tensor", "chunk"], "full_outer")
+    return both.groupBy("tensor").agg(F.sum(F.octet_length("a")).alias("n"), F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("same"))
 
 
 @query
 def gguf_write_read(spark, sf_dir):
-    folder = _folder(spark)
-    gguf.write(f"{folder}/w.gguf", "weight", [2, 32], ((np.arange(64) - 31.5) / 10).astype("<f4"))
-    head, blocks = gguf.read_file(f"{folder}/w.gguf")
-    t = head.tensors[0]
-    values = gguf.dequantize_blocks(blocks)
-    return spark.createDataFrame([(t.name, i, float(v), head.data_offset, t.byte_len) for i, v in enumerate(values)], "tensor string, idx bigint, v_hat double, data_offset bigint, byte_len bigint")
+    """The embedding matrix written as Q8_0 by executors and read back by the data source."""
+    path, m = f"{_folder(spark)}/m.gguf", tables.matrix_chunks(spark, sf_dir)
+    count = m.count()
+    gguf.write_chunks(path, "m", [count, 64], m)
+    rows = gguf.read_blocks(spark, path).select("block", "scale", F.posexplode("qs").alias("i", "q"))
+    return q.dequantize(rows).select((F.col("block") * 32 + F.col("i")).alias("idx"), _d("v_hat"))
 
 
 @query

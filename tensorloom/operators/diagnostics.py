@@ -43,6 +43,13 @@ def tensor_diagnostics(rows: DataFrame, qmax: int, source_width: int = 4, payloa
     return out.withColumn("compression_ratio", ratio(F.col("source_bytes"), F.col("quantized_bytes")))
 
 
+def unpaired(source: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """(tensor, source_len, rebuilt_len) of tensors whose elements don't match by place."""
+    both = source.select("tensor", "idx", F.lit(1).alias("a")).join(rebuilt.select("tensor", "idx", F.lit(1).alias("b")), ["tensor", "idx"], "full_outer")
+    counts = both.groupBy("tensor").agg(F.count("a").alias("source_len"), F.count("b").alias("rebuilt_len"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("odd"))
+    return counts.filter("odd > 0").drop("odd")
+
+
 def paired(source: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Source and reconstruction by (tensor, idx); LengthMismatch if either has elements the other lacks."""
     both = source.select("tensor", "idx", "v").join(rebuilt.select("tensor", "idx", "v_hat"), ["tensor", "idx"], "full_outer")

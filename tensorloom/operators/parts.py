@@ -63,10 +63,8 @@ def nvfp4(df: DataFrame, values: str) -> DataFrame:
     return rows.withColumn("codes", codes).select("tensor", packed(F.col("codes")).alias("packed"), "block_scales", quantize.nvfp4_global(F.col("gmax")).alias("global_scale"), F.size("vals").cast("bigint").alias("elements"))
 
 
-def q8_0(df: DataFrame, values: str) -> DataFrame:
-    """(tensor, data, elements) of rows that hold a whole tensor each; lengths must fill blocks."""
-    rows = _whole(df, values)
-    quantize.check_q8_0(rows.select("tensor", _amax(F.col("vals")).alias("amax"), F.when(F.size("vals") > 0, F.size("vals")).otherwise(1).cast("bigint").alias("n")))
+def q8_0_data() -> Column:
+    """The blocks of vals as bytes 0..255: a binary16 scale, low byte first, then 32 values."""
 
     def block(g: Column) -> Column:
         def bytes_of(exact: Column) -> Column:
@@ -75,7 +73,14 @@ def q8_0(df: DataFrame, values: str) -> DataFrame:
 
         return n.let(quantize.q8_0_scale(_amax(g)), bytes_of)
 
-    return rows.select("tensor", F.flatten(F.transform(_groups(Q8_BLOCK), block)).alias("data"), F.size("vals").cast("bigint").alias("elements"))
+    return F.flatten(F.transform(_groups(Q8_BLOCK), block))
+
+
+def q8_0(df: DataFrame, values: str) -> DataFrame:
+    """(tensor, data, elements) of rows that hold a whole tensor each; lengths must fill blocks."""
+    rows = _whole(df, values)
+    quantize.check_q8_0(rows.select("tensor", _amax(F.col("vals")).alias("amax"), F.when(F.size("vals") > 0, F.size("vals")).otherwise(1).cast("bigint").alias("n")))
+    return rows.select("tensor", q8_0_data().alias("data"), F.size("vals").cast("bigint").alias("elements"))
 
 
 FOUND = "struct<code:string,idx:bigint,n:bigint>"

@@ -48,11 +48,16 @@ def f16(x: str) -> str:
     return f"CASE WHEN {x} = 0 THEN 0 WHEN {x} >= 65520 THEN 'inf'::DOUBLE ELSE round_even({x}::DOUBLE / pow(2, {e} - 10), 0) * pow(2, {e} - 10) END"
 
 
-Q8 = f"""
+def q8(rows: str) -> str:
+    """tensor, idx, v, grp, scale, q, v_hat."""
+    return f"""
   SELECT *, (q::FLOAT * scale)::FLOAT AS v_hat FROM (
     SELECT tensor, idx, v, grp, ({f16("exact")})::FLOAT AS scale,
       greatest(-127, least(127, round((v * CASE WHEN exact = 0 THEN 0::FLOAT ELSE (1::FLOAT / exact)::FLOAT END)::FLOAT)))::TINYINT AS q
-    FROM (SELECT *, (max(abs(v)) OVER (PARTITION BY tensor, idx // 32) / 127::FLOAT)::FLOAT AS exact, idx // 32 AS grp FROM ({M})))"""
+    FROM (SELECT *, (max(abs(v)) OVER (PARTITION BY tensor, idx // 32) / 127::FLOAT)::FLOAT AS exact, idx // 32 AS grp FROM ({rows})))"""
+
+
+Q8 = q8(M)
 
 
 def fp8(v: str, mantissa: int, bias: int, top: int, inf: int) -> str:
@@ -94,14 +99,26 @@ def decode_table(size: int, value: str, nan: str, inf: str, sign: int) -> str:
       c >= {sign} AND NOT ({nan}) AS negative FROM (SELECT range::BIGINT AS c FROM range({size}))"""
 
 
-FP4 = f"""
+def fp4(rows: str) -> str:
+    """tensor, idx, v, grp, block_bits, scale, global_scale, code and what they come from."""
+    return f"""
   SELECT *, CASE WHEN block_bits = 0 THEN 0 ELSE {e2m1("((((v / g)::FLOAT * 2688::FLOAT)::FLOAT) / scale)::FLOAT")} END AS code FROM (
     SELECT *, CASE WHEN block_bits = 0 THEN 1 ELSE {fp8_value("block_bits", 3, 7)} END::FLOAT AS scale,
       CASE WHEN gmax = 0 THEN 1::FLOAT WHEN (gmax / 2688::FLOAT)::FLOAT = 0 THEN {SMALLEST} ELSE (gmax / 2688::FLOAT)::FLOAT END AS global_scale
     FROM (SELECT *, CASE WHEN bmax = 0 THEN 0 ELSE greatest(1, {e4m3("((bmax / g)::FLOAT * 448::FLOAT)::FLOAT")}) END AS block_bits
       FROM (SELECT *, CASE WHEN gmax = 0 THEN 1::FLOAT ELSE gmax END AS g
-        FROM (SELECT *, idx // 16 AS grp, max(abs(v)) OVER (PARTITION BY tensor, idx // 16) AS bmax, max(abs(v)) OVER (PARTITION BY tensor) AS gmax FROM ({M})))))"""
-FP4_BACK = f"""SELECT *, ((((CASE WHEN code >= 8 THEN -1 ELSE 1 END) * {E2M1_VALUE.replace("c % 8", "code % 8")})::FLOAT * CASE WHEN block_bits = 0 THEN 0::FLOAT ELSE scale END)::FLOAT * global_scale)::FLOAT AS v_hat FROM ({FP4})"""
+        FROM (SELECT *, idx // 16 AS grp, max(abs(v)) OVER (PARTITION BY tensor, idx // 16) AS bmax, max(abs(v)) OVER (PARTITION BY tensor) AS gmax FROM ({rows})))))"""
+
+
+#: (e2m1 * e4m3) of a code in a block.
+FP4_VALUE = f"((CASE WHEN code >= 8 THEN -1 ELSE 1 END) * {E2M1_VALUE.replace('c % 8', 'code % 8')})::FLOAT * CASE WHEN block_bits = 0 THEN 0::FLOAT ELSE scale END"
+
+
+def fp4_back(rows: str) -> str:
+    return f"SELECT *, (({FP4_VALUE})::FLOAT * global_scale)::FLOAT AS v_hat FROM ({fp4(rows)})"
+
+
+FP4, FP4_BACK = fp4(M), fp4_back(M)
 
 INTEGERS = {"orders.o_orderkey": "I64", "customer.c_custkey": "I64", "customer.c_nationkey": "I32", "part.p_size": "I32", "nation.n_nationkey": "I32", "region.r_regionkey": "I32"}
 FLOATS = ("lineitem.l_quantity", "lineitem.l_extendedprice", "lineitem.l_discount", "lineitem.l_tax", "orders.o_totalprice", "customer.c_acctbal", "supplier.s_acctbal", "part.p_retailprice", "events.value")
@@ -117,17 +134,24 @@ def decided(minimum: int = 1024) -> str:
       CASE WHEN dtype = 'F32' AND element_count > 0 AND element_count >= {minimum} THEN 'quantize' ELSE 'preserve' END AS action FROM ({TABLES})"""
 
 
-PLAN = f"""
+def plan(only: str = "true") -> str:
+    rows = f"SELECT * FROM ({decided()}) WHERE {only}"
+    return f"""
   SELECT row_number() OVER (ORDER BY source_name, k) - 1 AS ord, name, source_name, dtype, byte_len,
     (sum(byte_len) OVER (ORDER BY source_name, k ROWS UNBOUNDED PRECEDING) - byte_len)::BIGINT AS data_start,
     (sum(byte_len) OVER (ORDER BY source_name, k ROWS UNBOUNDED PRECEDING))::BIGINT AS data_end, role
   FROM (
-    SELECT tensor AS source_name, tensor AS name, 0 AS k, dtype, byte_len, 'preserved' AS role FROM ({decided()}) WHERE action = 'preserve'
-    UNION ALL SELECT tensor, tensor || '.qdata', 0, 'I8', element_count, 'qdata' FROM ({decided()}) WHERE action = 'quantize'
-    UNION ALL SELECT tensor, tensor || '.scale', 1, 'F32', 4, 'scale' FROM ({decided()}) WHERE action = 'quantize')"""
+    SELECT tensor AS source_name, tensor AS name, 0 AS k, dtype, byte_len, 'preserved' AS role FROM ({rows}) WHERE action = 'preserve'
+    UNION ALL SELECT tensor, tensor || '.qdata', 0, 'I8', element_count, 'qdata' FROM ({rows}) WHERE action = 'quantize'
+    UNION ALL SELECT tensor, tensor || '.scale', 1, 'F32', 4, 'scale' FROM ({rows}) WHERE action = 'quantize')"""
+
+
+PLAN = plan()
 
 PACKED = "lpad(lower(to_hex(coalesce(max({c}) FILTER (idx % 2 = 0), 0)::BIGINT & 15 | ((coalesce(max({c}) FILTER (idx % 2 = 1), 0)::BIGINT & 15) << 4))), 2, '0')"
-REPORT_COLUMNS = " UNION ALL ".join(f"SELECT '{f}' AS tensor, {f.split('.')[1]}::FLOAT AS v FROM {f.split('.')[0]}" for f in FLOATS if f != "supplier.s_acctbal")
+VALUES = " UNION ALL ".join(f"SELECT '{f}' AS tensor, {f.split('.')[1]}::FLOAT AS v FROM {f.split('.')[0]}" for f in FLOATS) + " UNION ALL SELECT 'embeddings.embedding', unnest(embedding)::FLOAT FROM embeddings"
+#: Values of the tensors that the policy quantizes.
+REPORT_VALUES = f"SELECT * FROM ({VALUES}) WHERE tensor IN (SELECT tensor FROM ({decided()}) WHERE action = 'quantize')"
 DIAGNOSTICS = "count(*)::BIGINT * 4 AS source_bytes"
 SATURATED = "count(*) FILTER (abs(q::INTEGER) = {top})::BIGINT AS saturated_values"
 FORMATS = f"""SELECT 'int8' AS format, v, v_hat FROM ({quantized(M, 127)}) UNION ALL SELECT 'int4_32', v, v_hat FROM ({quantized(M, 7, 32)})
@@ -135,6 +159,28 @@ FORMATS = f"""SELECT 'int8' AS format, v, v_hat FROM ({quantized(M, 127)}) UNION
 BAD = "CASE WHEN (tensor * 64 + idx) % 97 = 5 THEN 'nan'::FLOAT WHEN (tensor * 64 + idx) % 131 = 7 THEN '-inf'::FLOAT ELSE v END"
 ROUNDTRIP8 = f"""SELECT {metrics("tensor", ", " + SATURATED.format(top=127) + ", " + DIAGNOSTICS + ", count(*)::BIGINT + 4 AS quantized_bytes, (count(*) * 4) / (count(*) + 4)::DOUBLE AS compression_ratio")} FROM ({quantized(V, 127)}) GROUP BY tensor"""
 
+#: The tensors of the container that is written from the tables, and sums over what must be read back.
+CONTAINED = "tensor IN ('customer.c_acctbal', 'embeddings.embedding', 'nation.n_nationkey', 'orders.o_totalprice', 'part.p_retailprice', 'region.r_regionkey', 'supplier.s_acctbal')"
+TOTALS = f"""
+  SELECT tensor || '.qdata' AS name, sum(q)::BIGINT AS total FROM ({quantized(VALUES, 127)}) GROUP BY tensor
+  UNION ALL SELECT tensor || '.scale', floor(max(scale)::DOUBLE * 1e6 + 0.5)::BIGINT FROM ({quantized(VALUES, 127)}) GROUP BY tensor
+  UNION ALL SELECT tensor, sum(floor(v::DOUBLE * 1e6 + 0.5)::BIGINT)::BIGINT FROM ({VALUES}) GROUP BY tensor
+  UNION ALL SELECT 'nation.n_nationkey', sum(n_nationkey)::BIGINT FROM nation
+  UNION ALL SELECT 'region.r_regionkey', sum(r_regionkey)::BIGINT FROM region"""
+SHAPE = "'[' || replace(shape, 'x', ',') || ']'"
+RECORD = f"""'"' || tensor || '":{{"action":"' || CASE action WHEN 'quantize' THEN 'quantized' ELSE 'preserved' END || '","original_dtype":"' || dtype || '","original_shape":' || {SHAPE} ||
+  CASE action WHEN 'quantize' THEN ',"qdata_dtype":"I8","qdata_name":"' || tensor || '.qdata","scale_dtype":"F32","scale_name":"' || tensor || '.scale","scale_shape":[]}}' ELSE ',"tensor_name":"' || tensor || '"}}' END"""
+
+
+def first(code: str, where: str, idx: str = "0", n: str = "1") -> str:
+    """A violation of every vector that where names."""
+    return f"SELECT vec_id AS tensor, '{code}' AS code, {idx}::BIGINT AS idx, {n}::BIGINT AS n FROM embeddings WHERE vec_id % 8 {where}"
+
+
+def overflowing(rows: str, damaged: int, too_large: str) -> str:
+    return f"SELECT tensor, 'DequantizedValueOverflow', min(idx), count(*) FROM ({rows}) WHERE tensor % 8 = {damaged} AND {too_large} GROUP BY tensor"
+
+
 SQL: dict[str, str] = {
     "int8_scale_per_vector": f"SELECT tensor, ({scale('max(abs(v))', 127)})::DOUBLE AS scale FROM ({V}) GROUP BY tensor",
     "int8_quantize_values": f"SELECT tensor, idx, q::BIGINT AS q FROM ({quantized(V, 127)})",
@@ -184,9 +230,37 @@ SQL: dict[str, str] = {
     "model_report": f"""SELECT count(*) AS quantized_tensors, sum(saturated_values)::BIGINT AS saturated_values, floor(max(mse) * 1e3 + 0.5)::BIGINT AS max_mse_e3, floor(max(mae) * 1e3 + 0.5)::BIGINT AS max_mae_e3,
       max(mx) AS max_abs_error, floor(min(sq) * 1e5 + 0.5)::BIGINT AS lowest_sqnr_e5 FROM (
         SELECT tensor, avg((v::DOUBLE - v_hat::DOUBLE) ** 2) AS mse, avg(abs(v::DOUBLE - v_hat::DOUBLE)) AS mae, max(abs(v::DOUBLE - v_hat::DOUBLE)) AS mx,
-          10 * log10(sum(v::DOUBLE * v::DOUBLE) / nullif(sum((v::DOUBLE - v_hat::DOUBLE) ** 2), 0)) AS sq, {SATURATED.format(top=127)} FROM ({quantized(REPORT_COLUMNS, 127)}) GROUP BY tensor)""",
+          10 * log10(sum(v::DOUBLE * v::DOUBLE) / nullif(sum((v::DOUBLE - v_hat::DOUBLE) ** 2), 0)) AS sq, {SATURATED.format(top=127)} FROM ({quantized(REPORT_VALUES, 127)}) GROUP BY tensor)""",
     "validate_finite": f"SELECT tensor, 'NonFiniteInput' AS code, min(idx) AS idx, count(*) AS n FROM (SELECT tensor, idx, {BAD} AS v FROM ({V})) WHERE isnan(v) OR isinf(v) GROUP BY tensor",
     "validate_ranges": f"SELECT tensor, 'QuantizedValueOutOfRange' AS code, min(idx) AS idx, count(*) AS n FROM ({quantized(V, 127)}) WHERE q NOT BETWEEN -8 AND 7 GROUP BY tensor",
     "preserved_identity_check": f"SELECT count(*) AS n, count(*) FILTER (v = v_hat) AS same FROM ({quantized(ordered('part', 'p_partkey', 'p_retailprice'), 127)})",
     "format_comparison": f"SELECT {metrics('format')} FROM ({FORMATS}) GROUP BY format",
+    "nvfp4_unpack": f"SELECT tensor, idx, code::BIGINT AS code FROM ({fp4(V)})",
+    "length_mismatch_check": f"""
+      WITH s AS ({V}), r AS (
+        SELECT tensor, idx FROM s WHERE NOT (tensor % 7 = 3 AND idx >= 60 OR tensor % 11 = 5) UNION ALL SELECT tensor, idx + 64 FROM s WHERE tensor % 13 = 4 AND idx < 2)
+      SELECT coalesce(s.tensor, r.tensor) AS tensor, count(s.idx) AS source_len, count(r.idx) AS rebuilt_len FROM s FULL JOIN r ON s.tensor = r.tensor AND s.idx = r.idx
+      GROUP BY 1 HAVING count(s.idx) < count(*) OR count(r.idx) < count(*)""",
+    "reconstruction_check": f"SELECT {metrics('tensor', '', '1e4', '1e5', ('e4', 'e5'))} FROM ({q8(f'SELECT * FROM ({ORDERS}) WHERE idx < 1472')}) GROUP BY tensor",
+    "int8_parts_check": f"{first('InvalidScale', 'IN (1, 2)')} UNION ALL {overflowing(quantized(V, 127), 3, 'abs(q::INTEGER) >= 2')} UNION ALL {first('QuantizedValueOutOfRange', '= 4', '9', '3')}",
+    "int4_parts_check": " UNION ALL ".join([
+        first("PackedLengthMismatch", "= 1", "32", "31"), first("PackedLengthMismatch", "= 2", "32", "33"), first("ScaleCountMismatch", "= 3", "3", "2"),
+        first("InvalidScale", "= 4", "1", "2"), first("QuantizedValueOutOfRange", "= 5", "13", "2"), overflowing(quantized(V, 7, 24), 6, "abs(q::INTEGER) >= 2"),
+    ]),
+    "nvfp4_parts_check": " UNION ALL ".join([
+        first("InvalidGlobalScale", "= 1"), first("PackedLengthMismatch", "= 2", "32", "30"), first("BlockScaleCountMismatch", "= 3", "4", "5"),
+        first("InvalidBlockScale", "= 4", "1", "2"), first("ZeroScaleWithNonzeroValue", "= 5", "37"),
+        overflowing(fp4(V), 6, f"abs(({FP4_VALUE})::DOUBLE) * 3e38::FLOAT::DOUBLE >= 3.4028235677973366e38"),
+    ]),
+    "q8_0_parts_check": " UNION ALL ".join([
+        first("InvalidLength", "= 1", "63", "68"), first("InvalidDataLength", "= 2", "102", "68"), first("InvalidDataLength", "= 3", "68", "60"), first("InvalidScale", "= 4", "1"),
+    ]),
+    "parts_dequantize": f"""SELECT 'int4_24' AS format, tensor, idx, v_hat::DOUBLE AS v_hat FROM ({quantized(V, 7, 24)}) UNION ALL SELECT 'nvfp4', tensor, idx, v_hat FROM ({fp4_back(V)})
+      UNION ALL SELECT 'q8_0', tensor, idx, v_hat FROM ({q8(V)})""",
+    "given_scale_replay": f"""SELECT idx // 16384 AS chunk, count(*) AS n, sum(q)::BIGINT AS sum_q, {SATURATED.format(top=127)} FROM (
+      SELECT idx, {level("v", "scale", 127)} AS q FROM ({M}), (SELECT {scale("max(abs(v))", 127)} AS scale FROM ({M}) WHERE idx % 10 = 0)) GROUP BY 1""",
+    "safetensors_write_read": f"SELECT p.name AS tensor, p.dtype, p.byte_len, p.data_start, p.data_end, t.total FROM ({plan(CONTAINED)}) p JOIN ({TOTALS}) t ON p.name = t.name",
+    "preserved_bytes_check": f"SELECT name AS tensor, byte_len AS n, true AS same FROM ({plan(CONTAINED)}) WHERE role = 'preserved'",
+    "gguf_write_read": f"SELECT idx, v_hat::DOUBLE AS v_hat FROM ({Q8})",
+    "manifest_json": f"""SELECT '{{"schema":"tensorloom.int8.manifest.v1","tensors":{{' || string_agg({RECORD}, ',' ORDER BY tensor) || '}}}}' AS manifest FROM ({decided()})""",
 }

@@ -244,6 +244,26 @@ def codes(spark: SparkSession, path: str, tensors: list[str], chunk: int = CHUNK
     return payload(spark, path, chunk=chunk // 4, tensors=tensors).mapInArrow(batches, "tensor string, chunk long, qs array<tinyint>")
 
 
+#: Integer types that can be read, and their numpy storage.
+INTEGERS = {"I8": "i1", "I16": "<i2", "I32": "<i4", "I64": "<i8"}
+
+
+def integers(spark: SparkSession, path: str, tensors: list[str]) -> DataFrame:
+    """(tensor, chunk, vals array<bigint>) of integer tensors."""
+    header = read_header(path)
+    kinds = {name: header.tensor(name).dtype for name in tensors}
+    for name, dtype in kinds.items():
+        if dtype not in INTEGERS:
+            raise TensorError("UnsupportedTensorDtype", f"{name}: {dtype}")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            vals = [np.frombuffer(raw, INTEGERS[kinds[t]]).astype(np.int64) for t, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vals, pa.list_(pa.int64()))], ["tensor", "chunk", "vals"])
+
+    return payload(spark, path, tensors=tensors).mapInArrow(batches, "tensor string, chunk long, vals array<bigint>")
+
+
 def _load(spark: SparkSession, path: str, mode: str, chunk: int, tensors: list[str] | None) -> DataFrame:
     spark.dataSource.register(SafetensorsSource)
     reader = spark.read.format("safetensors").option("mode", mode).option("chunk", str(chunk))
