@@ -25,7 +25,7 @@ def int4(df: DataFrame, values: str, size: int) -> DataFrame:
     v = F.transform(values, lambda x: x.cast("float"))
     groups = F.transform(F.sequence(F.lit(0), F.expr(f"cast(greatest(ceil(size({values}) / {size}) - 1, 0) as int)")), lambda g: F.slice(v, g * size + 1, size))
     scaled = df.withColumn("scales", F.transform(groups, lambda x: n.symmetric_scale(amax(x), INT4_MAX)))
-    return scaled.withColumn("q", F.transform(v, lambda x, i: n.quantize(x, F.get("scales", F.floor(i / size).cast("int")), INT4_MAX)))
+    return scaled.withColumn("q", n.let(F.col("scales"), lambda s: F.transform(v, lambda x, i: n.quantize(x, F.get(s, F.floor(i / size).cast("int")), INT4_MAX))))
 
 
 def metrics(df: DataFrame, values: str, q: str = "q", scale: str = "scale") -> DataFrame:

@@ -113,8 +113,9 @@ def nvfp4_elements(chunks: DataFrame) -> DataFrame:
 
 def nvfp4_codes(chunks: DataFrame) -> DataFrame:
     """nvfp4() with codes array<int>."""
-    code = lambda v: quantize.nvfp4_code(v, F.col("gmax"), F.col("block_bits"), F.col("scale"))
-    return nvfp4(chunks).withColumn("codes", F.transform("vals", code))
+    code = lambda v, b, s: F.when(b == 0, 0).otherwise(n.let(quantize.nvfp4_ratio(v, F.col("gmax"), b, s), n.e2m1_encode))
+    codes = n.let(F.col("block_bits"), lambda b: n.let(F.col("scale"), lambda s: F.transform("vals", lambda v: code(v, b, s))))
+    return nvfp4(chunks).withColumn("codes", codes)
 
 
 def packed(codes: Column) -> Column:

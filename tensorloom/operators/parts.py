@@ -7,7 +7,9 @@ int8: tensor, q array<tinyint>, scale.
 
 violations of a format are rows (tensor, code, idx, n): the first rule that a tensor breaks,
 in the order length, scales, values, with the lowest place where it does; n counts the
-places. A row's parts are checked by expressions of that row, without a shuffle.
+places. A row's parts are checked by expressions of that row, without a shuffle. A column
+that a lambda reads for every element is bound outside of it (let): the optimizer may put
+the column's own expression in its place, which would then be evaluated for every element.
 """
 
 from __future__ import annotations
@@ -49,17 +51,18 @@ def int4(df: DataFrame, values: str, size: int) -> DataFrame:
     """(tensor, packed, scales, elements, group_size) of rows that hold a whole tensor each."""
     quantize.group(size)
     rows = _whole(df, values).withColumn("scales", F.transform(_groups(size), lambda g: n.symmetric_scale(_amax(g), INT4_MAX)))
-    q = F.transform("vals", lambda v, i: n.quantize(v, F.get("scales", F.floor(i / size).cast("int")), INT4_MAX).cast("int"))
+    q = n.let(F.col("scales"), lambda s: F.transform("vals", lambda v, i: n.quantize(v, F.get(s, F.floor(i / size).cast("int")), INT4_MAX).cast("int")))
     return rows.withColumn("q", q).select("tensor", packed(F.col("q")).alias("packed"), "scales", F.size("vals").cast("bigint").alias("elements"), F.lit(size).alias("group_size"))
 
 
 def nvfp4(df: DataFrame, values: str) -> DataFrame:
     """(tensor, packed, block_scales, global_scale, elements) of rows that hold a whole tensor each."""
     rows = _whole(df, values).withColumn("gmax", F.coalesce(_amax(F.col("vals")), n.lit32(0.0)))
-    rows = rows.withColumn("block_scales", F.transform(_groups(NVFP4_BLOCK), lambda g: quantize.nvfp4_bits(_amax(g), F.col("gmax"))))
-    bits = lambda i: F.get("block_scales", F.floor(i / NVFP4_BLOCK).cast("int"))
-    code = lambda v, b: n.let(n.e4m3_decode(b), lambda s: quantize.nvfp4_code(v, F.col("gmax"), b, s).cast("int"))
-    codes = F.transform("vals", lambda v, i: n.let(bits(i), lambda b: code(v, b)))
+    rows = rows.withColumn("block_scales", n.let(F.col("gmax"), lambda g: F.transform(_groups(NVFP4_BLOCK), lambda x: n.let(_amax(x), lambda a: quantize.nvfp4_bits(a, g)))))
+    bits = lambda all_bits, i: F.get(all_bits, F.floor(i / NVFP4_BLOCK).cast("int"))
+    code = lambda v, g, b, s: F.when(b == 0, 0).otherwise(n.let(quantize.nvfp4_ratio(v, g, b, s), n.e2m1_encode)).cast("int")
+    values = lambda g, all_bits, scales: F.transform("vals", lambda v, i: n.let(bits(all_bits, i), lambda b: code(v, g, b, bits(scales, i))))
+    codes = n.let(F.col("block_scales"), lambda all_bits: n.let(F.transform(all_bits, n.e4m3_decode), lambda scales: n.let(F.col("gmax"), lambda g: values(g, all_bits, scales))))
     return rows.withColumn("codes", codes).select("tensor", packed(F.col("codes")).alias("packed"), "block_scales", quantize.nvfp4_global(F.col("gmax")).alias("global_scale"), F.size("vals").cast("bigint").alias("elements"))
 
 
@@ -88,7 +91,8 @@ FOUND = "struct<code:string,idx:bigint,n:bigint>"
 
 def _first(df: DataFrame, *rules: Column) -> DataFrame:
     """(tensor, code, idx, n) of the first rule that a row breaks; a rule is a struct, null where it is kept."""
-    return df.select("tensor", F.coalesce(*rules).alias("x")).filter("x is not null").select("tensor", "x.*")
+    # a filter on the struct itself would be pushed down and every part's expression evaluated in it again
+    return df.select("tensor", F.explode_outer(F.array(F.coalesce(*rules))).alias("x")).filter("x is not null").select("tensor", "x.*")
 
 
 def _broken(bad: Column, code: str, idx: Column, count: Column) -> Column:
@@ -120,7 +124,7 @@ def int8_violations(df: DataFrame) -> DataFrame:
         df,
         _broken(_bad_scale(F.col("scale")), "InvalidScale", F.lit(0), F.lit(1)),
         _rule(F.transform("q", lambda q: F.abs(q.cast("int")) > INT8_MAX), "QuantizedValueOutOfRange"),
-        _rule(F.transform("q", lambda q: ~n.is_finite(n.dequantize(q, F.col("scale")))), "DequantizedValueOverflow"),
+        _rule(n.let(F.col("scale"), lambda s: F.transform("q", lambda q: ~n.is_finite(n.dequantize(q, s)))), "DequantizedValueOverflow"),
     )
 
 
@@ -128,7 +132,7 @@ def int4_violations(df: DataFrame) -> DataFrame:
     """Group size, lengths, scales, range of the values, overflow; a padding nibble isn't looked at."""
     size = F.col("group_size")
     codes = unpacked(F.col("packed"), F.col("elements"))
-    scale = lambda i: F.get("scales", F.floor(i / size).cast("int"))
+    values = n.let(F.col("scales"), lambda s: F.transform(codes, lambda c, i: n.dequantize(c, F.get(s, F.floor(i / size).cast("int")))))
     return _first(
         df,
         _broken(size < 1, "InvalidGroupSize", F.lit(0), size),
@@ -136,38 +140,41 @@ def int4_violations(df: DataFrame) -> DataFrame:
         _length("scales", F.ceil(F.col("elements") / size), "ScaleCountMismatch"),
         _rule(F.transform("scales", _bad_scale), "InvalidScale"),
         _rule(F.transform(codes, lambda c: F.abs(c) > INT4_MAX), "QuantizedValueOutOfRange"),
-        _rule(F.transform(codes, lambda c, i: ~n.is_finite(n.dequantize(c, scale(i)))), "DequantizedValueOverflow"),
+        _rule(F.transform(values, lambda v: ~n.is_finite(v)), "DequantizedValueOverflow"),
     )
 
 
 def nvfp4_violations(df: DataFrame) -> DataFrame:
     """Tensor scale, lengths, block scales, values in blocks of scale zero, overflow."""
     codes = unpacked(F.col("packed"), F.col("elements"), signed=False)
-    bits = lambda i: F.get("block_scales", F.floor(i / NVFP4_BLOCK).cast("int"))
+    zero = lambda all_bits: F.transform(codes, lambda c, i: (F.get(all_bits, F.floor(i / NVFP4_BLOCK).cast("int")) == 0) & (c % 8 != 0))
     return _first(
         df,
         _broken(_bad_scale(F.col("global_scale")), "InvalidGlobalScale", F.lit(0), F.lit(1)),
         _packed_length(),
         _length("block_scales", F.ceil(F.col("elements") / NVFP4_BLOCK), "BlockScaleCountMismatch"),
         _rule(F.transform("block_scales", lambda b: (b >= 128) | (b == 127)), "InvalidBlockScale"),
-        _rule(F.transform(codes, lambda c, i: (bits(i) == 0) & (c % 8 != 0)), "ZeroScaleWithNonzeroValue"),
-        _rule(F.transform(codes, lambda c, i: ~n.is_finite(_fp4_value(c, bits(i)))), "DequantizedValueOverflow"),
+        _rule(n.let(F.col("block_scales"), zero), "ZeroScaleWithNonzeroValue"),
+        _rule(F.transform(_fp4_values(codes), lambda v: ~n.is_finite(v)), "DequantizedValueOverflow"),
     )
 
 
-def _fp4_value(code: Column, bits: Column) -> Column:
-    return n.mul32(n.mul32(n.e2m1_decode(code), n.let(bits, n.e4m3_decode)), F.col("global_scale"))
+def _fp4_values(codes: Column) -> Column:
+    """What an array of E2M1 codes dequantizes to, by the row's block_scales and global_scale."""
+    value = lambda c, s, g: n.mul32(n.mul32(n.e2m1_decode(c), s), g)
+    place = lambda i: F.floor(i / NVFP4_BLOCK).cast("int")
+    return n.let(F.transform("block_scales", n.e4m3_decode), lambda scales: n.let(F.col("global_scale"), lambda g: F.transform(codes, lambda c, i: value(c, F.get(scales, place(i)), g))))
 
 
 def q8_0_violations(df: DataFrame) -> DataFrame:
     """Elements that fill blocks, as many bytes as they need, block scales that are finite."""
     blocks = F.floor(F.col("elements") / Q8_BLOCK)
-    exponent = lambda b: F.shiftright(F.get("data", b * Q8_BLOCK_BYTES + 1), 2).bitwiseAND(F.lit(31))
+    exponent = lambda data, b: F.shiftright(F.get(data, b * Q8_BLOCK_BYTES + 1), 2).bitwiseAND(F.lit(31))
     return _first(
         df,
         _broken((F.col("elements") < 1) | (F.col("elements") % Q8_BLOCK != 0), "InvalidLength", F.col("elements"), F.size("data")),
         _length("data", blocks * Q8_BLOCK_BYTES, "InvalidDataLength"),
-        _rule(F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda b: exponent(b) == 31), "InvalidScale"),
+        _rule(n.let(F.col("data"), lambda data: F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda b: exponent(data, b) == 31)), "InvalidScale"),
     )
 
 
@@ -180,15 +187,15 @@ def dequantize_int4(df: DataFrame) -> DataFrame:
     """(tensor, v_hat array<float>) of parts that keep the rules."""
     validate.check(int4_violations(df))
     codes = unpacked(F.col("packed"), F.col("elements"))
-    return df.select("tensor", F.transform(codes, lambda c, i: n.dequantize(c, F.get("scales", F.floor(i / F.col("group_size")).cast("int")))).alias("v_hat"))
+    values = n.let(F.col("scales"), lambda s: F.transform(codes, lambda c, i: n.dequantize(c, F.get(s, F.floor(i / F.col("group_size")).cast("int")))))
+    return df.select("tensor", values.alias("v_hat"))
 
 
 def dequantize_nvfp4(df: DataFrame) -> DataFrame:
     """(tensor, v_hat array<float>) of parts that keep the rules."""
     validate.check(nvfp4_violations(df))
     codes = unpacked(F.col("packed"), F.col("elements"), signed=False)
-    bits = lambda i: F.get("block_scales", F.floor(i / NVFP4_BLOCK).cast("int"))
-    return df.select("tensor", F.transform(codes, lambda c, i: _fp4_value(c, bits(i))).alias("v_hat"))
+    return df.select("tensor", _fp4_values(codes).alias("v_hat"))
 
 
 def dequantize_q8_0(df: DataFrame) -> DataFrame:
@@ -200,5 +207,6 @@ def dequantize_q8_0(df: DataFrame) -> DataFrame:
         bits = F.get(b, F.lit(0)) + F.get(b, F.lit(1)) * 256
         return n.let(n.let(bits, _f16_value), lambda s: F.transform(F.slice(b, 3, Q8_BLOCK), lambda x: n.mul32(signed(x), s)))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.col("elements") / Q8_BLOCK).cast("int") - 1), lambda k: F.slice("data", k * Q8_BLOCK_BYTES + 1, Q8_BLOCK_BYTES))
+    places = F.sequence(F.lit(0), F.floor(F.col("elements") / Q8_BLOCK).cast("int") - 1)
+    blocks = n.let(F.col("data"), lambda data: F.transform(places, lambda k: F.slice(data, k * Q8_BLOCK_BYTES + 1, Q8_BLOCK_BYTES)))
     return df.select("tensor", F.flatten(F.transform(blocks, block)).alias("v_hat"))

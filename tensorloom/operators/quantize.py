@@ -165,11 +165,14 @@ def nvfp4_bits(bmax: Column, gmax: Column) -> Column:
     return F.when(bmax == 0, 0).otherwise(F.greatest(bits, F.lit(1)))
 
 
+def nvfp4_ratio(v: Column, gmax: Column, bits: Column, scale: Column) -> Column:
+    """A value in units of its block's scale, as float32."""
+    return n.div32(n.mul32(n.div32(v, _safe(gmax)), n.lit32(NVFP4_TOP)), F.when(bits == 0, n.lit32(1.0)).otherwise(scale))
+
+
 def nvfp4_code(v: Column, gmax: Column, bits: Column, scale: Column) -> Column:
     """The E2M1 code of a value in a block; zero in a block of zeros."""
-    zero = bits == 0
-    value = n.div32(n.mul32(n.div32(v, _safe(gmax)), n.lit32(NVFP4_TOP)), F.when(zero, n.lit32(1.0)).otherwise(scale))
-    return F.when(zero, 0).otherwise(n.e2m1_encode(value))
+    return F.when(bits == 0, 0).otherwise(n.e2m1_encode(nvfp4_ratio(v, gmax, bits, scale)))
 
 
 def nvfp4_quantize(elements: DataFrame) -> DataFrame:
