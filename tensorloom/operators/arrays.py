@@ -13,19 +13,23 @@ def amax(values: Column) -> Column:
     return F.array_max(F.transform(values, F.abs))
 
 
+def _floats(values: str) -> Column:
+    return F.transform(values, lambda x: x.cast("float"))
+
+
 def int8(df: DataFrame, values: str) -> DataFrame:
     """df with scale and q array<tinyint>."""
-    v = F.transform(values, lambda x: x.cast("float"))
-    scaled = df.withColumn("scale", n.symmetric_scale(amax(v), INT8_MAX))
-    return scaled.withColumn("q", F.transform(v, lambda x: n.quantize(x, F.col("scale"), INT8_MAX)))
+    scaled = df.withColumn("scale", n.symmetric_scale(amax(_floats(values)), INT8_MAX))
+    # scale is bound once a row: its expression may be put in its place, and the lambda runs for every element
+    return scaled.withColumn("q", n.let(F.col("scale"), lambda s: F.transform(_floats(values), lambda x: n.quantize(x, s, INT8_MAX))))
 
 
 def int4(df: DataFrame, values: str, size: int) -> DataFrame:
     """df with scales array<float> and q array<tinyint>; the last group may be short."""
-    v = F.transform(values, lambda x: x.cast("float"))
-    groups = F.transform(F.sequence(F.lit(0), F.expr(f"cast(greatest(ceil(size({values}) / {size}) - 1, 0) as int)")), lambda g: F.slice(v, g * size + 1, size))
-    scaled = df.withColumn("scales", F.transform(groups, lambda x: n.symmetric_scale(amax(x), INT4_MAX)))
-    return scaled.withColumn("q", n.let(F.col("scales"), lambda s: F.transform(v, lambda x, i: n.quantize(x, F.get(s, F.floor(i / size).cast("int")), INT4_MAX))))
+    groups = F.sequence(F.lit(0), F.expr(f"cast(greatest(ceil(size({values}) / {size}) - 1, 0) as int)"))
+    scale = lambda v, g: n.symmetric_scale(amax(F.slice(v, g * size + 1, size)), INT4_MAX)
+    scaled = df.withColumn("scales", n.let(_floats(values), lambda v: F.transform(groups, lambda g: scale(v, g))))
+    return scaled.withColumn("q", n.let(F.col("scales"), lambda s: F.transform(_floats(values), lambda x, i: n.quantize(x, F.get(s, F.floor(i / size).cast("int")), INT4_MAX))))
 
 
 def metrics(df: DataFrame, values: str, q: str = "q", scale: str = "scale") -> DataFrame:

@@ -82,7 +82,7 @@ def int4_elements(chunks: DataFrame, size: int, check: bool = True) -> DataFrame
 def per_channel_int8(chunks: DataFrame, width: int, check: bool = True) -> DataFrame:
     """Blocks of a matrix's rows with a scale each, and q array<tinyint>."""
     out = blocks(_checked(chunks, check), width).withColumn("scale", n.symmetric_scale(amax(F.col("vals")), INT8_MAX))
-    return out.withColumn("q", F.transform("vals", lambda v: n.quantize(v, F.col("scale"), INT8_MAX)))
+    return out.withColumn("q", n.let(F.col("scale"), lambda s: F.transform("vals", lambda v: n.quantize(v, s, INT8_MAX))))
 
 
 def q8_0(chunks: DataFrame) -> DataFrame:
