@@ -152,13 +152,13 @@ def _probes(window: int, bits: int) -> Callable:
         row = home.row[at]
         key = _anchor_key(rolling(home.words, block)[at], bits)
         aligned = (at - home.first[row]) % block == 0
-        order = np.argsort(key, kind="stable")  # rows stay in order, so the first and the last tell whether there are several
+        order = np.argsort(key)
         key, row = key[order], row[order]
         edge = _edges(key)
-        last = np.append(edge[1:], len(key))[: len(edge)] - 1
-        indexed = np.logical_or.reduceat(aligned[order], edge) if len(edge) else np.empty(0, bool)
+        of = lambda f, x: f.reduceat(x, edge) if len(edge) else np.empty(0, x.dtype)
+        several, indexed = of(np.minimum, row) != of(np.maximum, row), of(np.logical_or, aligned[order])
         key = key[edge]
-        return _messages("bucket", _key(table, "home"), (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype("<u4"), row[edge] != row[last], indexed)
+        return _messages("bucket", _key(table, "home"), (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype("<u4"), several, indexed)
 
     return group
 
@@ -250,10 +250,9 @@ def _repeated(home: Home, received: list[bytes], window: int) -> np.ndarray:
     """Places of windows whose words a smaller document has, here or elsewhere."""
     at = home.windows(window)
     h = rolling(home.words, window)[at]
-    order = np.argsort(h, kind="stable")
-    edge = _edges(h[order])
-    count = np.diff(np.append(edge, len(h)))
-    twice = np.sort(order[np.repeat(count > 1, count)])
+    by_hash = np.sort(h)  # values alone sort several times as fast as places
+    several = np.unique(by_hash[1:][by_hash[1:] == by_hash[:-1]])
+    twice = several[np.minimum(np.searchsorted(several, h), len(several) - 1)] == h if len(several) else np.zeros(len(h), bool)
     p, g = at[twice], h[twice]
     least, doc, first = home.least(p, g)
     of = np.searchsorted(least, g)
@@ -275,17 +274,15 @@ def _cut(window: int, keep_text: bool) -> Callable:
         release()
         home = Home(left, window)
         p = _repeated(home, right.column("blob").to_pylist(), window)
-        cover = np.zeros(len(home.words) + 1, np.int64)
-        np.add.at(cover, p, 1)
-        np.subtract.at(cover, p + window, 1)
-        gone = np.cumsum(cover)[:-1] > 0
+        size, raw = len(home.words) + 1, home.data.tobytes()
+        gone = np.cumsum(np.bincount(p, minlength=size) - np.bincount(p + window, minlength=size))[:-1] > 0
         n, removed, kept = np.diff(home.first), np.diff(np.concatenate([[0], np.cumsum(gone)])[home.first]), []
         for i, (a, b) in enumerate(zip(home.first[:-1].tolist(), home.first[1:].tolist(), strict=True)):
             if removed[i]:
                 rest = a + np.flatnonzero(~gone[a:b])
-                words = [home.data[s:e].tobytes() for s, e in zip(home.starts[rest].tolist(), home.ends[rest].tolist(), strict=True)]
+                words = [raw[s:e] for s, e in zip(home.starts[rest].tolist(), home.ends[rest].tolist(), strict=True)]
             else:
-                words = home.data[home.at[i] : home.at[i + 1]].tobytes().split()
+                words = raw[home.at[i] : home.at[i + 1]].split()
             kept.append(b" ".join(words).decode("utf-8", "replace"))
         out = {"doc_id": left.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())}
         out |= {"t": left.column("text")} if keep_text else {}
