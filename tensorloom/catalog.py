@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import json
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -487,7 +491,9 @@ def _folder(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        return tempfile.mkdtemp(prefix="tensorloom-")
+        own = tempfile.mkdtemp(prefix="tensorloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        return own
     if not named.startswith(("/", "file:/")):
         raise RuntimeError(f"container files need a mounted folder, not {named}")
     out = f"/{named.removeprefix('file:').lstrip('/')}/containers-{uuid.uuid4().hex}"
@@ -499,34 +505,44 @@ def _folder(spark: SparkSession) -> str:
 CONTAINED = {"customer.c_acctbal": "F32", "orders.o_totalprice": "F32", "part.p_retailprice": "F32", "supplier.s_acctbal": "F32", "nation.n_nationkey": "I32", "region.r_regionkey": "I32"}
 
 
-def container(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """A SafeTensors file of CONTAINED and the embedding matrix, written from the tables."""
+def container(spark: SparkSession, sf_dir: str, path: str, names: list[str]) -> None:
+    """A SafeTensors file of some of CONTAINED and the embedding matrix, written from the tables."""
     sizes = {r.tensor: list(r.shape) for r in tables.catalog(spark, sf_dir).collect()}
-    data = safetensors.to_bytes(tables.matrix_chunks(spark, sf_dir).select(F.lit(tables.MATRIX).alias("tensor"), F.col("base_idx").alias("chunk"), "vals"), "vals", "<f4")
+    parts = []
+    if tables.MATRIX in names:
+        parts.append(safetensors.to_bytes(tables.matrix_chunks(spark, sf_dir).select(F.lit(tables.MATRIX).alias("tensor"), F.col("base_idx").alias("chunk"), "vals"), "vals", "<f4"))
     keys = {"nation.n_nationkey": "n_nationkey", "region.r_regionkey": "r_regionkey"}
     for name, dtype in CONTAINED.items():
+        if name not in names:
+            continue
         table, column = name.split(".")
         key = keys.get(name) or tables.COLUMNS[name]
         rows = tables.table(spark, sf_dir, table)
         # runs of the table's key; each becomes an array where its rows meet
         runs = rows.groupBy(F.expr(f"{key} div {CHUNK_ELEMENTS}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(column).cast("float" if dtype == "F32" else "int").alias("v")))).alias("p"))
-        data = data.unionByName(safetensors.to_bytes(runs.select(F.lit(name).alias("tensor"), "chunk", F.transform("p", lambda p: p["v"]).alias("v")), "v", "<f4" if dtype == "F32" else "<i4"))
-    safetensors.write_tensors(path, [(n, d, sizes[n]) for n, d in [*CONTAINED.items(), (tables.MATRIX, "F32")]], data)
+        parts.append(safetensors.to_bytes(runs.select(F.lit(name).alias("tensor"), "chunk", F.transform("p", lambda p: p["v"]).alias("v")), "v", "<f4" if dtype == "F32" else "<i4"))
+    safetensors.write_tensors(path, [(n, CONTAINED.get(n, "F32"), sizes[n]) for n in names], reduce(DataFrame.unionByName, parts))
 
 
-def _written(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """The container of the tables and what the quantize command makes of it."""
-    folder = _folder(spark)
+def _written(spark: SparkSession, sf_dir: str, shards: int = 1) -> tuple[str, str]:
+    """The container of the tables, one file or an index of several, and what the quantize command makes of it."""
+    folder, names = _folder(spark), [*CONTAINED, tables.MATRIX]
     source, output = f"{folder}/in.safetensors", f"{folder}/out.safetensors"
-    container(spark, sf_dir, source)
+    if shards == 1:
+        container(spark, sf_dir, source, names)
+    else:
+        files = {f"in-{k}.safetensors": names[k::shards] for k in range(shards)}
+        for file, own in files.items():
+            container(spark, sf_dir, f"{folder}/{file}", own)
+        source += ".index.json"
+        with open(source, "x", encoding="utf-8") as f:
+            json.dump({"weight_map": {n: file for file, own in files.items() for n in own}}, f)
     model.quantize(spark, source, output)
     return source, output
 
 
-@query
-def safetensors_write_read(spark, sf_dir):
-    """Where each tensor of the quantized container lies, and a sum over what is read back of it."""
-    _, output = _written(spark, sf_dir)
+def _read_back(spark: SparkSession, output: str) -> DataFrame:
+    """Where each tensor of a quantized container lies, and a sum over what is read back of it."""
     found = safetensors.catalog(spark, output)
     codes = [r.tensor for r in found.filter("dtype = 'I8'").collect()]
     total = lambda df, x: df.groupBy("tensor").agg(F.sum(x).cast("bigint").alias("total"))
@@ -538,6 +554,17 @@ def safetensors_write_read(spark, sf_dir):
     return found.join(sums, "tensor").select("tensor", "dtype", "byte_len", "data_start", "data_end", "total")
 
 
+@query
+def safetensors_write_read(spark, sf_dir):
+    return _read_back(spark, _written(spark, sf_dir)[1])
+
+
+@query
+def sharded_write_read(spark, sf_dir):
+    """The same from three shards under an index."""
+    return _read_back(spark, _written(spark, sf_dir, 3)[1])
+
+
 @query
 def preserved_bytes_check(spark, sf_dir):
     """Tensors that the quantize command kept: their bytes in the source and in the output."""

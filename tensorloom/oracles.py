@@ -167,6 +167,7 @@ TOTALS = f"""
   UNION ALL SELECT tensor, sum(floor(v::DOUBLE * 1e6 + 0.5)::BIGINT)::BIGINT FROM ({VALUES}) GROUP BY tensor
   UNION ALL SELECT 'nation.n_nationkey', sum(n_nationkey)::BIGINT FROM nation
   UNION ALL SELECT 'region.r_regionkey', sum(r_regionkey)::BIGINT FROM region"""
+CONTAINER = f"SELECT p.name AS tensor, p.dtype, p.byte_len, p.data_start, p.data_end, t.total FROM ({plan(CONTAINED)}) p JOIN ({TOTALS}) t ON p.name = t.name"
 SHAPE = "'[' || replace(shape, 'x', ',') || ']'"
 RECORD = f"""'"' || tensor || '":{{"action":"' || CASE action WHEN 'quantize' THEN 'quantized' ELSE 'preserved' END || '","original_dtype":"' || dtype || '","original_shape":' || {SHAPE} ||
   CASE action WHEN 'quantize' THEN ',"qdata_dtype":"I8","qdata_name":"' || tensor || '.qdata","scale_dtype":"F32","scale_name":"' || tensor || '.scale","scale_shape":[]}}' ELSE ',"tensor_name":"' || tensor || '"}}' END"""
@@ -259,7 +260,8 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'q8_0', tensor, idx, v_hat FROM ({q8(V)})""",
     "given_scale_replay": f"""SELECT idx // 16384 AS chunk, count(*) AS n, sum(q)::BIGINT AS sum_q, {SATURATED.format(top=127)} FROM (
       SELECT idx, {level("v", "scale", 127)} AS q FROM ({M}), (SELECT {scale("max(abs(v))", 127)} AS scale FROM ({M}) WHERE idx % 10 = 0)) GROUP BY 1""",
-    "safetensors_write_read": f"SELECT p.name AS tensor, p.dtype, p.byte_len, p.data_start, p.data_end, t.total FROM ({plan(CONTAINED)}) p JOIN ({TOTALS}) t ON p.name = t.name",
+    "safetensors_write_read": CONTAINER,
+    "sharded_write_read": CONTAINER,
     "preserved_bytes_check": f"SELECT name AS tensor, byte_len AS n, true AS same FROM ({plan(CONTAINED)}) WHERE role = 'preserved'",
     "gguf_write_read": f"SELECT idx, v_hat::DOUBLE AS v_hat FROM ({Q8})",
     "manifest_json": f"""SELECT '{{"schema":"tensorloom.int8.manifest.v1","tensors":{{' || string_agg({RECORD}, ',' ORDER BY tensor) || '}}}}' AS manifest FROM ({decided()})""",

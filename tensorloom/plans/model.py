@@ -21,9 +21,9 @@ def exponent(x: float, digits: int = 3) -> str:
 
 
 def inspect(path: str) -> str:
-    h = st.read_header(path)
+    h = st.open_input(path)
     rows = [f"  {t.name} | dtype={t.dtype} | shape=[{', '.join(map(str, t.shape))}] | bytes={t.byte_len}" for t in h.tensors]
-    return "\n".join(["Format: SafeTensors", f"File size: {h.file_size} bytes", f"Tensors: {len(h.tensors)}", *rows])
+    return "\n".join(["Format: SafeTensors", f"File size: {h.file_size} bytes", *([f"Shards: {len(h.files)}"] if len(h.files) > 1 else []), f"Tensors: {len(h.tensors)}", *rows])
 
 
 @dataclass
@@ -42,16 +42,19 @@ class Plan:
 def plan(spark: SparkSession, source: str, minimum: int = MINIMUM_ELEMENTS, chunk: int = CHUNK_ELEMENTS) -> Plan:
     """Everything but the write. Chunks stay arrays: scales are a small aggregate, nothing else shuffles."""
     catalog = st.catalog(spark, source)
-    decisions = policy.decide(catalog, minimum)
-    names = [r.tensor for r in decisions.filter("action = 'quantize'").select("tensor").collect()]
+    decisions = _held(policy.decide(catalog, minimum))
+    names = [r.tensor for r in decisions.collect() if r.action == "quantize"]
     chunks = st.chunks(spark, source, chunk, tensors=names)
     scales = blocks.tops(chunks).select("tensor", n.symmetric_scale(F.col("amax"), INT8_MAX).alias("scale"))
     quantized = chunks.join(scales, "tensor").select("tensor", "chunk", "base_idx", "scale", "vals", F.transform("vals", lambda v: n.quantize(v, F.col("scale"), INT8_MAX)).alias("qs"))
     sized = diagnostics.tensor_diagnostics(_pairs(quantized), INT8_MAX).drop("source_bytes", "compression_ratio").join(catalog.select("tensor", F.col("byte_len").alias("source_bytes")), "tensor")
     found = sized.withColumn("compression_ratio", diagnostics.ratio(F.col("source_bytes"), F.col("quantized_bytes"))).join(scales, "tensor")
-    # a row a tensor, read once: the report and the checks need no further scan
-    found = spark.createDataFrame(found.collect(), found.schema)
-    return Plan(source, catalog, decisions, layout.plan(catalog, decisions), scales, quantized, found)
+    return Plan(source, catalog, decisions, _held(layout.plan(catalog, decisions)), scales, quantized, _held(found))
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """Metadata, a row a tensor or an output, planned once: the report and the checks need no further scan."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def validated(spark: SparkSession, source: str, output: str, minimum: int = MINI
 
 
 def summary(source: str, r: dict) -> list[str]:
-    before, after = os.path.getsize(source), r["output_bytes"]
+    before, after = st.open_input(source).file_size, r["output_bytes"]
     size = f"smaller by {before - after}" if after < before else f"larger by {after - before}"
     sqnr = "undefined" if r["lowest_sqnr_db"] is None else f"{r['lowest_sqnr_db']:.2f} dB"
     return [

@@ -1,4 +1,4 @@
-"""SafeTensors: a u64 header length, a JSON header, then the payloads.
+"""SafeTensors: a u64 header length, a JSON header, then the payloads; one file, or several under an index.
 
 The header is read and checked on the driver (metadata only). Payloads are read by a Python
 data source whose partitions are byte ranges of whole chunks; tensors that aren't asked for by
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,28 @@ class Header:
                 return t
         raise TensorError("TensorNotFound", name)
 
+    def place(self, t: Tensor) -> tuple[str, int]:
+        """The file that holds a tensor, and where its payload begins there."""
+        return self.path, self.data_start + t.start
+
+    @property
+    def files(self) -> list[str]:
+        return [self.path]
+
+
+@dataclass(frozen=True)
+class Sharded(Header):
+    """An index and its shards as one input: tensors in name order, file_size of all shards."""
+
+    shards: dict[str, Header]  # by tensor
+
+    def place(self, t: Tensor) -> tuple[str, int]:
+        return self.shards[t.name].place(t)
+
+    @property
+    def files(self) -> list[str]:
+        return sorted({h.path for h in self.shards.values()})
+
 
 def _whole(x: object) -> bool:
     return isinstance(x, int) and not isinstance(x, bool) and 0 <= x < 1 << 64
@@ -125,9 +148,83 @@ def read_header(path: str) -> Header:
     return Header(path, size, 8 + n, parse_header(raw, size - 8 - n))
 
 
+def _shard_names(path: str) -> tuple[dict[str, str], int | None]:
+    """(file name by tensor, total size or None) of an index; members it doesn't define are ignored."""
+    bad = lambda why: TensorError("InvalidIndex", f"{path}: {why}")
+    repeating: list[dict] = []
+
+    def members(pairs: list[tuple[str, object]]) -> dict[str, object]:
+        out = dict(pairs)
+        if len(out) != len(pairs):
+            repeating.append(out)
+        return out
+
+    try:
+        with open(path, "rb") as f:
+            root = json.loads(f.read().decode("utf-8"), object_pairs_hook=members)
+    except OSError as e:
+        raise TensorError("Io", str(e)) from e
+    except (ValueError, RecursionError) as e:
+        raise bad(str(e)) from e
+    if not isinstance(root, dict) or not isinstance(names := root.get("weight_map"), dict):
+        raise bad("no weight_map")
+    if any(x is root or x is names for x in repeating):
+        raise TensorError("DuplicateTensor", f"{path}: a name stands twice")
+    if "__metadata__" in names:
+        raise bad("__metadata__ is no tensor")
+    for tensor, name in names.items():
+        if not isinstance(name, str) or not name:
+            raise bad(f"{tensor}: no file name")
+        if name in (".", "..") or re.search(r"[/\\\0]|^[A-Za-z]:", name):
+            raise TensorError("UnsafeShard", f"{path}: {tensor}: {name!r}")
+    notes = root.get("metadata", {})
+    if not isinstance(notes, dict) or "total_size" in notes and not _whole(notes["total_size"]):
+        raise bad("metadata")
+    return names, notes.get("total_size")
+
+
+def read_index(path: str) -> Sharded:
+    """The checked headers of all shards of an index; they lie beside it and hold just its tensors, each once."""
+    names, total = _shard_names(path)
+    headers: dict[str, Header] = {}
+    for name in sorted(set(names.values())):
+        file = os.path.join(os.path.dirname(path), name)
+        if not os.path.isfile(file):
+            raise TensorError("MissingShard", f"{path}: {file}")
+        try:
+            headers[name] = read_header(file)
+        except TensorError as e:
+            raise TensorError("InvalidShard", f"{path}: {file}: {e}") from e
+    found = [(t, name) for name, h in headers.items() for t in h.tensors]
+    owner = {t.name: name for t, name in found}
+    if len(owner) != len(found):
+        raise TensorError("DuplicateTensor", f"{path}: shards share a tensor")
+    if owner != names:
+        odd = min(k for k in owner.keys() | names.keys() if owner.get(k) != names.get(k))
+        raise TensorError("ShardTensorMismatch", f"{path}: {odd} in {names.get(odd)} by the index, in {owner.get(odd)} by the shards")
+    size = sum(t.byte_len for t, _ in found)
+    if total is not None and total != size:
+        raise TensorError("TotalSizeMismatch", f"{path}: {total} bytes by the index, {size} in the shards")
+    tensors = tuple(sorted((t for t, _ in found), key=lambda t: t.name.encode()))
+    return Sharded(path, sum(h.file_size for h in headers.values()), 0, tensors, {k: headers[v] for k, v in owner.items()})
+
+
+def open_input(path: str) -> Header:
+    """A file, an index (*.index.json), or a folder with one index or else one file; nothing is searched below it."""
+    if os.path.isdir(path):
+        names = sorted(n for n in os.listdir(path) if os.path.isfile(os.path.join(path, n)))
+        found = [n for n in names if n.endswith(".safetensors.index.json")] or [n for n in names if n.endswith(".safetensors")]
+        if len(found) != 1:
+            raise TensorError("AmbiguousInput", f"{path}: {', '.join(found) or 'no SafeTensors file'}")
+        path = os.path.join(path, found[0])
+    elif os.path.exists(path) and not os.path.isfile(path):
+        raise TensorError("InvalidInput", f"{path}: neither a file nor a folder")
+    return read_index(path) if path.endswith(".index.json") else read_header(path)
+
+
 def catalog(spark: SparkSession, *paths: str) -> DataFrame:
-    """One row per tensor, in data order within a file."""
-    rows = [(h.path, t.name, t.dtype, list(t.shape), t.count, t.byte_len, t.start, t.end) for h in map(read_header, paths) for t in h.tensors]
+    """One row per tensor, in data order within a file, in name order under an index; path is the file that holds it."""
+    rows = [(h.place(t)[0], t.name, t.dtype, list(t.shape), t.count, t.byte_len, t.start, t.end) for h in map(open_input, paths) for t in h.tensors]
     return spark.createDataFrame(rows, CATALOG)
 
 
@@ -156,19 +253,21 @@ class _Reader(DataSourceReader):
         self.names = None if tensors is None else set(tensors)
 
     def partitions(self) -> list[Span]:
-        header, out = read_header(self.path), []
+        header, out = open_input(self.path), []
         for t in header.tensors:
             if self.names is not None and t.name not in self.names or self.typed and t.dtype not in FLOATING:
                 continue
             width = DTYPE_BITS[t.dtype] // 8 if self.typed else 4
             step = self.chunk * width  # bytes of a chunk
-            total = -(-t.byte_len // step)
+            total, (path, at) = -(-t.byte_len // step), header.place(t)
             for k in range(0, total, PARTITION_CHUNKS):
                 n = min(PARTITION_CHUNKS, total - k)
-                out.append(Span(self.path, t.name, t.dtype, header.data_start + t.start + k * step, k, n, min(n * step, t.byte_len - k * step)))
+                out.append(Span(path, t.name, t.dtype, at + k * step, k, n, min(n * step, t.byte_len - k * step)))
         return out or [Span(self.path, "", "F32", 0, 0, 0, 0)]
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
+        if not span.chunks:  # no tensor was asked for: the path may be a folder
+            return
         width = DTYPE_BITS[span.dtype] // 8 if self.typed else 4
         step = self.chunk * width
         with open(span.path, "rb") as f:
@@ -216,7 +315,7 @@ class SafetensorsSource(DataSource):
 
 def chunks(spark: SparkSession, path: str, chunk: int = CHUNK_ELEMENTS, tensor: str | None = None, tensors: list[str] | None = None) -> DataFrame:
     """Float tensors as chunks of values. A named tensor must be there and readable as float32; others of tensors are not read."""
-    if tensor is not None and (t := read_header(path).tensor(tensor)).dtype not in FLOATING:
+    if tensor is not None and (t := open_input(path).tensor(tensor)).dtype not in FLOATING:
         raise TensorError("UnsupportedTensorDtype", t.dtype)
     return _load(spark, path, "chunks", chunk, [tensor] if tensor is not None else tensors)
 
@@ -224,13 +323,13 @@ def chunks(spark: SparkSession, path: str, chunk: int = CHUNK_ELEMENTS, tensor:
 def payload(spark: SparkSession, path: str, tensor: str | None = None, chunk: int = CHUNK_ELEMENTS, tensors: list[str] | None = None) -> DataFrame:
     """Any tensor as consecutive byte chunks of four bytes an element."""
     if tensor is not None:
-        read_header(path).tensor(tensor)
+        open_input(path).tensor(tensor)
     return _load(spark, path, "payload", chunk, [tensor] if tensor is not None else tensors)
 
 
 def codes(spark: SparkSession, path: str, tensors: list[str], chunk: int = CHUNK_ELEMENTS) -> DataFrame:
     """(tensor, chunk, qs array<tinyint>) of I8 tensors; chunk: a multiple of four elements."""
-    header = read_header(path)
+    header = open_input(path)
     for name in tensors:
         if header.tensor(name).dtype != "I8":
             raise TensorError("UnsupportedTensorDtype", header.tensor(name).dtype)
@@ -250,7 +349,7 @@ INTEGERS = {"I8": "i1", "I16": "<i2", "I32": "<i4", "I64": "<i8"}
 
 def integers(spark: SparkSession, path: str, tensors: list[str]) -> DataFrame:
     """(tensor, chunk, vals array<bigint>) of integer tensors."""
-    header = read_header(path)
+    header = open_input(path)
     kinds = {name: header.tensor(name).dtype for name in tensors}
     for name, dtype in kinds.items():
         if dtype not in INTEGERS:
@@ -349,15 +448,15 @@ def write(source: str, destination: str, plan: DataFrame, decisions: DataFrame,
     the arithmetic and encode the bytes; the driver streams ordered chunks of bytes into the
     file and holds one at a time.
     """
-    if os.path.realpath(source) == os.path.realpath(destination):
+    head = open_input(source)
+    if os.path.realpath(destination) in {os.path.realpath(f) for f in [source, *head.files]}:
         raise TensorError("SourceDestinationConflict", destination)
     if os.path.exists(destination):
         raise TensorError("DestinationExists", destination)
     layout = plan.orderBy("ord").collect()
     if replan is not None and layout != replan.orderBy("ord").collect():
         raise TensorError("PlanMismatch", "the plan doesn't follow from the source and the decisions")
-    spark, head = plan.sparkSession, read_header(source)
-    at = 0
+    spark, at = plan.sparkSession, 0
     for o in layout:
         if o.data_start != at or o.data_end - o.data_start != o.byte_len:
             raise TensorError("PlanOffsetMismatch", o.name)
@@ -373,28 +472,31 @@ def write(source: str, destination: str, plan: DataFrame, decisions: DataFrame,
         ordered = to_bytes(quantized, "qs", "i1").orderBy("tensor", "chunk").toLocalIterator()
         by_tensor = scales.orderBy("tensor").toLocalIterator()
         pending = next(ordered, None)
-        with open(source, "rb") as f:
-            for o in layout:
-                if o.role == "preserved":
-                    f.seek(head.data_start + head.tensor(o.source_name).start)
+        for o in layout:
+            if o.role == "preserved":
+                file, begin = head.place(head.tensor(o.source_name))
+                with open(file, "rb") as f:
+                    f.seek(begin)
                     left = o.byte_len
                     while left:
                         raw = f.read(min(left, 1 << 20))
+                        if not raw:
+                            raise TensorError("DataLengthMismatch", o.name)
                         left -= len(raw)
                         yield raw
-                elif o.role == "qdata":
-                    n = 0
-                    while pending is not None and pending.tensor == o.source_name:
-                        raw = bytes(pending.bytes)
-                        n, pending = n + len(raw), next(ordered, None)
-                        yield raw
-                    if n != o.byte_len:
-                        raise TensorError("DataLengthMismatch", o.name)
-                else:
-                    s = next(by_tensor, None)
-                    if s is None or s.tensor != o.source_name:
-                        raise TensorError("MissingScale", o.name)
-                    yield struct.pack("<f", s.scale)
+            elif o.role == "qdata":
+                n = 0
+                while pending is not None and pending.tensor == o.source_name:
+                    raw = bytes(pending.bytes)
+                    n, pending = n + len(raw), next(ordered, None)
+                    yield raw
+                if n != o.byte_len:
+                    raise TensorError("DataLengthMismatch", o.name)
+            else:
+                s = next(by_tensor, None)
+                if s is None or s.tensor != o.source_name:
+                    raise TensorError("MissingScale", o.name)
+                yield struct.pack("<f", s.scale)
 
     write_atomically(destination, parts(), len(framed) + at)
 

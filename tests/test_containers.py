@@ -157,6 +157,85 @@ def test_small_file_and_failure(spark, tmp_path):
     assert not (tmp_path / "none").exists() and not [p for p in tmp_path.iterdir() if p.suffix == ".tmp"]
 
 
+def sharded(folder, files, index=None):
+    """Shards of THREE and their index in a folder of its own."""
+    folder.mkdir()
+    for name, tensors in files.items():
+        put(folder / name, {t: THREE[t] for t in tensors})
+    own = {"weight_map": {t: name for name, tensors in files.items() for t in tensors}} if index is None else index
+    (folder / "m.safetensors.index.json").write_text(own if isinstance(own, str) else json.dumps(own))
+    return folder
+
+
+TWO = {"b.safetensors": ["bf16", "weight"], "a.safetensors": ["bias"]}
+MAP = {"bf16": "b.safetensors", "weight": "b.safetensors", "bias": "a.safetensors"}
+
+
+def test_shards(spark, tmp_path):
+    folder = sharded(tmp_path / "s", TWO, {"weight_map": MAP, "metadata": {"total_size": 20, "x": [1]}, "other": 1})
+    one = put(tmp_path / "one", THREE)
+    for path in (str(folder), str(folder / "m.safetensors.index.json")):
+        h = st.open_input(path)
+        assert [t.name for t in h.tensors] == ["bf16", "bias", "weight"] and len(h.files) == 2
+        rows = lambda p: sorted((r.tensor, r.chunk, r.vals) for r in st.chunks(spark, p, 1).collect())  # noqa: B023, E731
+        assert rows(path) == rows(one)
+        assert {r.tensor: r.path.rsplit("/", 1)[1] for r in st.catalog(spark, path).collect()} == MAP
+        assert st.payload(spark, path, "bias").first().bytes == THREE["bias"][2]
+    assert "Shards: 2" in model.inspect(str(folder))
+    model.quantize(spark, one, str(tmp_path / "q1"), minimum=3)
+    lines = model.quantize(spark, str(folder), str(tmp_path / "q2"), minimum=3)
+    assert (tmp_path / "q1").read_bytes() == (tmp_path / "q2").read_bytes()
+    assert f"  Source bytes: {sum(f.stat().st_size for f in folder.glob('*.safetensors'))}" in lines
+    assert model.validated(spark, str(folder), str(tmp_path / "q2"), 3)
+    p = model.plan(spark, str(folder))
+    with pytest.raises(TensorError, match="SourceDestinationConflict"):
+        st.write(str(folder), str(folder / "a.safetensors"), p.layout, p.decisions, p.quantized, p.scales)
+
+
+@pytest.mark.parametrize(
+    ("files", "index", "code"),
+    [
+        (TWO, "{", "InvalidIndex"),
+        (TWO, [], "InvalidIndex"),
+        (TWO, {"weight_map": []}, "InvalidIndex"),
+        (TWO, {"weight_map": MAP | {"bias": ""}}, "InvalidIndex"),
+        (TWO, {"weight_map": MAP | {"__metadata__": "a.safetensors"}}, "InvalidIndex"),
+        (TWO, {"weight_map": MAP, "metadata": 1}, "InvalidIndex"),
+        (TWO, {"weight_map": MAP, "metadata": {"total_size": -1}}, "InvalidIndex"),
+        (TWO, {"weight_map": MAP, "metadata": {"total_size": 21}}, "TotalSizeMismatch"),
+        (TWO, '{"weight_map": {"bias": "a.safetensors", "bias": "b.safetensors"}}', "DuplicateTensor"),
+        (TWO | {"c.safetensors": ["bias"]}, {"weight_map": MAP | {"bf16": "c.safetensors"}}, "DuplicateTensor"),
+        (TWO, {"weight_map": MAP | {"more": "a.safetensors"}}, "ShardTensorMismatch"),
+        (TWO, {"weight_map": {"bf16": "b.safetensors", "bias": "a.safetensors"}}, "ShardTensorMismatch"),
+        (TWO, {"weight_map": MAP | {"bias": "b.safetensors", "weight": "a.safetensors"}}, "ShardTensorMismatch"),
+        (TWO, {"weight_map": MAP | {"bias": "none.safetensors"}}, "MissingShard"),
+        (TWO, {"weight_map": MAP | {"bias": "m.safetensors.index.json"}}, "InvalidShard"),
+        *[(TWO, {"weight_map": MAP | {"bias": bad}}, "UnsafeShard") for bad in ("../a.safetensors", "/a", "x\\a", "C:a", "..", "a\0")],
+    ],
+)
+def test_bad_shards(tmp_path, files, index, code):
+    folder = sharded(tmp_path / "s", files, index)
+    with pytest.raises(TensorError) as e:
+        st.open_input(str(folder))
+    assert e.value.code == code
+
+
+def test_discovery(tmp_path):
+    folder = sharded(tmp_path / "s", TWO)
+    (folder / "n.safetensors.index.json").write_text("{}")
+    (tmp_path / "empty").mkdir()
+    for path in (folder, tmp_path / "empty"):
+        with pytest.raises(TensorError, match="AmbiguousInput"):
+            st.open_input(str(path))
+    assert len(st.open_input(str(folder / "m.safetensors.index.json")).tensors) == 3
+    (folder / "n.safetensors.index.json").unlink()
+    (folder / "m.safetensors.index.json").unlink()
+    with pytest.raises(TensorError, match="AmbiguousInput"):
+        st.open_input(str(folder))
+    (folder / "a.safetensors").unlink()
+    assert st.open_input(str(folder)).path.endswith("b.safetensors")
+
+
 def test_output_is_read(spark, tmp_path):
     """The report comes from the output's own qdata and scale, so a file that was written wrong shows."""
     v = ((np.arange(16507) - 1024) / 64).astype("<f4")
