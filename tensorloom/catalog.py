@@ -107,6 +107,13 @@ def int8_global_scale_matrix(spark, sf_dir):
     return rows.groupBy("q").agg(F.count("*").alias("n"), F.max("scale").cast("double").alias("scale")).select(_i("q"), "n", "scale")
 
 
+@query
+def int8_parallel(spark, sf_dir):
+    """The whole matrix in chunks of 1000 elements, dealt to five workers."""
+    rows = blocks.int8(tables.matrix_chunks(spark, sf_dir), blocks.Parallel(5, 1000)).select("base_idx", F.posexplode("q").alias("i", "q"))
+    return rows.select((F.col("base_idx") + F.col("i")).alias("idx"), _i("q"))
+
+
 @query
 def int8_chunked_replay(spark, sf_dir):
     rows = q.int8_replay(tables.matrix(spark, sf_dir), chunk=CHUNK_ELEMENTS)
@@ -155,6 +162,12 @@ def int4_quantize_values(spark, sf_dir):
     return blocks.int4_elements(_cut31(spark, sf_dir), 31).select("idx", _i("q"))
 
 
+@query
+def int4_parallel(spark, sf_dir):
+    """Groups of 31 elements, which the matrix's own chunks cut apart, dealt to five workers."""
+    return blocks.int4_elements(tables.matrix_chunks(spark, sf_dir), 31, parallel=blocks.Parallel(5, 1000)).select("idx", _i("q"))
+
+
 @query
 def int4_dequantize(spark, sf_dir):
     return q.dequantize(blocks.int4_elements(_cut31(spark, sf_dir), 31)).select("idx", _d("v_hat"))

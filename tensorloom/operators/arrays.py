@@ -1,4 +1,7 @@
-"""The same quantizers on array rows: a tensor in each row, no shuffle at all."""
+"""The same quantizers on array rows: a tensor in each row, no shuffle at all.
+
+A row with a value that isn't finite fails the job with NonFiniteInput and the value's index.
+"""
 
 from __future__ import annotations
 
@@ -13,13 +16,21 @@ def amax(values: Column) -> Column:
     return F.array_max(F.transform(values, F.abs))
 
 
+def _checked_amax(values: Column, base: Column) -> Column:
+    """amax of finite values: what isn't finite is the largest there is, so the maximum alone tells."""
+    bad = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    index = (base + F.array_position(F.transform(values, bad), True) - 1).cast("string")
+    failed = F.raise_error(F.concat(F.lit("NonFiniteInput: at index "), index))
+    return n.let(amax(values), lambda m: F.when(m.isNull() | n.is_finite(m), m).otherwise(failed))
+
+
 def _floats(values: str) -> Column:
     return F.transform(values, lambda x: x.cast("float"))
 
 
 def int8(df: DataFrame, values: str) -> DataFrame:
     """df with scale and q array<tinyint>."""
-    scaled = df.withColumn("scale", n.symmetric_scale(amax(_floats(values)), INT8_MAX))
+    scaled = df.withColumn("scale", n.symmetric_scale(_checked_amax(_floats(values), F.lit(0)), INT8_MAX))
     # scale is bound once a row: its expression may be put in its place, and the lambda runs for every element
     return scaled.withColumn("q", n.let(F.col("scale"), lambda s: F.transform(_floats(values), lambda x: n.quantize(x, s, INT8_MAX))))
 
@@ -27,7 +38,7 @@ def int8(df: DataFrame, values: str) -> DataFrame:
 def int4(df: DataFrame, values: str, size: int) -> DataFrame:
     """df with scales array<float> and q array<tinyint>; the last group may be short."""
     groups = F.sequence(F.lit(0), F.expr(f"cast(greatest(ceil(size({values}) / {size}) - 1, 0) as int)"))
-    scale = lambda v, g: n.symmetric_scale(amax(F.slice(v, g * size + 1, size)), INT4_MAX)
+    scale = lambda v, g: n.symmetric_scale(_checked_amax(F.slice(v, g * size + 1, size), g * size), INT4_MAX)
     scaled = df.withColumn("scales", n.let(_floats(values), lambda v: F.transform(groups, lambda g: scale(v, g))))
     return scaled.withColumn("q", n.let(F.col("scales"), lambda s: F.transform(_floats(values), lambda x, i: n.quantize(x, F.get(s, F.floor(i / size).cast("int")), INT4_MAX))))
 

@@ -8,11 +8,13 @@ Only chunks that cut a group apart, or elements in no order, are brought togethe
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
-from ..schema import INT4_MAX, INT8_MAX, NVFP4_BLOCK, Q8_BLOCK, TensorError
+from ..schema import CHUNK_ELEMENTS, INT4_MAX, INT8_MAX, NVFP4_BLOCK, Q8_BLOCK, TensorError
 from . import quantize, validate
 from .arrays import amax
 
@@ -36,6 +38,23 @@ def rechunk(chunks: DataFrame, size: int) -> DataFrame:
     return whole.select("tensor", (F.col("chunk") * size).alias("base_idx"), F.flatten(F.transform("p", lambda p: p["vals"])).alias("vals"))
 
 
+@dataclass(frozen=True)
+class Parallel:
+    """How much work a task gets. Results don't depend on it; without it chunks stay where they lie."""
+
+    workers: int | None = None  # tasks; None: as many as the session runs at once
+    chunk_elements: int = CHUNK_ELEMENTS
+
+    def spread(self, chunks: DataFrame, group: int = 1) -> DataFrame:
+        """chunks cut anew, whole groups each, and dealt to the workers by tensor and place."""
+        workers = chunks.sparkSession.sparkContext.defaultParallelism if self.workers is None else self.workers
+        if workers < 1 or self.chunk_elements < 1:
+            raise TensorError("InvalidConfig", f"{workers} workers, chunks of {self.chunk_elements} elements")
+        if group < 1:
+            raise TensorError("InvalidGroupSize", str(group))
+        return rechunk(chunks, -(-self.chunk_elements // group) * group).repartition(workers, "tensor", "base_idx")
+
+
 def of_elements(elements: DataFrame, size: int) -> DataFrame:
     """Chunks of size elements from rows (tensor, idx, v) in any order."""
     keyed = elements.groupBy("tensor", F.expr(f"idx div {size}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("p"))
@@ -63,20 +82,22 @@ def _checked(chunks: DataFrame, check: bool) -> DataFrame:
     return chunks
 
 
-def int8(chunks: DataFrame) -> DataFrame:
+def int8(chunks: DataFrame, parallel: Parallel | None = None) -> DataFrame:
     """chunks with scale, one a tensor, and q array<tinyint>."""
     scales = tops(chunks).select("tensor", n.symmetric_scale(F.col("amax"), INT8_MAX).alias("scale"))
+    chunks = chunks if parallel is None else parallel.spread(chunks)
     return chunks.join(scales, "tensor").withColumn("q", F.transform("vals", lambda v: n.quantize(v, F.col("scale"), INT8_MAX)))
 
 
-def int4(chunks: DataFrame, size: int, check: bool = True) -> DataFrame:
+def int4(chunks: DataFrame, size: int, check: bool = True, parallel: Parallel | None = None) -> DataFrame:
     """Blocks of size elements with scale; check: False where the values are known to be finite."""
-    return blocks(_checked(chunks, check), size).withColumn("scale", n.symmetric_scale(amax(F.col("vals")), INT4_MAX))
+    chunks = _checked(chunks, check)
+    return blocks(chunks if parallel is None else parallel.spread(chunks, size), size).withColumn("scale", n.symmetric_scale(amax(F.col("vals")), INT4_MAX))
 
 
-def int4_elements(chunks: DataFrame, size: int, check: bool = True) -> DataFrame:
+def int4_elements(chunks: DataFrame, size: int, check: bool = True, parallel: Parallel | None = None) -> DataFrame:
     """(tensor, idx, grp, v, scale, q)."""
-    return elements(int4(chunks, size, check), "scale").withColumn("q", n.quantize(F.col("v"), F.col("scale"), INT4_MAX))
+    return elements(int4(chunks, size, check, parallel), "scale").withColumn("q", n.quantize(F.col("v"), F.col("scale"), INT4_MAX))
 
 
 def per_channel_int8(chunks: DataFrame, width: int, check: bool = True) -> DataFrame:

@@ -191,11 +191,13 @@ SQL: dict[str, str] = {
     "int8_roundtrip_columns": f"""SELECT {metrics("tensor", ", " + SATURATED.format(top=127) + ", count(*)::BIGINT + 4 AS quantized_bytes", "1e4", "1e5", ("e4", "e5"))} FROM ({quantized(LOOSE, 127)}) GROUP BY tensor""",
     "int8_saturation_count": f"SELECT tensor, {SATURATED.format(top=127)} FROM ({quantized(V, 127)}) GROUP BY tensor",
     "int8_global_scale_matrix": f"SELECT q::BIGINT AS q, count(*) AS n, max(scale)::DOUBLE AS scale FROM ({quantized(M, 127)}) GROUP BY q",
+    "int8_parallel": f"SELECT idx, q::BIGINT AS q FROM ({quantized(M, 127)})",
     "int8_chunked_replay": f"SELECT idx // 16384 AS chunk, count(*) AS n, min(q)::BIGINT AS min_q, max(q)::BIGINT AS max_q, sum(q)::BIGINT AS sum_q FROM ({quantized(M, 127)}) GROUP BY 1",
     "int8_per_channel": f"SELECT grp, max(scale)::DOUBLE AS scale, sum(q)::BIGINT AS sum_q FROM ({quantized(M, 127, 64)}) GROUP BY grp",
     "int4_group_scales_32": f"SELECT idx // 32 AS grp, ({scale('max(abs(v))', 7)})::DOUBLE AS scale FROM ({M}) GROUP BY 1",
     "int4_group_scales_31": f"SELECT idx // 31 AS grp, ({scale('max(abs(v))', 7)})::DOUBLE AS scale FROM ({M}) GROUP BY 1",
     "int4_quantize_values": f"SELECT idx, q::BIGINT AS q FROM ({quantized(M, 7, 31)})",
+    "int4_parallel": f"SELECT idx, q::BIGINT AS q FROM ({quantized(M, 7, 31)})",
     "int4_dequantize": f"SELECT idx, v_hat::DOUBLE AS v_hat FROM ({quantized(M, 7, 31)})",
     "int4_pack_hex": f"SELECT idx // 2 AS byte_idx, {PACKED.format(c='q')} AS hex FROM ({quantized(ORDERS, 7, 31)}) GROUP BY 1",
     "int4_unpack": f"SELECT idx, q::BIGINT AS q FROM ({quantized(ORDERS, 7, 128)})",

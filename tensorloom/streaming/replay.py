@@ -1,14 +1,15 @@
 """INT8 on streams of chunks.
 
 With known scales quantization is a stateless projection after a static join. Without them
-the scale needs every value of a tensor, so a micro-batch must hold whole tensors.
+the scale needs every value of a tensor, so a micro-batch must hold whole tensors. A chunk
+with a value that isn't finite fails the batch with NonFiniteInput.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
@@ -16,9 +17,15 @@ from ..operators.arrays import amax
 from ..schema import INT8_MAX
 
 
+def _codes() -> Column:
+    quantized = F.transform("vals", lambda v: n.quantize(v, F.col("scale"), INT8_MAX))
+    failed = F.raise_error(F.concat(F.lit("NonFiniteInput: tensor "), F.col("tensor").cast("string"), F.lit(" in chunk "), F.col("chunk").cast("string")))
+    return F.when(F.exists("vals", lambda v: ~n.is_finite(v)), failed).otherwise(quantized).alias("qs")
+
+
 def with_scales(stream: DataFrame, scales: DataFrame) -> DataFrame:
     """(tensor, chunk, qs) of a stream of (tensor, chunk, vals), given (tensor, scale)."""
-    return stream.join(scales, "tensor").select("tensor", "chunk", F.transform("vals", lambda v: n.quantize(v, F.col("scale"), INT8_MAX)).alias("qs"))
+    return stream.join(scales, "tensor").select("tensor", "chunk", _codes())
 
 
 def whole_tensors(stream: DataFrame, sink: Callable[[DataFrame, int], None]):  # noqa: ANN201
@@ -27,6 +34,6 @@ def whole_tensors(stream: DataFrame, sink: Callable[[DataFrame, int], None]):  #
     def batch(df: DataFrame, number: int) -> None:
         scales = df.groupBy("tensor").agg(n.symmetric_scale(F.max(amax(F.col("vals"))), INT8_MAX).alias("scale"))
         rows = df.join(scales, "tensor")
-        sink(rows.select("tensor", "chunk", "scale", F.transform("vals", lambda v: n.quantize(v, F.col("scale"), INT8_MAX)).alias("qs")), number)
+        sink(rows.select("tensor", "chunk", "scale", _codes()), number)
 
     return stream.writeStream.foreachBatch(batch)

@@ -38,6 +38,30 @@ def test_int4_blocks(both, size):
     assert rows(blocks.int4_elements(both[0], size), *names) == rows(q.int4_quantize(both[1], size), *names)
 
 
+@pytest.mark.parametrize(("workers", "size"), [(1, 1), (3, 50), (None, 320), (7, 10_000)])
+def test_parallel(both, workers, size):
+    """Workers and chunks change nothing in the result; groups stay whole."""
+    own = blocks.Parallel(workers, size)
+    each = lambda df: rows(df.select((F.col("base_idx")).alias("at"), "scale", F.posexplode("q").alias("i", "q")).select((F.col("at") + F.col("i")).alias("idx"), "scale", "q"), "idx", "scale", "q")
+    assert each(blocks.int8(both[0], own)) == each(blocks.int8(both[0]))
+    assert rows(blocks.int4_elements(both[0], 31, parallel=own), "idx", "scale", "q") == rows(q.int4_quantize(both[1], 31), "idx", "scale", "q")
+    if workers:
+        assert own.spread(both[0]).rdd.getNumPartitions() == workers
+
+
+@pytest.mark.parametrize("own", [blocks.Parallel(0, 1), blocks.Parallel(-1), blocks.Parallel(1, 0)])
+def test_parallel_rules(spark, both, own):
+    with pytest.raises(TensorError, match="InvalidConfig"):
+        blocks.int8(both[0], own)
+    with pytest.raises(TensorError, match="InvalidConfig"):
+        blocks.int4(both[0], 32, parallel=own)
+    with pytest.raises(TensorError, match="InvalidGroupSize"):
+        blocks.int4(both[0], 0, parallel=blocks.Parallel())
+    bad = chunked(spark, [1.0, float("nan")], 1)
+    with pytest.raises(TensorError, match="NonFiniteInput: tensor t at index 1"):
+        blocks.int8(bad, blocks.Parallel(2, 1))
+
+
 @pytest.mark.parametrize("size", [31, 7, 100, 1000])
 def test_rechunk(spark, both, size):
     """Groups that chunks cut apart are whole again, whatever the chunks were."""

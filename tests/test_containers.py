@@ -306,6 +306,14 @@ def test_streams(spark, tmp_path):
     assert sorted((r.chunk, list(r.qs)) for r in got) == [(0, [32, -64]), (1, [127])]
     scales = spark.createDataFrame([("t", 1.0)], "tensor string, scale float")
     assert sorted(r.qs for r in replay.with_scales(rows, scales).collect()) == [[1, -2], [4]]
+    bad = spark.createDataFrame([("t", 0, [1.0]), ("t", 1, [float("nan")])], rows.schema)
+    with pytest.raises(Exception, match="NonFiniteInput: tensor t in chunk 1"):
+        replay.with_scales(bad, scales).collect()
+    bad.write.parquet(str(tmp_path / "b"))
+    job = replay.whole_tensors(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "b")), lambda df, _: df.collect()).option("checkpointLocation", str(tmp_path / "d")).start()
+    with pytest.raises(Exception, match="NonFiniteInput: tensor t in chunk 1"):
+        job.processAllAvailable()
+    job.stop()
 
 
 def test_catalog_has_sql():

@@ -146,6 +146,16 @@ def test_arrays_equal_elements(spark):
         assert r.mse == pytest.approx(o.mse) and r.mae == pytest.approx(o.mae) and r.sqnr_db == pytest.approx(o.sqnr_db)
 
 
+@pytest.mark.parametrize(("values", "at"), [([1.0, float("nan"), float("inf")], 1), ([0.0] * 5 + [float("-inf")], 5)])
+def test_array_rows_finite(spark, values, at):
+    df = spark.createDataFrame([([1.0, 2.0],), (values,)], "vals array<float>")
+    for made in (arrays.int8(df, "vals").select("q"), arrays.int8(df, "vals").select("scale"), arrays.int4(df, "vals", 2).select("q")):
+        with pytest.raises(Exception, match=f"NonFiniteInput: at index {at}"):
+            made.collect()
+    fine = spark.createDataFrame([([],), ([0.0, None],)], "vals array<float>")
+    assert [r.scale for r in arrays.int8(fine, "vals").collect()] == [1.0, 1.0]
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([(1.0, 0.0), (2.0, 3.0), (3.0, 5.0)], "v float, v_hat float")
     r = rows.agg(*diagnostics.metric_columns()).first()
