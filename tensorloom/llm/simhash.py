@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, spread_join
+from .components import connected_components, shuffled, spread_join
 from .storage import materialize
 from .textbuf import release, slices
 
@@ -107,7 +107,7 @@ def _listed(rows: DataFrame, sets: Column) -> DataFrame:
 def _counted(entries: DataFrame) -> DataFrame:
     """Entries of lists with two members or more, with the length of their list."""
     many = entries.groupBy("places", "list").agg(F.count("*").alias("n")).filter("n > 1")
-    return entries.join(many, ["places", "list"])
+    return shuffled(entries).join(many, ["places", "list"])
 
 
 def _hits(entries: DataFrame, key: list[str]) -> DataFrame:
@@ -181,7 +181,7 @@ def clusters(docs: DataFrame, shingle: int = 3, longest: int = 32, id_col: str =
     prints = materialize(fingerprints(docs, shingle, id_col, text_col, carry), "fingerprints")
     classes = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "classes")
     roots = connected_components(links(classes, longest))
-    rooted = classes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = shuffled(classes).join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(least, "root").select("fingerprint", "root", "component_id")
     return spread_join(prints, of, "fingerprint", F.xxhash64("doc_id", "fingerprint")).select("doc_id", "fingerprint", "component_id", "root", *[F.col(f"`{c}`") for c in carry])

@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import ODD, PASSAGE
+from pyspark.sql import functions as F
 
 import brute
-from tensorloom.llm import jpeg, packing, piece_codec, queries, rules, secret_scan, simhash, substring, textbuf, token_count
+from tensorloom.llm import components, jpeg, packing, piece_codec, queries, rules, secret_scan, simhash, substring, textbuf, token_count
 from tensorloom.llm.components import connected_components
+from tensorloom.llm.storage import materialize
 
 P = queries.tokenizer
 
@@ -135,6 +137,24 @@ def test_link_tally(spark):
     assert simhash.links(frame).count() == 0
 
 
+def test_no_broadcast_of_entries(spark):
+    """A small file of fingerprints is 56 entries a row: none of simhash's joins may take it for small and send it through the driver."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        prints = materialize(spark.range(1000).select(F.xxhash64("id").alias("fingerprint"), F.col("id").alias("doc_id")), "prints")
+        edges = prints.select(F.col("fingerprint").alias("u"), F.col("doc_id").alias("v"))
+        joins = (
+            simhash._counted(simhash._listed(prints, simhash._under(simhash.PLACES[5]))),
+            simhash.links(prints),
+            components._smallest(edges),
+            components.spread_join(prints.drop("doc_id"), prints, "fingerprint", F.col("fingerprint")),
+        )
+        plans = [j._jdf.queryExecution().executedPlan().toString() for j in joins]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("SortMergeJoin" in x and "Broadcast" not in x for x in plans)
+
+
 def test_component_hub(spark):
     """A star whose hub isn't its smallest node, beside a chain, loops and repeated edges."""
     edges = [(5000, i) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(40)] + [(7, 7), (5000, 1)]
