@@ -6,6 +6,8 @@ from conftest import ODD, PASSAGE
 from pyspark.sql import functions as F
 
 import brute
+from tensorloom.llm import components, simhash
+from tensorloom.llm.storage import materialize
 
 
 def rows(frame):
@@ -74,6 +76,25 @@ def test_near_duplicates_by_row(spark, small):
     assert rows(out.select("doc_id", "text")) == sorted(want, key=repr)
 
 
+def test_near_duplicates_without_driver(spark, small, documents, monkeypatch):
+    """No table of index entries or links is written by a plan that broadcasts them."""
+    plans = []
+
+    def spied(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "materialize", spied)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        cp.near_duplicates(spark, documents, small)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {"hot", "components"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
 def test_run(spark, small, documents):
     out = cp.run(spark, small)
     assert 0 < out.select("doc_id").distinct().count() < documents.count()
