@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.llm import packing, queries, rules, secret_scan, simhash, substring
+from tensorloom.llm.components import shuffled
 from tensorloom.llm.storage import materialize
 
 
@@ -20,10 +21,13 @@ def _with_text(docs: DataFrame, rows: DataFrame, text: F.Column) -> DataFrame:
 
 
 def _judged(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose id and text hash are (left_semi) or aren't (left_anti) among verdicts (doc_id, text_hash)."""
+    """Rows of docs whose id and text hash are (left_semi) or aren't (left_anti) among verdicts (doc_id, text_hash).
+
+    There is up to a verdict a document, so they meet the rows by shuffle, never through the driver.
+    """
     d, v = docs.alias("d"), verdicts.select(F.col("doc_id").alias("verdict_id"), F.col("text_hash").alias("verdict_hash")).alias("v")
     same = F.col("d.doc_id").eqNullSafe(F.col("v.verdict_id")) & (F.xxhash64(F.col("d.text")) == F.col("v.verdict_hash"))
-    return d.join(v, same, how)
+    return d.join(shuffled(v), same, how)
 
 
 def _own(docs: DataFrame) -> DataFrame:

@@ -183,5 +183,5 @@ def clusters(docs: DataFrame, shingle: int = 3, longest: int = 32, id_col: str =
     roots = connected_components(links(classes, longest))
     rooted = shuffled(classes).join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least, "root").select("fingerprint", "root", "component_id")
+    of = shuffled(rooted).join(least, "root").select("fingerprint", "root", "component_id")
     return spread_join(prints, of, "fingerprint", F.xxhash64("doc_id", "fingerprint")).select("doc_id", "fingerprint", "component_id", "root", *[F.col(f"`{c}`") for c in carry])

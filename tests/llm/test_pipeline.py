@@ -95,6 +95,21 @@ def test_near_duplicates_without_driver(spark, small, documents, monkeypatch):
     assert not [name for name, plan in plans if "Broadcast" in plan]
 
 
+def test_verdicts_without_driver(spark, small, documents):
+    """Rows with components, and documents with their verdicts, are joined by shuffle, in the plan as it ran too."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        frames = {"clusters": simhash.clusters(cp._own(documents), carry=("text_hash",)), "near": cp.near_duplicates(spark, documents, small), "rules": cp.quality_rules(spark, documents, small)}
+        plans = {}
+        for name, frame in frames.items():
+            assert frame.collect(), name
+            plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [name for name, plan in plans.items() if "Broadcast" in plan]
+    assert {name for name, plan in plans.items() if "SortMergeJoin" in plan} == set(plans)
+
+
 def test_run(spark, small, documents):
     out = cp.run(spark, small)
     assert 0 < out.select("doc_id").distinct().count() < documents.count()
