@@ -28,6 +28,12 @@ from ..schema import CATALOG, CHUNK_ELEMENTS, CHUNKS, DTYPE_BITS, FLOATING, PAYL
 MAX_HEADER = 100_000_000
 #: Chunks that one input partition reads (64 MiB of float32).
 PARTITION_CHUNKS = 1024
+#: Bytes of a batch that an encoder hands on; a longer row makes a batch of its own.
+PIECE_BYTES = 1 << 22
+#: Integer types that can be read, and their numpy storage.
+INTEGERS = {"I8": "i1", "I16": "<i2", "I32": "<i4", "I64": "<i8"}
+#: Columns by mode of the data source.
+MODES = {"chunks": CHUNKS, "payload": PAYLOAD, "codes": "tensor string, chunk bigint, qs array<tinyint>", "integers": "tensor string, chunk bigint, vals array<bigint>"}
 
 
 @dataclass(frozen=True)
@@ -236,6 +242,11 @@ def decode(raw: bytes, dtype: str) -> np.ndarray:
     return (x.astype("<u4") << 16).view("<f4") if dtype == "BF16" else x.astype("<f4")
 
 
+def _listed(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """One row that holds all of x."""
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+
+
 @dataclass
 class Span(InputPartition):
     path: str
@@ -248,8 +259,8 @@ class Span(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, typed: bool, chunk: int, tensors: list[str] | None):
-        self.path, self.typed, self.chunk = path, typed, chunk
+    def __init__(self, path: str, mode: str, chunk: int, tensors: list[str] | None):
+        self.path, self.mode, self.typed, self.chunk = path, mode, mode == "chunks", chunk
         self.names = None if tensors is None else set(tensors)
 
     def partitions(self) -> list[Span]:
@@ -277,9 +288,17 @@ class _Reader(DataSourceReader):
                 n = span.first_chunk + k
                 if self.typed:
                     x = decode(raw, span.dtype)
-                    yield pa.RecordBatch.from_arrays([pa.array([span.tensor]), pa.array([n], pa.int64()), pa.array([n * self.chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.float32()))], ["tensor", "chunk", "base_idx", "vals"])
+                    yield pa.RecordBatch.from_arrays([pa.array([span.tensor]), pa.array([n], pa.int64()), pa.array([n * self.chunk], pa.int64()), _listed(x, pa.float32())], ["tensor", "chunk", "base_idx", "vals"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([span.tensor]), pa.array([n], pa.int64()), pa.array([raw], pa.binary())], ["tensor", "chunk", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([span.tensor]), pa.array([n], pa.int64()), self._held(raw, span.dtype)], ["tensor", "chunk", {"codes": "qs", "integers": "vals"}.get(self.mode, "bytes")])
+
+    def _held(self, raw: bytes, dtype: str) -> pa.Array:
+        """The bytes of a chunk as the mode has them."""
+        if self.mode == "codes":
+            return _listed(np.frombuffer(raw, np.int8), pa.int8())
+        if self.mode == "integers":
+            return _listed(np.frombuffer(raw, INTEGERS[dtype]).astype(np.int64), pa.int64())
+        return pa.array([raw], pa.binary())
 
 
 class _PushingReader(_Reader):
@@ -295,7 +314,7 @@ class _PushingReader(_Reader):
 
 
 class SafetensorsSource(DataSource):
-    """format("safetensors"): options path, mode (chunks or payload), chunk (elements), tensors (JSON list of names).
+    """format("safetensors"): options path, mode (of MODES), chunk (elements), tensors (JSON list of names).
 
     pushdown: "true" where spark.sql.python.filterPushdown.enabled is; the session's setting is left as it is.
     """
@@ -305,12 +324,12 @@ class SafetensorsSource(DataSource):
         return "safetensors"
 
     def schema(self) -> str:
-        return PAYLOAD if self.options.get("mode") == "payload" else CHUNKS
+        return MODES[self.options.get("mode", "chunks")]
 
     def reader(self, schema: object) -> DataSourceReader:
         kind = _PushingReader if self.options.get("pushdown") == "true" else _Reader
         names = self.options.get("tensors")
-        return kind(self.options["path"], self.options.get("mode") != "payload", int(self.options.get("chunk", CHUNK_ELEMENTS)), None if names is None else json.loads(names))
+        return kind(self.options["path"], self.options.get("mode", "chunks"), int(self.options.get("chunk", CHUNK_ELEMENTS)), None if names is None else json.loads(names))
 
 
 def chunks(spark: SparkSession, path: str, chunk: int = CHUNK_ELEMENTS, tensor: str | None = None, tensors: list[str] | None = None) -> DataFrame:
@@ -334,33 +353,16 @@ def codes(spark: SparkSession, path: str, tensors: list[str], chunk: int = CHUNK
         if header.tensor(name).dtype != "I8":
             raise TensorError("UnsupportedTensorDtype", header.tensor(name).dtype)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            raw = b.column(2).to_pylist()
-            at = np.cumsum([0, *map(len, raw)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int8)))], ["tensor", "chunk", "qs"])
-
-    return payload(spark, path, chunk=chunk // 4, tensors=tensors).mapInArrow(batches, "tensor string, chunk long, qs array<tinyint>")
-
-
-#: Integer types that can be read, and their numpy storage.
-INTEGERS = {"I8": "i1", "I16": "<i2", "I32": "<i4", "I64": "<i8"}
+    return _load(spark, path, "codes", chunk // 4, tensors)
 
 
 def integers(spark: SparkSession, path: str, tensors: list[str]) -> DataFrame:
     """(tensor, chunk, vals array<bigint>) of integer tensors."""
     header = open_input(path)
-    kinds = {name: header.tensor(name).dtype for name in tensors}
-    for name, dtype in kinds.items():
-        if dtype not in INTEGERS:
-            raise TensorError("UnsupportedTensorDtype", f"{name}: {dtype}")
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            vals = [np.frombuffer(raw, INTEGERS[kinds[t]]).astype(np.int64) for t, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vals, pa.list_(pa.int64()))], ["tensor", "chunk", "vals"])
-
-    return payload(spark, path, tensors=tensors).mapInArrow(batches, "tensor string, chunk long, vals array<bigint>")
+    for name in tensors:
+        if header.tensor(name).dtype not in INTEGERS:
+            raise TensorError("UnsupportedTensorDtype", f"{name}: {header.tensor(name).dtype}")
+    return _load(spark, path, "integers", CHUNK_ELEMENTS, tensors)
 
 
 def _load(spark: SparkSession, path: str, mode: str, chunk: int, tensors: list[str] | None) -> DataFrame:
@@ -373,14 +375,23 @@ def _load(spark: SparkSession, path: str, mode: str, chunk: int, tensors: list[s
 
 
 def to_bytes(rows: DataFrame, values: str, storage: str) -> DataFrame:
-    """(tensor, chunk, bytes): arrays as little-endian bytes of a numpy type, encoded where the rows are."""
+    """(tensor, chunk, bytes): arrays as little-endian bytes of a numpy type, encoded where the rows are.
+
+    The bytes are the arrays' own memory where the types are the same, and a piece's copy where they aren't.
+    """
+    width = np.dtype(storage).itemsize
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            lists = b.column(2)
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(storage), lists.offsets.to_numpy()
-            at = at - at[0]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([flat[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["tensor", "chunk", "bytes"])
+            ends, i = b.column(2).offsets.to_numpy(), 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, int(ends[i]) + PIECE_BYTES // width, "right")) - 1)
+                piece = b.slice(i, j - i)
+                flat = piece.column(2).flatten().to_numpy(zero_copy_only=False).astype(storage, copy=False)
+                at = pa.array((ends[i : j + 1].astype(np.int64) - ends[i]) * width, pa.int32())
+                own = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, at.buffers()[1], pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), own], ["tensor", "chunk", "bytes"])
+                i = j
 
     return rows.select(F.col("tensor").cast("string"), F.col("chunk").cast("long"), values).mapInArrow(batches, PAYLOAD)
 

@@ -2,8 +2,10 @@
 
 import json
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,3 +337,55 @@ def test_against_duckdb(spark, small, name):
     names = sorted(out.columns)
     want = con.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(tuple(r[n] for n in names) for r in out.collect()) == sorted(want)
+
+
+class Handed:
+    """Stands for rows: keeps the function that they are mapped with."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, f, schema):  # noqa: N802
+        return f
+
+
+@pytest.mark.parametrize(("kind", "storage"), [("float32", "<f4"), ("int8", "i1"), ("int32", "<i4"), ("int32", "u1")])
+def test_encoding_holds_a_piece(spark, kind, storage):
+    """Encoding a batch of 64 MB takes memory for a piece of it, not for copies of the batch."""
+    size = np.random.default_rng(5).integers(0, 2 * 16384, 1024 * 4 // np.dtype(kind).itemsize)
+    size[[0, 7, 8, -1]] = 0
+    ends = np.concatenate([[0], np.cumsum(size)]).astype("<i4")
+    v = (np.arange(ends[-1]) % 251 if storage != "i1" else np.arange(ends[-1]) % 255 - 127).astype(kind)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(v))
+    rows = pa.RecordBatch.from_arrays([pa.array(["x"] * len(size)), pa.array(np.arange(len(size))), lists], ["tensor", "chunk", "vals"])
+    whole, encode, at, least = v.astype(storage), st.to_bytes(Handed(), "vals", storage), 0, pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        most = 0
+        for b in encode(iter([rows.slice(3)])):
+            most = max(most, pa.total_allocated_bytes() - least)
+            for n, x in zip(b.column(1).to_numpy(), b.column(2), strict=True):
+                assert n == at + 3 and x.as_buffer().equals(pa.py_buffer(whole[ends[n] : ends[n + 1]]))
+                at += 1
+            assert b.column(2).nbytes <= 5 << 20
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    finally:
+        tracemalloc.stop()
+    assert at == len(size) - 3 and most < 12 << 20
+
+
+def test_integers_need_one_worker(spark, tmp_path):
+    """Codes and integers come from the source itself, a chunk at a time; no second Python worker gets them in batches."""
+    i8, i64 = (np.arange(40_000) % 255 - 127).astype("i1"), np.arange(20_000) * -(1 << 40)
+    path = put(tmp_path / "a", {"a": ("I8", [40_000], i8.tobytes()), "b": ("I64", [20_000], i64.astype("<i8").tobytes()), "c": ("I16", [2], struct.pack("<2h", -2, 3))})
+    codes, whole = st.codes(spark, path, ["a"]), st.integers(spark, path, ["a", "b", "c"])
+    for rows in (codes, whole):
+        assert "MapInArrow" not in rows._jdf.queryExecution().toString()
+    assert codes.dtypes == [("tensor", "string"), ("chunk", "bigint"), ("qs", "array<tinyint>")]
+    assert [r.chunk for r in codes.orderBy("chunk").collect()] == [0, 1, 2]
+    assert np.array_equal(np.concatenate([r.qs for r in codes.orderBy("chunk").collect()]), i8)
+    got = {t: np.concatenate([r.vals for r in whole.filter(F.col("tensor") == t).orderBy("chunk").collect()]).tolist() for t in "abc"}
+    assert got == {"a": i8.tolist(), "b": i64.tolist(), "c": [-2, 3]}
+    assert whole.filter("tensor = 'b'").count() == 3
+    with pytest.raises(TensorError, match="UnsupportedTensorDtype"):
+        st.codes(spark, path, ["b"])
